@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, sentences
+from ..operators.encode import pieces
 
 SECTION_HEADERS = ("Introduction", "Related Work", "Materials and Methods", "RESULTS", "Discussion and Conclusions")
 
@@ -54,3 +55,22 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
         .where((F.col("role") == "assistant") & (F.col("before") == "user"))
         .select(F.concat_ws(":", "conv_id", "turn").alias("article_id"), "target_sum", "gen_sum")
     )
+
+
+def vocabulary(texts: DataFrame, column: str, first_id: int = 2) -> DataFrame:
+    """``(token, id)`` of the distinct pieces of a text column, numbered in digest order.
+
+    Numbers are ranks within one of 256 digest buckets plus the sizes of the
+    buckets before it, so no task sorts the whole vocabulary.
+    """
+    tokens = (
+        texts.select(F.explode(pieces(F.col(column))).alias("token")).distinct()
+        .withColumn("digest", F.md5("token")).withColumn("bucket", F.substring("digest", 1, 2))
+    )
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 256 rows.
+    offsets = tokens.groupBy("bucket").count().select(
+        "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("digest"))
+    return tokens.withColumn("rank", rank).join(F.broadcast(offsets), "bucket").select(
+        "token", (F.col("offset") + F.col("rank") + (first_id - 1)).cast("int").alias("id"))
