@@ -31,6 +31,11 @@ def _longest_run(positions: str) -> str:
             "list_filter(run, lambda y: y >= e[1])[2:]), []::BIGINT[]))")
 
 
+def _contains(whole: str, part: str) -> str:
+    """Whether a token list holds another as one unbroken run; its LCS is then the part itself."""
+    return f"contains(' ' || array_to_string({whole}, ' ') || ' ', ' ' || array_to_string({part}, ' ') || ' ')"
+
+
 def _types(codes) -> str:
     return ", ".join(f"'{c}'" for c in codes)
 
@@ -83,12 +88,18 @@ distinct_sentences AS (
   FROM (SELECT DISTINCT doc_id, sec, {_tokens('s')} AS toks FROM sentences)),
 sentence_words AS (
   SELECT doc_id, sec, sid, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM distinct_sentences),
+whole_parts AS (
+  SELECT a.doc_id, a.m, b.sec, b.sid, len(b.toks) AS hit FROM abstract_tokens a JOIN distinct_sentences b USING (doc_id)
+  WHERE {_contains('a.toks', 'b.toks')}),
 runs AS (
   SELECT a.doc_id, a.m, b.sec, b.sid, list(a.pos ORDER BY b.pos, a.pos DESC) AS positions
   FROM abstract_words a JOIN sentence_words b ON a.doc_id = b.doc_id AND a.tok = b.tok
+  ANTI JOIN whole_parts w ON w.doc_id = a.doc_id AND w.m = a.m AND w.sid = b.sid
   GROUP BY a.doc_id, a.m, b.sec, b.sid),
 hits AS (
-  SELECT doc_id, m, sec, max({_longest_run('positions')}) AS hit FROM runs GROUP BY doc_id, m, sec),
+  SELECT doc_id, m, sec, max(hit) AS hit
+  FROM (SELECT doc_id, m, sec, {_longest_run('positions')} AS hit FROM runs
+        UNION ALL SELECT doc_id, m, sec, hit FROM whole_parts) GROUP BY doc_id, m, sec),
 scores AS (
   SELECT a.doc_id, a.m, r.sec,
          CASE WHEN len(a.toks) = 0 THEN 0 ELSE coalesce(h.hit, 0) / len(a.toks) END::FLOAT AS score
@@ -194,10 +205,15 @@ rouge{n} AS (
 ROUGE_L = f"""
 ref_words AS (SELECT article_id, unnest(ref) AS tok, generate_subscripts(ref, 1) AS pos FROM toks),
 cand_words AS (SELECT article_id, unnest(cand) AS tok, generate_subscripts(cand, 1) AS pos FROM toks),
+whole_pairs AS (
+  SELECT article_id, least(len(ref), len(cand)) AS hits FROM toks
+  WHERE {_contains('ref', 'cand')} OR {_contains('cand', 'ref')}),
 pair_runs AS (
   SELECT a.article_id, list(a.pos ORDER BY b.pos, a.pos DESC) AS positions
-  FROM cand_words a JOIN ref_words b ON a.article_id = b.article_id AND a.tok = b.tok GROUP BY a.article_id),
-pair_hits AS (SELECT article_id, {_longest_run('positions')} AS hits FROM pair_runs),
+  FROM cand_words a JOIN ref_words b ON a.article_id = b.article_id AND a.tok = b.tok
+  ANTI JOIN whole_pairs w ON w.article_id = a.article_id GROUP BY a.article_id),
+pair_hits AS (
+  SELECT article_id, {_longest_run('positions')} AS hits FROM pair_runs UNION ALL SELECT * FROM whole_pairs),
 rougeL AS (
   SELECT article_id, {_prf('coalesce(hits, 0)', 'len(cand)', 'len(ref)')}
   FROM toks LEFT JOIN pair_hits USING (article_id))"""
