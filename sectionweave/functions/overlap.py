@@ -12,7 +12,8 @@ def ngrams(tokens: Column, n: int) -> Column:
         return tokens
     return let(tokens, lambda t: F.when(
         F.size(t) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, n))),
+        F.transform(F.sequence(F.lit(0), F.size(t) - n),
+                    lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n)))),
     ).otherwise(no_strings()))
 
 
@@ -49,11 +50,15 @@ def ngram_total(tokens: Column, n: int) -> Column:
 
 def f_score(hits: Column, candidate_total: Column, reference_total: Column) -> Column:
     """``struct(precision, recall, fmeasure)``, zeros where there is nothing to divide by."""
-    def ratio(total: Column) -> Column:
-        return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
+    def ratio(h: Column, total: Column) -> Column:
+        return F.when(total > 0, h / total).otherwise(F.lit(0.0))
 
-    def harmonic(p: Column, r: Column) -> Column:
-        return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    def scores(v: Column) -> Column:
+        p, r = v["p"], v["r"]
+        harmonic = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+        return F.struct(p.alias("precision"), r.alias("recall"), harmonic.alias("fmeasure"))
 
-    p, r = ratio(candidate_total), ratio(reference_total)
-    return F.struct(p.alias("precision"), r.alias("recall"), harmonic(p, r).alias("fmeasure"))
+    def ratios(h: Column) -> Column:
+        return F.struct(ratio(h, candidate_total).alias("p"), ratio(h, reference_total).alias("r"))
+
+    return let(hits, lambda h: let(ratios(h), scores))

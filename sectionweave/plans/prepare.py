@@ -7,7 +7,7 @@ from ..functions.sections import identify_section
 from ..functions.text import join_sentences, piece_count, strip_markers
 from ..operators.align import assigned_sections, matched_sections, with_matches
 from ..schemas import TRAINING_TYPES
-from ..session import broadcast_if_small, fits_broadcast
+from ..session import broadcast_if_small
 
 GROUP = ["group_key"]
 COPY = [*GROUP, "body_key"]
@@ -32,17 +32,24 @@ def _with_copy_keys(articles: DataFrame) -> DataFrame:
     )
 
 
-def repeated_groups(articles: DataFrame) -> DataFrame:
-    """64-bit keys of the (article_id, abstract) groups held by several rows.
-
-    Reads two columns and counts map-side first, so a hot id costs no more than a rare one.
-    """
+def _repeated(articles: DataFrame, key: Column) -> DataFrame:
+    """64-bit keys held by several rows, counted map-side first: a hot key costs no more than a rare one."""
     return (
-        articles.select(_group_hash().alias("group_hash")).groupBy("group_hash").count()
+        articles.select(key.alias("group_hash")).groupBy("group_hash").count()
         .where(F.col("count") > 1).select("group_hash")
     )
 
 
+def has_repeated_ids(articles: DataFrame) -> bool:
+    """Whether any article_id occurs twice; reads that one column."""
+    return not _repeated(articles, F.xxhash64("article_id")).isEmpty()
+
+
+def repeated_groups(articles: DataFrame) -> DataFrame:
+    """Keys of the (article_id, abstract) groups held by several rows."""
+    return _repeated(articles, _group_hash())
+
+
 def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """:func:`matched_sections` over groups of rows with one article_id and abstract.
 
@@ -70,12 +77,9 @@ def aligned_sections(articles: DataFrame, pool_copies: bool = True, keep: tuple[
     Rows alone in their group never leave their partition. The others are told
     apart by a set of 64-bit keys, broadcast only when checked to be small.
     """
-    if not pool_copies:
-        return matched_sections(articles, keep, **options)
-    keys = repeated_groups(articles)
-    if fits_broadcast(keys, 0):
+    if not (pool_copies and has_repeated_ids(articles)):
         return matched_sections(articles, keep, **options)
-    keys = broadcast_if_small(keys)
+    keys = broadcast_if_small(repeated_groups(articles))
     tagged = articles.withColumn("group_hash", _group_hash())
     single = tagged.join(keys, "group_hash", "left_anti").drop("group_hash")
     several = tagged.join(keys, "group_hash", "left_semi").drop("group_hash")

@@ -19,6 +19,8 @@ def build_session(app_name: str = "sectionweave", master: str | None = None, **c
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Scoring costs far more per byte than reading a shuffle: do not merge small partitions.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # Article rows are long: bound what one Arrow batch may hold.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     )
@@ -37,6 +39,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sectionweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
