@@ -10,7 +10,7 @@ from .functions.text import join_sentences, piece_count, postprocess_text
 from .operators import aggregate, align, assemble, bleu, columns, encode, generate, rouge
 from .plans import evaluate, prepare
 from .schemas import SCORING_TYPES
-from .session import scratch_path, ship_package, spread
+from .session import attach, scratch_path, spread
 from .sources import readers, writers
 from .sources.documents import articles_from_documents, pairs_from_conversations, vocabulary
 
@@ -21,7 +21,7 @@ HEAD = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(attach(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of 64-bit keys that may be broadcast: 1M x 8 bytes is 8 MB on each executor.
 BROADCAST_KEY_ROWS = 1_000_000
+# Article rows are long: rows that one Arrow batch may hold.
+ARROW_ROWS = 512
 
 
 def build_session(app_name: str = "sectionweave", master: str | None = None, **conf) -> SparkSession:
@@ -21,14 +23,12 @@ def build_session(app_name: str = "sectionweave", master: str | None = None, **c
         .config("spark.sql.session.timeZone", "UTC")
         # Scoring costs far more per byte than reading a shuffle: do not merge small partitions.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        # Article rows are long: bound what one Arrow batch may hold.
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
-    return ship_package(builder.getOrCreate())
+    return attach(builder.getOrCreate())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,6 +69,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def attach(spark: SparkSession) -> SparkSession:
+    """Make any session ready for the operators: ship the package, bound Arrow batches."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > ARROW_ROWS:
+        spark.conf.set(batch, str(ARROW_ROWS))
+    return ship_package(spark)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer splits than cores; larger inputs pass through unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -46,29 +46,31 @@ def articles_from_documents(documents: DataFrame, article_id: Column | None = No
 
 
 def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Each assistant turn with the user turn right before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return (
-        conversations.select(
-            "conv_id", "turn", "role", F.col("text").alias("target_sum"),
-            F.lag("text").over(order).alias("gen_sum"), F.lag("role").over(order).alias("before"))
-        .where((F.col("role") == "assistant") & (F.col("before") == "user"))
-        .select(F.concat_ws(":", "conv_id", "turn").alias("article_id"), "target_sum", "gen_sum")
-    )
+    """Each assistant turn with the user turn right before it.
+
+    Turns are numbered without gaps, so the turn before is an equality; the join
+    key holds the turn and spreads even a conversation that has most of the rows.
+    """
+    answers = conversations.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.col("text").alias("target_sum"))
+    questions = conversations.where(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gen_sum"))
+    return answers.join(questions, ["conv_id", "turn"]).select(
+        F.concat_ws(":", "conv_id", "turn").alias("article_id"), "target_sum", "gen_sum")
 
 
 def vocabulary(texts: DataFrame, column: str, first_id: int = 2) -> DataFrame:
     """``(token, id)`` of the distinct pieces of a text column, numbered in digest order.
 
-    Numbers are ranks within one of 256 digest buckets plus the sizes of the
+    Numbers are ranks within one of 4,096 digest buckets plus the sizes of the
     buckets before it, so no task sorts the whole vocabulary.
     """
     tokens = (
         texts.select(F.explode(pieces(F.col(column))).alias("token")).distinct()
-        .withColumn("digest", F.md5("token")).withColumn("bucket", F.substring("digest", 1, 2))
+        .withColumn("digest", F.md5("token")).withColumn("bucket", F.substring("digest", 1, 3))
     )
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 256 rows.
+    # At most 4,096 rows.
     offsets = tokens.groupBy("bucket").count().select(
         "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("digest"))
