@@ -15,10 +15,15 @@ DRAWS = 4
 POISSON_STEPS = (1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276)
 
 
+def _exact_mean(score: str) -> Column:
+    """Mean of four-decimal scores, summed as decimals so that the order of rows cannot matter."""
+    return F.sum(F.col(score).cast("decimal(24,4)")).cast("double") / F.count(score)
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """Mean and sample standard deviation of each metric, one row per statistic."""
     columns = [f(m).alias(f"{name}_{m}")
-               for name, f in (("mean", F.avg), ("std", F.stddev_samp)) for m in SUMMARY_METRICS]
+               for name, f in (("mean", _exact_mean), ("std", F.stddev_samp)) for m in SUMMARY_METRICS]
     rows = F.array(*(
         F.struct(F.lit(name).alias("statistic"), *(F.col(f"{name}_{m}").alias(m) for m in SUMMARY_METRICS))
         for name in ("mean", "std")))

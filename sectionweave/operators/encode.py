@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import non_empty
 from ..schemas import IGNORED_LABEL
-from .lookup import MAX_ENTRIES, translate_array
+from .lookup import MAX_ENTRIES, translate_arrays
 
 INTS = "array<int>"
 
@@ -66,8 +66,7 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, max_source: int, max_target
         *keys,
         truncate(pieces(F.concat(F.lit(prefix), F.col(text_col))), max_source).alias("source_ids"),
         truncate(pieces(F.col(summary_col)), max_target).alias("target_ids"))
-    for column in ("source_ids", "target_ids"):
-        cut = translate_array(cut, column, vocab, "token", "id", unk, max_entries)
+    cut = translate_arrays(cut, ("source_ids", "target_ids"), vocab, "token", "id", unk, max_entries)
     return _finish(cut, list(keys), max_source, max_target, pad, ignore_pad)
 
 
@@ -100,7 +99,7 @@ def decode(df: DataFrame, vocab: DataFrame, pad: int, column: str = "labels", sp
     """Ids to space-joined words: ignored positions count as padding, padding and special ids are skipped."""
     skipped = [pad, *special]
     kept = F.filter(unmask_labels(F.col(column), pad), lambda x: ~x.isin(*skipped))
-    words = translate_array(df.withColumn(out, kept), out, vocab, "id", "token", unk, max_entries)
+    words = translate_arrays(df.withColumn(out, kept), (out,), vocab, "id", "token", unk, max_entries)
     return words.withColumn(out, F.concat_ws(" ", non_empty(F.col(out))))
 
 

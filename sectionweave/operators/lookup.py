@@ -1,5 +1,8 @@
 """Replace array elements through a lookup table."""
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ def _is_small(table: DataFrame, key: str, value: str, max_entries: int) -> bool:
     return entries <= max_entries and text <= MAX_BYTES
 
 
-def _by_broadcast(df: DataFrame, column: str, table: DataFrame, key: str, value: str, default) -> DataFrame:
+def _by_broadcast(df: DataFrame, columns: Sequence[str], table: DataFrame, key: str, value: str, default) -> DataFrame:
     """Rows stay where they are; the table travels once to each executor."""
     entries = table.select(key, value).toArrow().combine_chunks()
     shared = df.sparkSession.sparkContext.broadcast(
@@ -34,7 +37,7 @@ def _by_broadcast(df: DataFrame, column: str, table: DataFrame, key: str, value:
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
         return pa.ListArray.from_arrays(offsets, pc.fill_null(found, default), mask=arrays.is_null())
 
-    return df.withColumn(column, translate(column))
+    return df.withColumns({c: translate(c) for c in columns})
 
 
 def _by_join(df: DataFrame, column: str, table: DataFrame, key: str, value: str, default) -> DataFrame:
@@ -61,11 +64,12 @@ def _by_join(df: DataFrame, column: str, table: DataFrame, key: str, value: str,
     return joined.select(*(result.alias(c) if c == column else F.col(c) for c in df.columns))
 
 
-def translate_array(df: DataFrame, column: str, table: DataFrame, key: str, value: str, default,
-                    max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Map each element of ``column`` by a table with unique keys; unknown elements become ``default``.
+def translate_arrays(df: DataFrame, columns: Sequence[str], table: DataFrame, key: str, value: str, default,
+                     max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """Map each element of array columns by a table with unique keys; unknown elements become ``default``.
 
     A table checked to be small is broadcast and no row moves; any larger table is joined.
     """
-    small = _is_small(table, key, value, max_entries)
-    return (_by_broadcast if small else _by_join)(df, column, table, key, value, default)
+    if _is_small(table, key, value, max_entries):
+        return _by_broadcast(df, columns, table, key, value, default)
+    return reduce(lambda part, column: _by_join(part, column, table, key, value, default), columns, df)

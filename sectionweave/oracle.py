@@ -240,10 +240,10 @@ percent AS (
   FROM rouge1 a JOIN rouge2 b USING (article_id) JOIN rougeL c USING (article_id))"""
 
 SUMMARY = """
-SELECT 'mean' AS statistic, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2,
-       round(avg(rougeLsum), 4) AS rougeLsum FROM percent
+SELECT 'mean' AS statistic, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2,
+       round(avg(rougeLsum), 6) AS rougeLsum FROM percent
 UNION ALL
-SELECT 'std', round(stddev_samp(rouge1), 4), round(stddev_samp(rouge2), 4), round(stddev_samp(rougeLsum), 4)
+SELECT 'std', round(stddev_samp(rouge1), 6), round(stddev_samp(rouge2), 6), round(stddev_samp(rougeLsum), 6)
 FROM percent"""
 
 

@@ -30,6 +30,8 @@ def compute_metrics(predictions: DataFrame, vocab: DataFrame, pad: int, task: st
     Summarization is scored by stemmed ROUGE over sentence lines, translation by
     BLEU; both add the mean generated length.
     """
+    if not task.startswith(("summarization", "translation")):
+        raise ValueError(f"task {task!r} is neither summarization nor translation")
     texts = decode(decode(predictions, vocab, pad, "pred_ids", special, out="gen_sum"),
                    vocab, pad, "labels", special, out="target_sum")
     clean = postprocess_text if task.startswith("summarization") else strip

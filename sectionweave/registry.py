@@ -153,7 +153,7 @@ def score_pairs(spark, sf_dir):
 
 
 def score_standard(spark, sf_dir):
-    return _rounded(evaluate.score_standard(flat_pairs(spark, sf_dir)), "rouge1", "rouge2", "rougeLsum", digits=4)
+    return _rounded(evaluate.score_standard(flat_pairs(spark, sf_dir)), "rouge1", "rouge2", "rougeLsum")
 
 
 def score_stemmed(spark, sf_dir):
@@ -175,7 +175,7 @@ def assemble_rows(spark, sf_dir):
 
 def assemble_scores(spark, sf_dir):
     rows = generated_rows(spark, sf_dir).withColumnRenamed("abstract", "target_sum")
-    return _rounded(evaluate.assemble_and_score(rows, SCORING_TYPES), "rouge1", "rouge2", "rougeLsum", digits=4)
+    return _rounded(evaluate.assemble_and_score(rows, SCORING_TYPES), "rouge1", "rouge2", "rougeLsum")
 
 
 def bootstrap_ci(spark, sf_dir):

@@ -19,26 +19,26 @@ def _lines(text: Column) -> Column:
 
 
 def _sections(lines: Column) -> Column:
+    """Six runs of lines, each flattened to its sentences."""
     count = len(SECTION_HEADERS) + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.flatten(F.transform(
-        F.filter(lines, lambda _, i: F.floor(i * count / F.size(lines)) == k), sentences)))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.flatten(
+        F.filter(lines, lambda _, i: F.floor(i * count / F.size(lines)) == k)))
 
 
 def _abstract_sentence(line: Column) -> Column:
-    return let(sentences(line), lambda s: F.concat(
-        F.lit("<S> "),
-        F.when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(
-            F.concat_ws(" ", F.get(s, F.lit(0)), F.get(s, F.size(s) - 1))),
-        F.lit(" </S>")))
+    """First and last sentence of a line, marked as one."""
+    first, last = F.get(line, F.lit(0)), F.get(line, F.size(line) - 1)
+    fused = F.when(F.size(line) == 1, first).otherwise(F.concat_ws(" ", first, last))
+    return F.concat(F.lit("<S> "), fused, F.lit(" </S>"))
 
 
 def articles_from_documents(documents: DataFrame, article_id: Column | None = None) -> DataFrame:
     """Article rows; ``lang`` is kept so that callers can split by it."""
     headers = F.array(*map(F.lit, SECTION_HEADERS),
                       F.when(F.col("lang") == "en", "Limitations").otherwise("Appendix A"))
-    return documents.withColumn("lines", _lines(F.col("text"))).select(
+    return documents.withColumn("lines", F.transform(_lines(F.col("text")), sentences)).select(
         (F.col("doc_id") if article_id is None else article_id).cast("string").alias("article_id"),
-        let(F.col("lines"), lambda lines: F.transform(lines, _abstract_sentence)).alias("abstract_text"),
+        F.transform("lines", _abstract_sentence).alias("abstract_text"),
         headers.alias("section_names"),
         let(F.col("lines"), _sections).alias("sections"),
         "lang",

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sectionweave.operators import columns, encode, generate
-from sectionweave.operators.lookup import translate_array
+from sectionweave.operators.lookup import translate_arrays
 from sectionweave.plans import evaluate
 from sectionweave.sources.documents import vocabulary
 
@@ -43,7 +43,7 @@ def test_encode(pairs, vocab, limit):
 def test_lookup_of_nulls_and_empty_arrays(spark, vocab, limit):
     df = spark.createDataFrame([("a", ["red", None, "x"]), ("b", []), ("c", None), ("d", ["red", None, "x"])],
                                "key string, words array<string>")
-    got = rows(translate_array(df.repartition(3), "words", vocab, "token", "id", 7, limit))
+    got = rows(translate_arrays(df.repartition(3), ("words",), vocab, "token", "id", 7, limit))
     assert got == {"a": ([2, 7, 7],), "b": ([],), "c": (None,), "d": ([2, 7, 7],)}
 
 

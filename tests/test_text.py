@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sectionweave.functions import text
+from sectionweave.functions import register_functions, text
 from sectionweave.functions.overlap import multiset_overlap, ngrams
 from sectionweave.functions.sections import identify_section
 from sectionweave.functions.stem import porter, stem_text
@@ -68,5 +68,11 @@ def test_porter_examples():
     assert [porter(w) for w in PORTER[::2]] == PORTER[1::2]
 
 
+def test_sql_functions(spark):
+    register_functions(spark)
+    row = spark.sql("SELECT lcs_len('a b c', 'a x c') AS n, stem_text('running') AS s, section_lcs('a b\n', 'b\n\f') AS t").first()
+    assert (row.n, row.s, row.t) == (2, "run", [[1]])
+
+
 def test_stemming_keeps_separators_and_short_tokens(spark):
     assert evaluate(spark, stem_text, "the ties was\nrunning\fflies", None) == ["the tie was\nrun\ffli", None]
