@@ -8,6 +8,7 @@ the other, until one is left. No rows are moved between tasks, so a task's seque
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,8 @@ from .tables import record_batch, sliced
 
 CAPACITY = 2048
 #: Windows that are filled together.
-WINDOWS = 64
-#: Ids a window is left short of its capacity, so that near-equal windows fit.
-SLACK = 4
-#: Times the largest pieces are halved before the window count rises instead.
-HALVINGS = 3
+WINDOWS = 32
+_SUM = itemgetter(0)
 PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
@@ -36,21 +34,16 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Indices of ``sizes`` in ``k`` windows of near-equal sums; ties go by index."""
     if not sizes:
         return [[] for _ in range(k)]
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = size
-        heap.append((-size, i, sums, [[]] * (k - 1) + [[i]]))
+    empty: list[tuple[int, list[int]]] = [(0, [])] * (k - 1)
+    heap = [(-size if k > 1 else 0, i, [*empty, (size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, i, sums, windows = heapq.heappop(heap)
-        _, j, other, others = heapq.heappop(heap)
-        sums = sums + other[::-1]  # both ascend: opposing imbalances meet
-        merged = [a + b if a and b else a or b for a, b in zip(windows, reversed(others), strict=True)]
-        order = np.argsort(sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), min(i, j), sums, [merged[o] for o in order.tolist()]))
-    return heap[0][3]
+        _, i, windows = heapq.heappop(heap)
+        _, j, others = heap[0]
+        others.reverse()  # both ascend: opposing imbalances meet
+        merged = sorted([(a[0] + b[0], a[1] + b[1]) for a, b in zip(windows, others, strict=True)], key=_SUM)
+        heapq.heapreplace(heap, (merged[0][0] - merged[-1][0], min(i, j), merged))
+    return [items for _, items in heap[0][2]]
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -76,22 +69,35 @@ class Piece:
 
 
 def arranged(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
-    """The pieces in windows. Where the least number of windows cannot hold them, large pieces are halved first."""
-    least = -(-sum(len(p.ids) for p in pieces) // capacity)
-    for halving in range(HALVINGS + 1):
-        found = differencing([len(p.ids) for p in pieces], least)
-        if all(sum(len(pieces[i].ids) for i in window) <= capacity for window in found):
-            return [[pieces[i] for i in sorted(window)] for window in found if window]
-        if halving < HALVINGS:
-            limit = max(2, capacity >> halving + 1)
-            pieces = [half for p in pieces for half in (p.cut(len(p.ids) // 2) if len(p.ids) > limit else (p,))]
-    return [[pieces[i] for i in sorted(window)] for window in windows_of([len(p.ids) for p in pieces], capacity)]
+    """The pieces in as few windows of at most ``capacity`` as can hold them.
+
+    The near-equal windows differ by little; what one holds beyond its capacity is cut off and moves to windows
+    with room. Only when all of them together are exceeded are there more.
+    """
+    found = differencing([len(p.ids) for p in pieces], -(-sum(len(p.ids) for p in pieces) // capacity))
+    windows = [[pieces[i] for i in sorted(window)] for window in found]
+    rooms = [capacity - sum(len(p.ids) for p in window) for window in windows]
+    loose = []
+    for window, room in zip(windows, rooms, strict=True):
+        while room < 0:
+            last = window.pop()
+            kept, off = last.cut(max(0, len(last.ids) + room))
+            room += len(off.ids)
+            loose.append(off)
+            window += [kept] if len(kept.ids) else []
+    for window, room in zip(windows, rooms, strict=True):
+        while room > 0 and loose:
+            moved, rest = loose.pop().cut(room)
+            room -= len(moved.ids)
+            window.append(moved)
+            loose += [rest] if len(rest.ids) else []
+    return [window for window in windows if window]
 
 
 def pack_stream(documents: Iterator[tuple[int | None, np.ndarray]], capacity: int, n_windows: int) -> Iterator[list[Piece]]:
     """Sequences, each a list of pieces, of a stream of (document, ids)."""
     pending: list[Piece] = []
-    pending_size, target = 0, n_windows * max(1, capacity - SLACK)
+    pending_size, target = 0, n_windows * capacity
     for doc, ids in documents:
         rest = Piece(doc, 0, ids, len(ids))
         while len(rest.ids) >= capacity:

@@ -13,12 +13,18 @@ from collections.abc import Callable, Iterator
 CHUNK = re.compile(r"\s*\S+|\s+")
 CUT = re.compile(r"(?<=\S)\s")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space other than the single spaces and line breaks that most texts have.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Characters of a text that are split into chunks at a time.
 SLICE = 1 << 20
-#: Chunks of a generation; a worker remembers two generations of two kinds, about 200 bytes each chunk.
-GENERATION = 500_000
+#: Chunks of a generation; a worker remembers two generations of three kinds, about 200 bytes each chunk.
+GENERATION = 400_000
 #: The cut is proved for this pre-tokenizer only.
 BYTE_LEVEL = "ByteLevel(add_prefix_space=False"
+#: Marks that may follow a word; with it they are two pre-tokens.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this are letters to every version of Unicode.
+LATIN_END = "\u0250"
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -36,23 +42,29 @@ def encoder(path: str) -> "ChunkEncoder":
     return _encoders[path]
 
 
-class Remembered:
-    """Ids of chunks; those unused for a generation are forgotten."""
+class Known(dict[str, bytes]):
+    """Ids of chunks, encoded when first asked for; those unused for a generation are forgotten."""
 
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
 
-    def learn(self, chunks: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
-        if len(self.young) > GENERATION:
-            self.young, self.old = {}, self.young
-        if missing := chunks.difference(self.young):
-            new = [c for c in missing if c not in self.old]
-            self.young.update([(c, self.old[c]) for c in missing if c in self.old])
-            self.young.update(zip(new, encode(new), strict=True))
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        self[chunk] = ids
+        return ids
 
-    def joined(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.young.__getitem__, chunks))
+
+def byte_alphabet() -> dict[int, int]:
+    """The letters of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 and on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
 
 
 class ChunkEncoder:
@@ -63,10 +75,25 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuttable = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith(BYTE_LEVEL)
-        self.chunks, self.spaced = Remembered(), Remembered()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
+        self.chunks, self.spaced, self.words = Known(self.whole), Known(self.after_space), Known(self.word)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word of Latin letters, which is one pre-token: the model alone is asked."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [piece.id for piece in self.pieces("\u0120" + letters)]).tobytes()
+
+    def after_space(self, chunk: str) -> bytes:
+        """Ids of a chunk that stands behind a space, or of one that begins with a line break."""
+        if chunk[0] == "\n":
+            return self.whole(chunk)
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+            return self.words[word] + self.chunks[chunk[len(word):]] if len(word) < len(chunk) else self.words[word]
+        return self.whole(f" {chunk}")
 
     def cuts(self, text: str) -> Iterator[str]:
         """The text in pieces of about SLICE characters that begin at white space."""
@@ -80,19 +107,14 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers (the byte order of all machines that Spark runs its workers on)."""
         if not self.cuttable or ODD_SPACE.search(text) or any(token in text for token in self.added):
-            return self.whole([text])[0]
+            return self.whole(text)
         return b"".join(map(self.joined, self.cuts(text)))
 
-    def after_space(self, words: list[str]) -> list[bytes]:
-        return self.whole([w if w[0] == "\n" else f" {w}" for w in words])
-
     def joined(self, text: str) -> bytes:
-        words = text.split()
-        if words and words == text.replace("\n", " ").split(" "):
-            # White space is single spaces and line breaks: cheaper to split, and most texts are like that.
+        """Ids of a text by its chunks."""
+        if not OTHER_SPACE.search(text):
+            # Cheaper to split, and most texts are like that. An empty chunk, or a line break alone, shows a run of white space.
             first, *rest = text.replace("\n", " \n").split(" ")
-            self.spaced.learn({*rest}, self.after_space)
-            return self.whole([first])[0] + self.spaced.joined(rest)
-        chunks = CHUNK.findall(text)
-        self.chunks.learn({*chunks}, self.whole)
-        return self.chunks.joined(chunks)
+            if first and "" not in rest and "\n" not in rest:
+                return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
