@@ -10,11 +10,14 @@ with all of them at once.
 """
 
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stem import stem_token
+
 LINE = "\n"
 PAGE = "\f"
 
@@ -56,14 +59,19 @@ def lcs_size(left: list[str], right: list[str]) -> int:
     return _advance(masks, valid, right).bit_count()
 
 
-def best_per_section(abstract: str, sections: str) -> list[list[int]]:
-    """For each section, each abstract sentence's longest LCS with one of its sentences."""
-    masks, spans, valid = _bit_masks([s.split() for s in abstract.split(LINE)[:-1]])
+def best_per_section(abstract: str, sections: str, stem: Callable[[str], str] | None = None) -> list[list[int]]:
+    """For each section, each abstract sentence's longest LCS with one of its sentences; tokens count as equal if their stems are."""
+    tokens = {t: stem(t) for t in {*abstract.split(), *sections.split()}} if stem else None
+
+    def split(text: str) -> list[str]:
+        return [tokens[t] for t in text.split()] if tokens else text.split()
+
+    masks, spans, valid = _bit_masks([split(s) for s in abstract.split(LINE)[:-1]])
     table = []
     for section in sections.split(PAGE)[:-1]:
         best = [0] * len(spans)
         for sentence in set(section.split(LINE)):  # copies score alike
-            grown = _advance(masks, valid, sentence.split())
+            grown = _advance(masks, valid, split(sentence))
             if grown:
                 for m, (offset, mask) in enumerate(spans):
                     size = (grown >> offset & mask).bit_count()
@@ -134,3 +142,9 @@ def summary_lcs(reference: pa.Array, candidate: pa.Array) -> pa.Array:
 def section_lcs(abstract: pa.Array, sections: pa.Array) -> pa.Array:
     """Section by abstract-sentence table of the longest LCS."""
     return pa.array(_rows(abstract, sections, best_per_section), pa.list_(pa.list_(pa.int32())))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def section_lcs_stemmed(abstract: pa.Array, sections: pa.Array) -> pa.Array:
+    """The same over stemmed tokens; each distinct token of the article is stemmed once."""
+    return pa.array(_rows(abstract, sections, lambda a, s: best_per_section(a, s, stem_token)), pa.list_(pa.list_(pa.int32())))

@@ -3,8 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lcs import LINE, PAGE, section_lcs
-from .stem import stem_text
+from .lcs import LINE, PAGE, section_lcs, section_lcs_stemmed
 from .text import first_hit, let, normalize, strip_markers, token_count, words
 from ..schemas import KEYWORDS, OTHER_SECTION
 
@@ -36,9 +35,7 @@ def section_hits(abstract: Column, zipped: Column, use_stemmer: bool = True,
     pages = F.array_join(F.transform(zipped, lambda s: F.concat(_lines(s["section_text"]), F.lit(PAGE))), "")
     # A null abstract has no sentences; a null section list has no sections.
     abstract_lines = F.when(abstract.isNotNull(), _lines(abstract))
-    if use_stemmer:
-        return section_lcs(stem_text(abstract_lines), stem_text(pages))
-    return section_lcs(abstract_lines, pages)
+    return (section_lcs_stemmed if use_stemmer else section_lcs)(abstract_lines, pages)
 
 
 def sentence_sizes(abstract: Column, strip_markers_first: bool = False) -> Column:

@@ -124,6 +124,11 @@ def porter(word: str) -> str:
     return _final_e(_bare(word))
 
 
+def stem_token(token: str) -> str:
+    """Tokens of up to three characters stay as they are."""
+    return porter(token) if len(token) > 3 else token
+
+
 def stem_tokens(text: str) -> str:
     """Stem the tokens longer than three characters, leave separators alone."""
     return _LONG_TOKEN.sub(lambda m: porter(m.group()), text)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 NON_TOKEN = "[^a-z0-9]+"
 SENTENCE_MARKER = "</?S>"
 LINE_MARKER = "<n>"
+# White space of any script, and the separators U+001C to U+001F.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 EMPTY_STRINGS = "array<string>"
 
@@ -59,7 +61,7 @@ def rouge_text(text: Column, use_stemmer: bool = False) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case pieces between whitespace, empty ones dropped."""
-    return non_empty(F.split(F.lower(text), r"\s+"))
+    return non_empty(F.split(F.lower(text), f"{SPACE}+"))
 
 
 def first_hit(pieces: Column, table: dict[str, str], default: str) -> Column:
@@ -84,12 +86,12 @@ def piece_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def sentence_lines(text: Column) -> Column:
     """One sentence per line: a break after closing punctuation and whitespace."""
-    return F.regexp_replace(text, r"([.!?])\s+", "$1\n")
+    return F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n")
 
 
 def sentences(text: Column) -> Column:
@@ -106,5 +108,16 @@ def export_text(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), LINE_MARKER, "")
 
 
+def spelt(text: Column) -> Column:
+    """A text with its length in front, or ``n`` for null: joined, such values can be told apart again."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def spelt_list(items: Column, spell: Callable[[Column], Column] = spelt) -> Column:
+    """The same for an array, with its size in front."""
+    whole = F.concat(F.size(items).cast("string"), F.lit("["), F.array_join(F.transform(items, spell), ""), F.lit("]"))
+    return F.when(items.isNull(), F.lit("N")).otherwise(whole)
+
+
 def percent(score: Column) -> Column:
     return F.round(score * 100, 4)

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.sections import (
     first_best, identify_section, recall_table, section_hits, sentence_sizes, zip_sections,
 )
+from ..functions.text import spelt_list
 
+# An article is its id and its abstract; the digest stands for the abstract wherever rows are grouped.
+ABSTRACT_KEY = "abstract_key"
 
-def explode_sections(articles: DataFrame) -> DataFrame:
-    """One row per section with its header, sentences and position."""
-    return articles.select(
-        "article_id", F.inline_outer(zip_sections(F.col("section_names"), F.col("sections")))
-    ).where(F.col("section_idx").isNotNull()).select("article_id", "section_idx", "section_head", "section_text")
 
+def abstract_key() -> Column:
+    return F.md5(spelt_list(F.col("abstract_text"))).alias(ABSTRACT_KEY)
 
-def explode_abstract(articles: DataFrame) -> DataFrame:
-    return articles.select("article_id", F.posexplode("abstract_text").alias("sent_idx", "sentence"))
+
+def explode_sections(articles: DataFrame) -> DataFrame:
+    """One row per section with its header, sentences and position, and the key of its article's abstract."""
+    return articles.select(
+        "article_id", abstract_key(), F.inline_outer(zip_sections(F.col("section_names"), F.col("sections")))
+    ).where(F.col("section_idx").isNotNull()).select("article_id", ABSTRACT_KEY, "section_idx", "section_head", "section_text")
 
 
 def section_types(articles: DataFrame) -> DataFrame:
@@ -60,9 +64,9 @@ def best_section(articles: DataFrame, min_score: float | None = None, use_stemme
                  strip_markers_first: bool = False) -> DataFrame:
     """One row per abstract sentence with its section; ``min_score`` drops weaker matches."""
     aligned = with_matches(articles, use_stemmer, strip_markers_first).select(
-        "article_id",
+        "article_id", abstract_key(),
         F.posexplode_outer(F.arrays_zip(F.col("abstract_text"), F.col("matched"))).alias("sent_idx", "pair"),
-    ).where(F.col("pair.matched").isNotNull()).select("article_id", "sent_idx", F.col("pair.abstract_text").alias("sentence"),
+    ).where(F.col("pair.matched").isNotNull()).select("article_id", ABSTRACT_KEY, "sent_idx", F.col("pair.abstract_text").alias("sentence"),
              "pair.matched.section_idx", "pair.matched.score")
     return aligned if min_score is None else aligned.where(F.col("score") >= min_score)
 
@@ -91,13 +95,16 @@ def matched_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options)
 
 
 def collect_section_summary(aligned: DataFrame) -> DataFrame:
-    """Group long-form assignments back into ordered sentence lists per section."""
+    """Group long-form assignments back into ordered sentence lists per section of an article.
+
+    For rows that still hold their arrays, :func:`matched_sections` gives the same without an exchange.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence")))
-    return aligned.groupBy("article_id", "section_idx").agg(
+    return aligned.groupBy("article_id", ABSTRACT_KEY, "section_idx").agg(
         F.transform(ordered, lambda s: s["sentence"]).alias("section_summary"))
 
 
 def regroup_articles(sections: DataFrame, text: Column | None = None) -> DataFrame:
-    """Section rows back to one row per article, sections in order."""
+    """Section rows back to one row per article (id and abstract), sections in order."""
     item = F.struct("section_idx", "section_head", (F.col("section_text") if text is None else text).alias("section_text"))
-    return sections.groupBy("article_id").agg(F.array_sort(F.collect_list(item)).alias("full_text_sections"))
+    return sections.groupBy("article_id", ABSTRACT_KEY).agg(F.array_sort(F.collect_list(item)).alias("full_text_sections"))

@@ -50,9 +50,19 @@ def translation_pairs(df: DataFrame, task: str = "translation", source_lang: str
 
 
 def head(df: DataFrame, n: int | None, order_by: str | Column | Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows in a stated order; all rows when ``n`` is None."""
-    keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    return df if n is None else df.orderBy(*keys).limit(n)
+    """The first ``n`` rows in a stated order; all rows when ``n`` is None.
+
+    The last key of the head is found on the keys alone; rows behind it are then filtered away before whole rows are ordered.
+    """
+    if n is None or n <= 0:
+        return df if n is None else df.limit(0)
+    keys = [F.col(k) if isinstance(k, str) else k for k in ([order_by] if isinstance(order_by, (str, Column)) else list(order_by))]
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    cut = df.select(*named).orderBy(*(f"k{i}" for i in range(len(keys)))).limit(n).agg(
+        F.count("*").alias("n"), F.max(F.struct(*(f"k{i}" for i in range(len(keys))))).alias("last")).first()
+    if cut.n < n:
+        return df.orderBy(*keys)
+    return df.where(F.struct(*named) <= F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(cut["last"])))).orderBy(*keys).limit(n)
 
 
 def sample_counts(df: DataFrame, max_samples: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:

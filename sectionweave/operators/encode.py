@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import non_empty
+from ..functions.text import SPACE, non_empty
 from ..schemas import IGNORED_LABEL
+from .loading import loaded, named
 from .lookup import MAX_ENTRIES, translate_arrays
 
 INTS = "array<int>"
@@ -16,7 +17,7 @@ INTS = "array<int>"
 
 def pieces(text: Column) -> Column:
     """Whitespace-separated pieces of a text."""
-    return non_empty(F.split(text, r"\s+"))
+    return non_empty(F.split(text, f"{SPACE}+"))
 
 
 def truncate(ids: Column, length: int) -> Column:
@@ -70,27 +71,35 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, max_source: int, max_target
     return _finish(cut, list(keys), max_source, max_target, pad, ignore_pad)
 
 
-def encode_with(pairs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], max_source: int,
+Tokenizer = Callable[[list[str], int], list[list[int]]]
+
+
+def encode_with(pairs: DataFrame, tokenizer: Callable[[], Tokenizer], max_source: int,
                 max_target: int, pad: int | None = None, ignore_pad: bool = True, prefix: str = "",
-                text_col: str = "text", summary_col: str = "summary", keys: tuple[str, ...] = ()) -> DataFrame:
+                text_col: str = "text", summary_col: str = "summary", keys: tuple[str, ...] = (),
+                target_tokenizer: Callable[[], Tokenizer] | None = None) -> DataFrame:
     """Like :func:`encode_pairs` with a caller's tokenizer.
 
-    ``tokenizer`` is a loader; what it returns turns a batch of texts into id lists.
-    It is loaded once per Python worker that needs it.
+    ``tokenizer`` is a loader, called once per Python worker. What it returns gets a batch of texts and the
+    maximum length and gives lists of at most that many ids; so it can end cut texts as it ends others.
+    ``target_tokenizer`` encodes the summaries, where they need another one.
     """
-    loaded: list = []
+    def encoder(load: Callable[[], Tokenizer], longest: int):
+        name = named(load)
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def ids(texts: pa.Array) -> pa.Array:
+            present = texts.fill_null("").to_pylist()
+            found = loaded(name, load)(present, longest)
+            if len(found) != len(present) or any(len(f) > longest for f in found):
+                raise ValueError(f"the tokenizer must give one list of at most {longest} ids per text")
+            return pa.array(found, pa.list_(pa.int32()))
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(tokenizer())
-        return pa.array(loaded[0](texts.to_pylist()), pa.list_(pa.int32()))
+        return ids
 
     cut = pairs.select(
-        *keys, ids(F.concat(F.lit(prefix), F.col(text_col))).alias("source_ids"),
-        ids(F.col(summary_col)).alias("target_ids"),
-    ).select(*keys, truncate(F.col("source_ids"), max_source).alias("source_ids"),
-             truncate(F.col("target_ids"), max_target).alias("target_ids"))
+        *keys, encoder(tokenizer, max_source)(F.concat(F.lit(prefix), F.col(text_col))).alias("source_ids"),
+        encoder(target_tokenizer or tokenizer, max_target)(F.col(summary_col)).alias("target_ids"))
     return _finish(cut, list(keys), max_source, max_target, pad, ignore_pad)
 
 

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .loading import loaded, named
+
 Summarizer = Callable[[list[str]], list[str]]
 
 
@@ -13,13 +15,14 @@ def generate(rows: DataFrame, summarizer: Callable[[], Summarizer], text_col: st
              out: str = "gen_sum") -> DataFrame:
     """Add the generated text to each row; ids and targets stay on the row.
 
-    ``summarizer`` is a loader called once per task; the function it returns gets
+    ``summarizer`` is a loader called once per Python worker; the function it returns gets
     at most ``batch_size`` texts at a time. Null texts give null.
     """
+    name = named(summarizer)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summarize = summarizer()
+        summarize = loaded(name, summarizer)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             present = [t for t in texts if t is not None]

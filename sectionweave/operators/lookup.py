@@ -3,35 +3,69 @@
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A table may be broadcast up to this many entries and bytes of text.
+from ..functions.text import spelt_list
+from ..session import stored
+
+# A table may be broadcast up to this many entries and bytes.
 MAX_ENTRIES = 2_000_000
 MAX_BYTES = 64 << 20
-SALTS = 16
+
+# Indexes of this worker by broadcast; the last few are kept.
+_indexes: dict[int, tuple[pd.Index, pa.Array]] = {}
+
+
+def _unique(table: DataFrame, key: str, value: str) -> DataFrame:
+    """One entry per key, the smallest value; a null key matches nothing."""
+    return table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("item")).agg(F.min(value).alias("found"))
 
 
-def _is_small(table: DataFrame, key: str, value: str, max_entries: int) -> bool:
-    size = F.coalesce(F.sum(F.length(F.col(key).cast("string")) + F.length(F.col(value).cast("string"))), F.lit(0))
+def _is_small(table: DataFrame, max_entries: int) -> bool:
+    size = F.coalesce(F.sum(sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("item", "found"))), F.lit(0))
     entries, text = table.agg(F.count("*"), size).first()
     return entries <= max_entries and text <= MAX_BYTES
 
 
-def _by_broadcast(df: DataFrame, columns: Sequence[str], table: DataFrame, key: str, value: str, default) -> DataFrame:
+def _index(shared) -> tuple[pd.Index, pa.Array]:
+    """Built once per worker and table."""
+    if shared.id not in _indexes:
+        while len(_indexes) >= 4:
+            del _indexes[next(iter(_indexes))]
+        keys, values = shared.value
+        _indexes[shared.id] = pd.Index(keys.to_pandas()), values
+    return _indexes[shared.id]
+
+
+class _Shared:
+    """A broadcast with the number that names it on every worker."""
+
+    def __init__(self, broadcast, number: int):
+        self.broadcast, self.id = broadcast, number
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def _by_broadcast(df: DataFrame, columns: Sequence[str], table: DataFrame, default) -> DataFrame:
     """Rows stay where they are; the table travels once to each executor."""
-    entries = table.select(key, value).toArrow().combine_chunks()
-    shared = df.sparkSession.sparkContext.broadcast(
-        (pa.concat_arrays(entries[key].chunks), pa.concat_arrays(entries[value].chunks)))
+    entries = table.toArrow().combine_chunks()
+    broadcast = df.sparkSession.sparkContext.broadcast(
+        (pa.concat_arrays(entries["item"].chunks), pa.concat_arrays(entries["found"].chunks)))
+    shared, key_type = _Shared(broadcast, broadcast._jbroadcast.id()), entries["item"].type
 
-    @F.arrow_udf(T.ArrayType(table.schema[value].dataType))
+    @F.arrow_udf(T.ArrayType(table.schema["found"].dataType))
     def translate(arrays: pa.Array) -> pa.Array:
-        keys, values = shared.value
-        items = arrays.flatten()
-        found = values.take(pc.index_in(items, value_set=keys.cast(items.type)))
+        index, values = _index(shared)
+        items = arrays.flatten().cast(key_type)
+        places = pa.array(index.get_indexer(items.to_pandas()), pa.int64())
+        found = values.take(pc.if_else(pc.or_(pc.less(places, 0), items.is_null()), None, places))
         lengths = pc.fill_null(pc.list_value_length(arrays), 0)
         ends = pc.cumulative_sum(lengths).cast(pa.int32())
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
@@ -40,36 +74,39 @@ def _by_broadcast(df: DataFrame, columns: Sequence[str], table: DataFrame, key:
     return df.withColumns({c: translate(c) for c in columns})
 
 
-def _by_join(df: DataFrame, column: str, table: DataFrame, key: str, value: str, default) -> DataFrame:
+def _digest(items: Column) -> Column:
+    return F.md5(spelt_list(items.cast("array<string>")))
+
+
+def _by_join(df: DataFrame, column: str, table: DataFrame, default) -> DataFrame:
     """Distinct arrays are taken apart, joined element by element and put together again.
 
-    The element's position salts the join, so a frequent element is spread over
-    ``SALTS`` tasks. The array itself is the row key: no row numbers that a lost
-    executor could renumber.
+    A digest stands for the array wherever rows meet: no array is a key, and no row number that a lost
+    executor could change. The table is read from files, so both sides of the element join are exchanges
+    and the partition of a frequent element can be split.
     """
-    distinct = df.select(F.col(column).alias("items")).where(F.col("items").isNotNull()).distinct()
-    elements = distinct.select("items", F.posexplode("items").alias("pos", "item")).withColumn(
-        "salt", F.col("pos") % SALTS)
-    salted = table.select(F.col(key).alias("item"), F.col(value).alias("found")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = df.withColumn("items_key", F.when(F.col(column).isNotNull(), _digest(F.col(column))))
+    distinct = keyed.where("items_key IS NOT NULL").groupBy("items_key").agg(F.first(column).alias("items"))
+    elements = distinct.select("items_key", F.posexplode("items").alias("pos", "item"))
     found = F.struct("pos", F.coalesce("found", F.lit(default)).alias("found"))
     translated = (
-        elements.join(salted, ["item", "salt"], "left").groupBy("items")
+        elements.join(table, "item", "left").groupBy("items_key")
         .agg(F.transform(F.array_sort(F.collect_list(found)), lambda x: x["found"]).alias("translated"))
     )
     # An empty array explodes to nothing and translates to itself.
-    empty = F.array().cast(T.ArrayType(table.schema[value].dataType))
+    empty = F.array().cast(T.ArrayType(table.schema["found"].dataType))
     result = F.when(F.col(column).isNull(), None).otherwise(F.coalesce("translated", empty))
-    joined = df.join(translated, F.col(column) == F.col("items"), "left")
-    return joined.select(*(result.alias(c) if c == column else F.col(c) for c in df.columns))
+    return keyed.join(translated, "items_key", "left").select(*(result.alias(c) if c == column else F.col(c) for c in df.columns))
 
 
 def translate_arrays(df: DataFrame, columns: Sequence[str], table: DataFrame, key: str, value: str, default,
                      max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Map each element of array columns by a table with unique keys; unknown elements become ``default``.
+    """Map each element of array columns by a table; unknown and null elements become ``default``.
 
-    A table checked to be small is broadcast and no row moves; any larger table is joined.
+    Of several values of a key the smallest counts. The table is evaluated once. Checked to be small it is
+    broadcast and no row moves; any larger table is joined, with the same result.
     """
-    if _is_small(table, key, value, max_entries):
-        return _by_broadcast(df, columns, table, key, value, default)
-    return reduce(lambda part, column: _by_join(part, column, table, key, value, default), columns, df)
+    table = stored(_unique(table, key, value), "lookup")
+    if _is_small(table, max_entries):
+        return _by_broadcast(df, columns, table, default)
+    return reduce(lambda part, column: _by_join(part, column, table, default), columns, df)

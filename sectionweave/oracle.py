@@ -4,11 +4,27 @@ LCS lengths come from a different method than the library's: matching token
 positions, sorted, are reduced to a longest increasing run of positions.
 """
 
-from .operators.aggregate import POISSON_STEPS
-from .registry import HEAD, MAX_SOURCE, MAX_TARGET, PAD, REPS, UNK
-from .schemas import IGNORED_LABEL, KEYWORDS, SCORING_TYPES, TRAINING_TYPES
+# Fixed values, spelt out here so that a wrong one in the library shows.
+PAD, UNK, IGNORED_LABEL = 0, 1, -100
+MAX_SOURCE, MAX_TARGET, HEAD, REPS = 128, 32, 100, 1000
+TRAINING_TYPES = ("i", "m", "r", "l", "c")
+SCORING_TYPES = ("i", "m", "r", "c")
+KEYWORDS = {
+    "introduction": "i", "case": "i", "purpose": "i", "objective": "i", "objectives": "i", "aim": "i",
+    "summary": "i", "findings": "l", "background": "i", "background/aims": "i", "literature": "l",
+    "studies": "l", "related": "l", "methods": "m", "method": "m", "techniques": "m", "methodology": "m",
+    "results": "r", "result": "r", "experiment": "r", "experiments": "r", "experimental": "r",
+    "discussion": "c", "limitations": "d", "conclusion": "c", "conclusions": "c", "concluding": "c",
+}
+# P(X <= k) of a Poisson variable with mean 1, k from 0, times 2^32.
+POISSON_STEPS = (
+    1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292,
+    4294609778, 4294923276, 4294962463, 4294966817, 4294967253, 4294967292,
+)
 
 NL = "chr(10)"
+# White space of any script.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _tokens(text: str) -> str:
@@ -17,11 +33,11 @@ def _tokens(text: str) -> str:
 
 
 def _sentences(text: str) -> str:
-    return rf"string_split(regexp_replace({text}, '([.!?])\s+', '\1' || {NL}, 'g'), {NL})"
+    return rf"string_split(regexp_replace({text}, '([.!?]){SPACE}+', '\1' || {NL}, 'g'), {NL})"
 
 
 def _pieces(text: str) -> str:
-    return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '{SPACE}+'), lambda t: t <> '')"
 
 
 def _longest_run(positions: str) -> str:
@@ -69,8 +85,8 @@ KEYWORD_ROWS = ", ".join(f"('{w}', '{c}')" for w, c in KEYWORDS.items())
 
 TYPES = rf"""
 head_words AS (
-  SELECT head, unnest(regexp_split_to_array(lower(head), '\s+')) AS word,
-         generate_subscripts(regexp_split_to_array(lower(head), '\s+'), 1) AS pos
+  SELECT head, unnest(regexp_split_to_array(lower(head), '{SPACE}+')) AS word,
+         generate_subscripts(regexp_split_to_array(lower(head), '{SPACE}+'), 1) AS pos
   FROM (SELECT DISTINCT head FROM section)),
 head_type AS (
   SELECT head, coalesce(arg_min(code, pos) FILTER (code IS NOT NULL), 'o') AS section_id
@@ -136,12 +152,14 @@ ROWS = f"WITH {ARTICLES}, {TYPES}, {_scores()}, {_prepared()}"
 # One language is one article id; documents with equal abstracts pool their sections.
 POOLED = f"""
 WITH {ARTICLES}, {TYPES}, {_scores()},
-abstract_of AS (SELECT doc_id, string_agg(s, {NL} ORDER BY m) AS whole FROM abstract GROUP BY ALL),
+abstract_of AS (SELECT doc_id, list(s ORDER BY m) AS whole FROM abstract GROUP BY ALL),
 section_lines AS (
-  SELECT s.doc_id, s.sec, any_value(s.head) AS head, coalesce(string_agg(t.s, {NL} ORDER BY i, j), '') AS body
+  SELECT s.doc_id, s.sec, any_value(s.head) AS head,
+         count(t.s) || '[' || coalesce(string_agg(length(t.s) || ':' || t.s, '' ORDER BY i, j), '') || ']' AS body
   FROM section s LEFT JOIN sentences t USING (doc_id, sec) GROUP BY ALL),
 body_of AS (
-  SELECT doc_id, md5(string_agg(head, {NL} ORDER BY sec) || chr(12) || string_agg(body, chr(12) ORDER BY sec)) AS body_key
+  SELECT doc_id, md5(count(*) || '[' || string_agg(length(head) || ':' || head, '' ORDER BY sec) || ']'
+                     || count(*) || '[' || string_agg(body, '' ORDER BY sec) || ']') AS body_key
   FROM section_lines GROUP BY ALL),
 copies AS (
   SELECT min(doc_id) AS doc_id, lang, whole, body_key
@@ -273,10 +291,33 @@ def _weight(uniform: str) -> str:
     return f"CASE {steps} ELSE {len(POISSON_STEPS)} END"
 
 
-DRAWS = f"""
-draws AS (
-  SELECT article_id, rep, {_weight("('0x' || substr(md5(article_id || ':' || (rep // 4)), (rep % 4) * 8 + 1, 8))::BIGINT")} AS w
-  FROM (SELECT article_id FROM pairs), range({REPS}) t(rep))"""
+def _mixed(name: str, source: str, start: str) -> str:
+    """CTEs that take ``start`` of the rows of ``source`` through the 32-bit finalizer of MurmurHash3."""
+    def times(factor: int) -> str:
+        return f"((h::HUGEINT * {factor}) % 4294967296)::BIGINT"
+
+    return f"""
+{name}1 AS (SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM (SELECT * EXCLUDE (h), {start} AS h FROM {source})),
+{name}2 AS (SELECT * EXCLUDE (h), {times(2246822507)} AS h FROM {name}1),
+{name}3 AS (SELECT * EXCLUDE (h), xor(h, h >> 13) AS h FROM {name}2),
+{name}4 AS (SELECT * EXCLUDE (h), {times(3266489909)} AS h FROM {name}3),
+{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM {name}4)"""
+
+
+def _draws(source: str) -> str:
+    """A Poisson(1) weight for every row and replicate; equal rows have a number."""
+    spelt = " || ".join(f"length({c}) || ':' || {c}" for c in ("article_id", "target_sum", "gen_sum"))
+    return f"""
+seeds AS (
+  SELECT article_id, ('0x' || substr(digest, 1, 8))::BIGINT AS low, ('0x' || substr(digest, 9, 8))::BIGINT AS high,
+         row_number() OVER (PARTITION BY digest) - 1 AS nth
+  FROM (SELECT article_id, md5({spelt}) AS digest FROM {source})),
+numbered AS (
+  SELECT article_id, high, rep, xor(xor(low, (nth * 1663821227) % 4294967296), (rep * 2654435769) % 4294967296) AS h
+  FROM seeds, range({REPS}) t(rep)),
+{_mixed('once', 'numbered', 'h')},
+{_mixed('twice', 'once', 'xor(h, high)')},
+draws AS (SELECT article_id, rep, {_weight('h')} AS w FROM twice)"""
 
 CELLS = " UNION ALL ".join(
     f"SELECT article_id, '{m}' AS metric, unnest(['fmeasure', 'recall', 'precision']) AS statistic, "
@@ -331,11 +372,10 @@ BLEU = f"""CASE WHEN total4 > 0 AND match1 + match2 + match3 + match4 > 0 THEN
   CASE WHEN gen_len < ref_len THEN exp(1 - ref_len / gen_len) ELSE 1 END
   * exp(({' + '.join(_log_p(n) for n in range(1, 5))}) / 4) ELSE 0 END"""
 
-# Words of user turns, numbered in digest order from 2.
-VOCAB = rf"""
-user_words AS (
-  SELECT DISTINCT unnest({_pieces('text')}) AS token FROM conversations WHERE role = 'user'),
-vocab AS (SELECT token, row_number() OVER (ORDER BY md5(token)) + 1 AS id FROM user_words)"""
+# Words of all turns, numbered in digest order from 2.
+VOCAB = f"""
+all_words AS (SELECT DISTINCT unnest({_pieces('text')}) AS token FROM conversations),
+vocab AS (SELECT token, row_number() OVER (ORDER BY md5(token)) + 1 AS id FROM all_words)"""
 
 
 def _ids(name: str, text: str, length: int) -> str:
@@ -424,10 +464,10 @@ WITH {ARTICLES}, {TYPES}, {_scores()}, {_prepared(LONG_SUMMARY)} SELECT * EXCLUD
     "assemble_rows": f"{ROWS}, {LONGEST}, {ASSEMBLED} SELECT * FROM assembled",
     "assemble_scores": f"{ROWS}, {LONGEST}, {ASSEMBLED}, {_all_scores('assembled')} {SUMMARY}",
     "bootstrap_ci": f"""
-WITH {PAIR_SCORES}, {DRAWS}, {INTERVALS}
+WITH {PAIR_SCORES}, {_draws('pairs')}, {INTERVALS}
 SELECT metric, statistic, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""",
     "ci_report": f"""
-WITH {PAIR_SCORES}, {DRAWS}, {INTERVALS},
+WITH {PAIR_SCORES}, {_draws('pairs')}, {INTERVALS},
 report_lines AS (
   SELECT replace(replace(metric, 'rouge', ''), 'L', 'l') AS x, list_position(['fmeasure', 'recall', 'precision'], statistic) AS s,
          printf('rouge_%s_%s: %.4f with confidence interval (%.4f, %.4f)', x,
@@ -436,7 +476,7 @@ report_lines AS (
 SELECT string_agg(CASE WHEN s = 1 THEN {NL} || 'ROUGE-' || x || ':' || {NL} ELSE '' END || line, {NL} ORDER BY x, s) AS value
 FROM report_lines""",
     "corpus_rouge": f"""
-WITH {PAIRS}, {FLAT}, {_token_lists('flat')}, {_rouge_n(1)}, {_rouge_n(2)}, {ROUGE_L}, {DRAWS},
+WITH {PAIRS}, {FLAT}, {_token_lists('flat')}, {_rouge_n(1)}, {_rouge_n(2)}, {ROUGE_L}, {_draws('flat')},
 cells AS ({CELLS}),
 replicate AS (
   SELECT metric, rep, sum(w * x) / sum(w) AS x FROM cells JOIN draws USING (article_id)
@@ -447,10 +487,19 @@ SELECT metric, value FROM mids UNION ALL SELECT 'rougeLsum', value FROM mids WHE
     "bleu_counts": f"WITH {PAIRS}, {_bleu('pairs')} SELECT * FROM counts",
     "encode_rows": ENCODED_ROWS,
     "encode_rows_joined": ENCODED_ROWS,
+    "encode_repeated": ENCODED_ROWS,
+    "encode_repeated_joined": ENCODED_ROWS,
+    "json_pairs": f"""
+WITH {PAIRS}
+SELECT target_sum AS text, gen_sum AS summary,
+       CASE length(target_sum) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM pairs""",
+    "read_translation_files": f"WITH {PAIRS} SELECT gen_sum AS text, target_sum AS summary FROM pairs",
+    "named_split": f"""
+WITH {PAIRS} SELECT target_sum AS text, gen_sum AS summary FROM pairs WHERE length(target_sum) % 2 = 1""",
     "encode_tokenizer": f"""
 WITH {PAIRS}, sizes AS (
-  SELECT article_id, list_transform({_pieces('target_sum')}[1:{MAX_SOURCE}], lambda w: len(w)) AS source_ids,
-         list_transform({_pieces('gen_sum')}[1:{MAX_TARGET}], lambda w: len(w)) AS target_ids FROM pairs)
+  SELECT article_id, list_append(list_transform({_pieces('target_sum')}[1:{MAX_SOURCE - 1}], lambda w: len(w)), 0) AS source_ids,
+         list_append(list_transform({_pieces('gen_sum')}[1:{MAX_TARGET - 1}], lambda w: len(w)), 0) AS target_ids FROM pairs)
 SELECT article_id, array_to_string(source_ids, ' ') AS input_ids,
        array_to_string(list_transform(source_ids, lambda x: 1), ' ') AS attention_mask,
        array_to_string(target_ids, ' ') AS labels FROM sizes""",
@@ -470,10 +519,10 @@ FROM documents GROUP BY 1""",
     "head_samples": f"SELECT doc_id, lang, text FROM documents ORDER BY doc_id LIMIT {HEAD}",
     "clean_export": f"WITH {PAIRS}, {FLAT} SELECT * FROM flat",
     "sentence_lines": rf"""
-SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || {NL}, 'g') AS text
+SELECT doc_id, regexp_replace(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g'), '([.!?]){SPACE}+', '\1' || {NL}, 'g') AS text
 FROM documents""",
     "prediction_lines": rf"""
-WITH {PAIRS} SELECT regexp_replace(regexp_replace(gen_sum, '^\s+|\s+$', '', 'g'), '\r\n|[\n\r\f\v]', ' ', 'g') AS value
+WITH {PAIRS} SELECT regexp_replace(regexp_replace(gen_sum, '^{SPACE}+|{SPACE}+$', '', 'g'), '\r\n|[\n\r\f\v]', ' ', 'g') AS value
 FROM pairs""",
     "csv_roundtrip": f"WITH {PAIRS} SELECT target_sum AS text, gen_sum AS summary FROM pairs",
 }

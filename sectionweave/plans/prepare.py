@@ -4,85 +4,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sections import identify_section
-from ..functions.text import join_sentences, piece_count, strip_markers
+from ..functions.text import join_sentences, piece_count, spelt, spelt_list, strip_markers
 from ..operators.align import assigned_sections, matched_sections, with_matches
 from ..schemas import TRAINING_TYPES
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 
-GROUP = ["group_key"]
-COPY = [*GROUP, "body_key"]
+GROUP = "group_key"
+COPY = (GROUP, "body_key")
 
 
-def _group_hash() -> Column:
-    return F.xxhash64("article_id", "abstract_text")
+def _group_key() -> Column:
+    return F.md5(F.concat(spelt(F.col("article_id")), spelt_list(F.col("abstract_text"))))
 
 
-def _joined(texts: Column, separator: str) -> Column:
-    return F.coalesce(F.array_join(texts, separator, ""), F.lit(""))
-
-
-def _with_copy_keys(articles: DataFrame) -> DataFrame:
-    body = F.concat_ws(
-        "\f", _joined(F.col("section_names"), "\n"),
-        F.transform(F.col("sections"), lambda s: _joined(s, "\n")))
-    return (
-        articles.withColumn("group_key", F.md5(F.concat_ws(
-            "\f", F.coalesce("article_id", F.lit("")), _joined(F.col("abstract_text"), "\n"))))
-        .withColumn("body_key", F.md5(body))
-    )
-
-
-def _repeated(articles: DataFrame, key: Column) -> DataFrame:
-    """64-bit keys held by several rows, counted map-side first: a hot key costs no more than a rare one."""
-    return (
-        articles.select(key.alias("group_hash")).groupBy("group_hash").count()
-        .where(F.col("count") > 1).select("group_hash")
-    )
-
-
-def has_repeated_ids(articles: DataFrame) -> bool:
-    """Whether any article_id occurs twice; reads that one column."""
-    return not _repeated(articles, F.xxhash64("article_id")).isEmpty()
+def _body_key() -> Column:
+    return F.md5(F.concat(spelt_list(F.col("section_names")), spelt_list(F.col("sections"), lambda s: spelt_list(s))))
 
 
 def repeated_groups(articles: DataFrame) -> DataFrame:
-    """Keys of the (article_id, abstract) groups held by several rows."""
-    return _repeated(articles, _group_hash())
+    """Keys of the (article_id, abstract) groups held by several rows; counted map-side first, so a hot group costs no more."""
+    return articles.select(_group_key().alias(GROUP)).groupBy(GROUP).count().where("count > 1").select(GROUP)
 
 
 def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """:func:`matched_sections` over groups of rows with one article_id and abstract.
 
-    The sections of such rows compete together: per abstract sentence the highest
-    score wins, then the smallest ``body_key``, then the first position. Equal rows
-    are folded map-side first, and no group is ever gathered: only (score, row,
-    position) triples meet, under partial aggregation.
+    The sections of such rows compete together: per abstract sentence the highest score wins, then the
+    smallest digest of the row's sections, then the first position. Rows are matched once and written with
+    their matches. Only digests, scores and positions are aggregated, map-side first; rows that are equal in
+    all their columns have one digest and count as one, and texts are read again for winning rows alone.
     """
-    copy = [*COPY, *keep]
-    rows = with_matches(_with_copy_keys(articles).dropDuplicates(copy), **options)
-    claims = rows.select(*copy, F.posexplode_outer("matched").alias("sent_idx", "match")).where(
-        F.col("match").isNotNull())
+    names = ["abstract_text", "article_id", *keep]
+    rows = stored(with_matches(articles.withColumns({GROUP: _group_key(), "body_key": _body_key()}), **options)
+                  .select(*COPY, *names, "zipped", "matched"), "matched")
+    claims = rows.select(*COPY, *keep, F.posexplode_outer("matched").alias("sent_idx", "match")).where("match IS NOT NULL")
     claim = F.struct((-F.col("match.score")).alias("rank"), "body_key", "match.section_idx")
     assigned = (
-        claims.groupBy(*GROUP, *keep, "sent_idx").agg(F.min(claim).alias("best"))
-        .select(*GROUP, *keep, "best.body_key", F.struct("sent_idx", "best.section_idx").alias("pair"))
-        .groupBy(*copy).agg(F.array_sort(F.collect_list("pair")).alias("assigned"))
+        claims.groupBy(GROUP, *keep, "sent_idx").agg(F.min(claim).alias("best"))
+        .select(GROUP, *keep, "best.body_key", F.struct("sent_idx", "best.section_idx").alias("pair"))
+        .groupBy(*COPY, *keep).agg(F.array_sort(F.collect_list("pair")).alias("assigned"))
     )
-    return assigned_sections(rows.drop("matched").join(assigned, copy), keep)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*COPY, *keep)]
+    won = rows.drop("matched").alias("r").join(assigned.alias("a"), same).select("r.*", "assigned")
+    # Equal keys mean equal rows: any of them will do.
+    one = won.groupBy(*COPY, *keep).agg(F.first(F.struct("abstract_text", "article_id", "zipped", "assigned")).alias("row"))
+    return assigned_sections(one.select(*keep, "row.*"), keep)
 
 
 def aligned_sections(articles: DataFrame, pool_copies: bool = True, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Sections with their assigned sentences, for rows that may share an article_id and abstract.
 
-    Rows alone in their group never leave their partition. The others are told
-    apart by a set of 64-bit keys, broadcast only when checked to be small.
+    One narrow pass counts the digests of id and abstract. Rows alone in their group never leave their
+    partition; the others are told apart by those digests, broadcast only when checked to be few.
     """
-    if not (pool_copies and has_repeated_ids(articles)):
+    if not pool_copies:
+        return matched_sections(articles, keep, **options)
+    keys = stored(repeated_groups(articles), "repeated")
+    if keys.isEmpty():
         return matched_sections(articles, keep, **options)
-    keys = broadcast_if_small(repeated_groups(articles))
-    tagged = articles.withColumn("group_hash", _group_hash())
-    single = tagged.join(keys, "group_hash", "left_anti").drop("group_hash")
-    several = tagged.join(keys, "group_hash", "left_semi").drop("group_hash")
+    keys = broadcast_if_small(keys)
+    tagged = articles.withColumn(GROUP, _group_key())
+    single = tagged.join(keys, GROUP, "left_anti").drop(GROUP)
+    several = tagged.join(keys, GROUP, "left_semi").drop(GROUP)
     return matched_sections(single, keep, **options).unionByName(pooled_sections(several, keep, **options))
 
 

@@ -16,7 +16,7 @@ from .sources.documents import articles_from_documents, pairs_from_conversations
 
 PAD, UNK = 0, 1
 MAX_SOURCE, MAX_TARGET = 128, 32
-REPS = 200
+REPS = 1000
 HEAD = 100
 
 
@@ -45,8 +45,8 @@ def long_sentence_summarizer() -> Callable[[list[str]], list[str]]:
 
 
 def word_length_tokenizer() -> Callable[[list[str]], list[list[int]]]:
-    """Stands in for a subword tokenizer: each word's length."""
-    return lambda texts: [[len(w) for w in re.split(r"[ \t\n\f\r]+", t) if w] for t in texts]
+    """Stands in for a subword tokenizer: each word's length, then the end id 0, which cut texts have as well."""
+    return lambda texts, longest: [[*[len(w) for w in re.split(r"[ \t\n\f\r]+", t) if w][:longest - 1], 0] for t in texts]
 
 
 def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +68,12 @@ def _score(df: DataFrame) -> DataFrame:
 
 def best_section(spark, sf_dir):
     aligned = align.best_section(articles(spark, sf_dir), use_stemmer=False)
-    return _rounded(aligned, "score")
+    return _rounded(aligned.drop(align.ABSTRACT_KEY), "score")
 
 
 def best_section_unmarked(spark, sf_dir):
     aligned = align.best_section(articles(spark, sf_dir), min_score=0.5, use_stemmer=False, strip_markers_first=True)
-    return _rounded(aligned.drop("sentence"), "score")
+    return _rounded(aligned.drop("sentence", align.ABSTRACT_KEY), "score")
 
 
 def sentence_section_scores(spark, sf_dir):
@@ -203,9 +203,8 @@ def _text_pairs(spark, sf_dir):
 
 
 def _vocab(spark, sf_dir):
-    """Words of the user turns; words only an assistant uses are unknown."""
-    users = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    return vocabulary(users, "text")
+    """Words of all turns."""
+    return vocabulary(table(spark, sf_dir, "conversations"), "text")
 
 
 def _encoded(spark, sf_dir, **options):
@@ -285,6 +284,46 @@ def json_roundtrip(spark, sf_dir):
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 
+def encode_repeated(spark, sf_dir, **options):
+    """A vocabulary that gives words several ids: the smallest counts."""
+    vocab = _vocab(spark, sf_dir)
+    several = vocab.unionAll(vocab.withColumn("id", F.col("id") + 1_000_000)).unionAll(vocab.select(F.lit(None).cast("string").alias("token"), "id"))
+    return _id_text(encode.encode_pairs(_text_pairs(spark, sf_dir), several, MAX_SOURCE, MAX_TARGET, PAD, unk=UNK,
+                                        prefix="summarize: ", keys=("article_id",), **options))
+
+
+def encode_repeated_joined(spark, sf_dir):
+    return encode_repeated(spark, sf_dir, max_entries=0)
+
+
+def json_pairs(spark, sf_dir):
+    """Pair files by split, with a field that only some records have, by column names and by position."""
+    root = scratch_path(spark, "pair_files")
+    whole = _text_pairs(spark, sf_dir).withColumn("note", F.when(F.col("article_id").endswith("1"), "odd"))
+    whole = whole.select("text", "summary", "note", (F.length("text") % 3).alias("part"))
+    for part in range(3):
+        whole.where(F.col("part") == part).drop("part").write.json(f"{root}/{part}.json")
+    paths = {name: f"{root}/{part}.json" for part, name in enumerate(("train", "validation"))}
+    named = readers.read_pair_splits(spark, {"test": f"{root}/2.json"}, text_col="text", summary_col="summary")
+    return readers.read_pair_splits(spark, paths).unionByName(named)
+
+
+def read_translation_files(spark, sf_dir):
+    path = f"{scratch_path(spark, 'translations')}.json"
+    record = F.struct(F.col("target_sum").alias("en"), F.col("gen_sum").alias("fr"))
+    pairs(spark, sf_dir).select(record.alias("translation")).write.json(path)
+    return columns.translation_pairs(readers.read_translations(spark, path), "translation", "fr_XX", "en_XX")
+
+
+def named_split(spark, sf_dir):
+    """One split of a dataset known by name, its columns found by the name as well."""
+    path = scratch_path(spark, "named")
+    known = _text_pairs(spark, sf_dir).select(F.col("summary").alias("summary"), F.col("text").alias("document"),
+                                              F.when(F.length("text") % 2 == 0, "train").otherwise("test").alias("split"))
+    known.write.parquet(path)
+    return columns.select_pair(readers.load_split(spark, "xsum", "test", {"xsum": path}), dataset="xsum")
+
+
 def csv_roundtrip(spark, sf_dir):
     path = f"{scratch_path(spark, 'pairs')}.csv"
     _text_pairs(spark, sf_dir).drop("article_id").write.mode("overwrite").csv(
@@ -300,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_stemmed, generate_rows, assemble_rows, assemble_scores, bootstrap_ci, ci_report, corpus_rouge,
         corpus_bleu, bleu_counts, encode_rows, encode_rows_joined, encode_tokenizer, unmask_decode, gen_length,
         sample_counts, compute_metrics, translation_pairs, head_samples, clean_export, sentence_lines,
-        prediction_lines, json_roundtrip, csv_roundtrip,
+        prediction_lines, json_roundtrip, csv_roundtrip, encode_repeated, encode_repeated_joined, json_pairs,
+        read_translation_files, named_split,
     )
 }

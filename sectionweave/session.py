@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 # Rows of 64-bit keys that may be broadcast: 1M x 8 bytes is 8 MB on each executor.
 BROADCAST_KEY_ROWS = 1_000_000
-# Article rows are long: rows that one Arrow batch may hold.
+# Article rows are long: rows and bytes that one Arrow batch may hold.
 ARROW_ROWS = 512
+ARROW_BYTES = 64 << 20
+# An input below this size may be dealt out to idle cores.
+SPREAD_BYTES = 1 << 30
 
 
 def build_session(app_name: str = "sectionweave", master: str | None = None, **conf) -> SparkSession:
@@ -45,6 +48,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it from there: it is computed once, and a lost executor costs nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_KEY_ROWS) -> bool:
     """Whether a table of fixed-width keys has at most ``max_rows`` rows (reads no further)."""
     return keys.limit(max_rows + 1).count() <= max_rows
@@ -70,14 +80,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Make any session ready for the operators: ship the package, bound Arrow batches."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(batch)) > ARROW_ROWS:
-        spark.conf.set(batch, str(ARROW_ROWS))
+    """Make any session ready for the operators: ship the package, bound Arrow batches by rows and bytes for the whole session."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set(size, str(ARROW_BYTES))
     return ship_package(spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores; larger inputs pass through unshuffled."""
+    """Use all cores on a small input of few splits; inputs of SPREAD_BYTES and more pass through unshuffled."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -48,7 +48,7 @@ def articles_from_documents(documents: DataFrame, article_id: Column | None = No
 def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     """Each assistant turn with the user turn right before it.
 
-    Turns are numbered without gaps, so the turn before is an equality; the join
+    Turns must be numbered without gaps (a gap leaves the turn behind it without a pair), so the turn before is an equality; the join
     key holds the turn and spreads even a conversation that has most of the rows.
     """
     answers = conversations.where(F.col("role") == "assistant").select(

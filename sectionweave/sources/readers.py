@@ -1,6 +1,7 @@
 """Files and tables in."""
 
-import json
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,11 @@ def read_splits(spark: SparkSession, root: str, names: tuple[str, ...] = SPLITS,
 
 
 def read_rows(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Section rows as the writer leaves them: one directory per split."""
-    return spark.read.schema(ROW).format(fmt).load(path)
+    """Section rows as the writer leaves them: one directory per split. A malformed line fails the job."""
+    reader = spark.read.schema(ROW)
+    if fmt == "json":
+        reader = reader.option("mode", "FAILFAST")
+    return reader.format(fmt).load(path)
 
 
 def file_format(path: str) -> str:
@@ -50,29 +54,44 @@ def file_format(path: str) -> str:
     return extension
 
 
-def read_file(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_file(spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """A csv or json file with all columns as strings, in file order.
 
-    The field order of json comes from its first record, since positions decide
-    the text and summary column when no names are given.
+    ``columns`` names the fields of json. Without it they are those of all records, in the order in which they
+    first appear, as positions decide the text and summary column when no names are given; that costs a pass
+    over the file. A malformed json record fails the job.
     """
     if (fmt or file_format(path)) == "csv":
         return spark.read.csv(path, header=True, multiLine=True, escape='"')
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    names = list(json.loads(first["value"])) if first else []
-    return spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).json(path)
+    names = columns or json_fields(spark.read.text(path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def json_fields(lines: DataFrame) -> list[str]:
+    """Top-level fields of JSON lines by first appearance; one row per distinct field is gathered."""
+    keys = lines.select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.json_object_keys("value")).alias("at", "field"))
+    first = keys.groupBy("field").agg(F.min(F.struct("line", "at")).alias("first"))
+    return [row.field for row in first.orderBy("first").collect()]
 
 
 def read_pairs(spark: SparkSession, path: str, text_col: str | None = None, summary_col: str | None = None,
                dataset: str | None = None, fmt: str | None = None) -> DataFrame:
     """Two-column texts as ``text`` and ``summary``."""
-    return select_pair(read_file(spark, path, fmt), text_col, summary_col, dataset)
+    named = [text_col, summary_col] if text_col and summary_col and text_col != summary_col else None
+    return select_pair(read_file(spark, path, fmt, named), text_col, summary_col, dataset)
+
+
+def read_pair_splits(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
+    """Pair files by split name in one DataFrame with a ``split`` column."""
+    parts = [read_pairs(spark, path, **options).withColumn("split", F.lit(split)) for split, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
     """Records with one string per language code."""
     schema = T.StructType([T.StructField("translation", T.MapType(T.StringType(), T.StringType()))])
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def select_split(df: DataFrame, split: str) -> DataFrame:

@@ -162,3 +162,24 @@ def test_rows_of_one_article_pool_their_sections(spark, monkeypatch, broadcast_l
     assert [s.replace(" n o", "") for _, d, s in hot if d == "x y z"] == ["x y z"]
     assert sum("n o" in s for _, _, s in hot) == 1
     assert [f for f in found if f[0] != "hot"] == [("None", "x", "x"), ("alone", "p", "x y z p q r n o")]
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_rows_that_differ_in_line_breaks_or_nulls_only_are_all_used(spark, order, partitions):
+    sections = [[["x y z"]], [["x y", "z"]], [["x", None, "y z"]]]
+    rows = [{"article_id": "1", "abstract_text": ["x y z"], "section_names": ["Methods"], "sections": s} for s in sections]
+    df = frame(spark, [rows[i] for i in order]).repartition(partitions)
+    got = prepare.prepare_section_rows(df, train=False, min_document=0).collect()
+    assert [(r.document, r.summary) for r in got] == [("x y z", "x y z")]
+    abstracts = [["a", "b"], ["a\nb"], ["a", None, "b"], ["a", "", "b"]]
+    apart = [{"article_id": "1", "abstract_text": a, "section_names": ["Methods"], "sections": [["a b"]]} for a in abstracts]
+    assert prepare.repeated_groups(frame(spark, apart)).count() == 0
+
+
+def test_articles_of_one_id_stay_apart(spark):
+    rows = [{"article_id": "1", "abstract_text": [a], "section_names": ["Methods", "Results"], "sections": [[a], ["q"]]} for a in ("x y", "z")]
+    df = frame(spark, rows)
+    regrouped = align.regroup_articles(align.explode_sections(df)).collect()
+    assert sorted([s.section_idx for s in r.full_text_sections] for r in regrouped) == [[0, 1], [0, 1]]
+    assert sorted(r.section_summary for r in align.collect_section_summary(align.best_section(df)).collect()) == [["x y"], ["z"]]

@@ -55,12 +55,33 @@ def test_decode_skips_padding_and_special_ids(pairs, vocab, limit):
     assert encode.generated_length(encoded, 0).first().gen_len == 2.25
 
 
-def test_caller_tokenizer_is_loaded_by_the_worker(pairs):
+@pytest.mark.parametrize("limit", [10, 0])
+def test_lookup_has_one_meaning_both_ways(spark, limit):
+    table = spark.createDataFrame([("a", 9), ("a", 2), (None, 5), ("b", 3)], "token string, id long")
+    df = spark.createDataFrame([("x", ["a", None, "b"]), ("y", ["a"])], "key string, words array<string>")
+    assert rows(translate_arrays(df, ("words",), table, "token", "id", 0, limit)) == {"x": ([2, 0, 3],), "y": ([2],)}
+    back = spark.createDataFrame([(3_000_000_000, "far"), (1, "near"), (1, "also")], "id long, token string")
+    ids = spark.createDataFrame([("x", [1, 7, None])], "key string, words array<int>")
+    assert rows(translate_arrays(ids, ("words",), back, "id", "token", "?", limit)) == {"x": (["also", "?", "?"],)}
+
+
+def test_caller_tokenizer_gets_the_length_and_is_loaded_once_per_worker(spark, pairs, tmp_path):
+    folder = str(tmp_path)
+
     def load():
-        return lambda texts: [[len(w) for w in t.split()] for t in texts]
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts, longest: [[*[len(w) for w in t.split()][:longest - 1], 9] for t in texts]
+
+    def load_target():
+        return lambda texts, longest: [[7] * min(longest, len(t.split())) for t in texts]
 
-    got = rows(encode.encode_with(pairs, load, 3, 2, pad=0, keys=("key",)))
-    assert got["b"] == ([3, 5, 4], [1, 1, 1], [3, 3]) and got["c"] == ([0, 0, 0], [0, 0, 0], [-100, -100])
+    got = rows(encode.encode_with(pairs.repartition(8), load, 3, 2, pad=0, keys=("key",), target_tokenizer=load_target))
+    assert got["b"] == ([3, 5, 9], [1, 1, 1], [7, 7]) and got["c"] == ([9, 0, 0], [1, 0, 0], [-100, -100])
+    loads = [name.name.split("-")[0] for name in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))
 
 
 def test_vocabulary_numbers_are_dense(spark):
@@ -95,6 +116,7 @@ def test_head_and_counts(spark):
     df = spark.range(20).withColumn("split", F.when(F.col("id") < 15, "train").otherwise("test")).repartition(4)
     assert [r.id for r in columns.head(df, 3, "id").collect()] == [0, 1, 2]
     assert columns.head(df, None, "id").count() == 20
+    assert columns.head(df, 0, "id").count() == 0 and columns.head(df, 50, "id").count() == 20
     counts = columns.sample_counts(df, 10, by=("split",)).collect()
     assert sorted(map(tuple, counts)) == [("test", 5), ("train", 10)]
     assert columns.sample_counts(df).first().samples == 20

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,10 +93,29 @@ def test_bootstrap_brackets_the_mean_and_repeats(pairs):
     assert rows[("rouge1", "fmeasure")].value == pytest.approx(mean)
 
 
-def test_poisson_weights_have_mean_and_variance_one(spark):
-    df = spark.range(20000).select(aggregate._poisson(F.pmod(F.xxhash64("id"), F.lit(1 << 32))).alias("w"))
-    mean, var = df.agg(F.avg("w"), F.variance("w")).first()
-    assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.05)
+def test_poisson_weights_have_mean_and_variance_one():
+    seeds = np.random.default_rng(1).integers(0, 1 << 32, (2, 4000), dtype=np.uint32)
+    weights = aggregate._weights(seeds[0], seeds[1], 50)
+    assert weights.mean() == pytest.approx(1, abs=0.02) and weights.var() == pytest.approx(1, abs=0.03)
+    assert abs(np.corrcoef(weights[:10])[np.triu_indices(10, 1)]).max() < 0.08
+    assert weights.max() > 5 and aggregate.POISSON_STEPS[-1] >= (1 << 32) - 5
+
+
+def test_bootstrap_of_repeated_ids_and_rows(spark, data):
+    one_id = spark.createDataFrame([("x", t, g) for _, t, g in data], SCHEMA)
+    own = {(r.metric, r.statistic): r for r in aggregate.bootstrap_ci(spark.createDataFrame(data, SCHEMA), reps=200).collect()}
+    for r in aggregate.bootstrap_ci(one_id, reps=200).collect():
+        mine = own[(r.metric, r.statistic)]
+        assert r.value == pytest.approx(mine.value)
+        assert (r.lo, r.hi) == pytest.approx((mine.lo, mine.hi), abs=0.06) and r.lo < r.hi
+    halves = spark.createDataFrame([(None, "a b", "a b")] * 30 + [(None, "a b", "c d")] * 30, SCHEMA)
+    found = aggregate.bootstrap_ci(halves, reps=400).where("metric = 'rouge1' AND statistic = 'fmeasure'").first()
+    assert found.value == 0.5 and found.lo == pytest.approx(0.375, abs=0.05) and found.hi == pytest.approx(0.625, abs=0.05)
+
+
+def test_means_are_not_rounded_first(spark):
+    df = spark.createDataFrame([(1 / 3, 0.0, 0.0), (0.5, 0.0, 0.0)], "rouge1 double, rouge2 double, rougeLsum double")
+    assert aggregate.score_summary(df).where("statistic = 'mean'").first().rouge1 == pytest.approx((1 / 3 + 0.5) / 2, abs=1e-11)
 
 
 def test_report_layout(spark):

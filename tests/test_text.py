@@ -76,3 +76,10 @@ def test_sql_functions(spark):
 
 def test_stemming_keeps_separators_and_short_tokens(spark):
     assert evaluate(spark, stem_text, "the ties was\nrunning\fflies", None) == ["the tie was\nrun\ffli", None]
+
+
+def test_white_space_of_any_script(spark):
+    df = spark.createDataFrame([("1\u00a0Introduction",), ("\u2003Results\u3000",)], "x string")
+    assert [r[0] for r in df.select(identify_section(F.col("x"))).collect()] == ["i", "r"]
+    assert [r[0] for r in df.select(text.strip(F.col("x"))).collect()] == ["1\u00a0Introduction", "Results"]
+    assert spark.range(1).select(text.postprocess_text(F.lit("\u2003a.\u00a0b!\u3000c "))).first()[0] == "a.\nb!\nc"
