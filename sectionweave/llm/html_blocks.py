@@ -35,8 +35,12 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead "
     "tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold other blocks; only these are kept on the stack, so what is left open inside them ends with them.
-HOLDERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr dt dd html".split()) | OPAQUE
+#: Elements that are kept on the stack; what is left open inside one ends with it.
+HOLDERS = BLOCKS - frozenset(("hr", "html")) | OPAQUE
+#: Elements that end where the next block begins.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Elements that end where one like them begins.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 BOILERPLATE = frozenset("nav footer aside form dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar status".split())
 #: Parts of class and id names.
@@ -178,6 +182,9 @@ def blocks_of(html: str) -> list[Block]:
         if name in BLOCKS:
             end_block()
             links = 0
+            if not tag["close"]:
+                while stack[-1].name in LEAVES or stack[-1].name in SIBLINGS.get(name, ()):
+                    stack.pop()
         elif name == "br":
             add(" ")
         elif name == "a":

@@ -7,30 +7,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import attach, scratch_path
+from ..session import attach, stored
+
+__all__ = ["keep_rows", "record_batch", "sliced", "stored", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it from there: the lineage ends, lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text; null and empty texts differ."""
     return F.when(text.isNotNull(), F.xxhash64(text))
 
 
-def string_batches(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    """Texts of a column, null as empty."""
-    return [text or "" for text in column.to_pylist()]
-
-
 def record_batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     """A batch of the Arrow types that Spark expects for ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
