@@ -14,6 +14,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,9 +178,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int, int]:
     A span that is found in the text itself is named ``base``, others by the first layer that shows them.
     """
     found: dict[tuple[int, int, int], str] = {}
-    work, seen, n_layers, oversize = [Layer(text, "base", None, None)], set(), 0, 0
+    work, seen, n_layers, oversize = deque([Layer(text, "base", None, None)]), set(), 0, 0
     while work:
-        layer = work.pop()
+        layer = work.popleft()
         n_layers += 1
         for start, kind, end in scan_layer(layer.text):
             begin, stop = layer.span(start, end)

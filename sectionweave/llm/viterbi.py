@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .tables import record_batch, sliced
 
 SPACE = "▁"
-#: Stands for a literal U+2581 of the text, and has no piece.
-LITERAL = "▁"
+#: Stands for a literal U+2581 of the text: a lone surrogate, which no text holds, and no piece.
+LITERAL = "\ud800"
 #: A character spelt in bytes scores this much less than the worst piece.
 BYTE_PENALTY = 10.0
 #: Where a space follows something else, or a line break stands, no piece crosses: these parts are searched on their own.
