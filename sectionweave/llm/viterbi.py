@@ -7,6 +7,7 @@ are spelt in byte pieces, so decoding gives back any text.
 """
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ BYTE_PENALTY = 10.0
 #: Where a space follows something else, or a line break stands, no piece crosses: these parts are searched on their own.
 PART = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Parts that are remembered; two generations of them.
-GENERATION = 200_000
+GENERATION = 500_000
 #: Longer parts are not remembered.
 LONGEST = 64
 
@@ -61,6 +62,8 @@ class Pieces:
     def __init__(self, plain: dict[str, tuple[int, float]], in_bytes: list[int]):
         self.plain, self.in_bytes = plain, in_bytes
         self.longest = max(map(len, plain))
+        # Every ending of a piece, with the piece that it is, if any.
+        self.ends = {p[i:]: plain.get(p[i:]) for p in plain for i in range(len(p))}
         # Scores of bytes lie below those of all pieces that are in use: some vocabularies bar pieces by a huge negative score.
         self.byte_score = min((s for _, s in plain.values() if s > -1e8), default=0.0) - BYTE_PENALTY
         # Parts may be searched on their own only if no piece has a space behind another character or a line break.
@@ -73,15 +76,17 @@ class Pieces:
         """Committed runs of ids of a stream of characters. Of equal scores the path with the longer last piece wins."""
         window: list[str] = []          # the characters from the first boundary that is still needed
         best, back, ids = [0.0], [0], [None]
-        plain, longest = self.plain, self.longest
+        plain, longest, ends, none = self.plain, self.longest, self.ends, ()
         for character in text:
             window.append(character)
             n = len(window)
             score, start, piece = float("-inf"), n - 1, None
             tail = "".join(window[max(0, n - longest):])
-            for begin in range(max(0, n - longest), n):
-                entry = plain.get(tail[begin - n:])
-                if entry and best[begin] + entry[1] > score:
+            for begin in range(n - 1, max(0, n - longest) - 1, -1):
+                entry = ends.get(tail[begin - n:], none)
+                if entry is none:
+                    break  # no piece ends like this, and none that is longer
+                if entry and best[begin] + entry[1] >= score:
                     score, start, piece = best[begin] + entry[1], begin, entry[0]
             if character not in plain and best[n - 1] + self.byte_score > score:
                 score, start, piece = best[n - 1] + self.byte_score, n - 1, None
@@ -148,7 +153,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 4 << 20):
-            ids = [np.array(model(path).encode(t or ""), "<u4").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [array("I", model(path).encode(t or "")).tobytes() for t in batch.column(1).to_pylist()]
             yield record_batch(ENCODED, [batch.column(0).to_pylist(), ids])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
@@ -175,7 +180,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in sliced(batches, 1, 4 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [model(path).encode(t) for t in texts]
-            yield record_batch(schema, [batch.column(0).to_pylist(), [np.array(i, "<u4").tobytes() for i in ids], texts,
+            yield record_batch(schema, [batch.column(0).to_pylist(), [array("I", i).tobytes() for i in ids], texts,
                                         [model(path).decode(i) for i in ids]])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
