@@ -19,8 +19,6 @@ from .tables import stored
 MARKS = r"^[\x20\x09]*(?:>[\x20\x09]?)+"
 #: A line that only says who wrote what is quoted below it.
 ATTRIBUTION = r"(?i)^[\x20\x09]*(?:on\b.*\bwrote|.{1,80}\b(?:wrote|said|writes)):[\x20\x09]*$"
-#: Turns of one conversation whose order is counted together.
-RANGE = 1024
 
 
 def _level(line: Column) -> Column:
@@ -40,17 +38,17 @@ def parsed(messages: DataFrame) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.struct(
         _level(line).alias("level"), F.regexp_replace(line, MARKS, "").alias("body"), line.alias("line")))
 
-    def runs(state: Column, line: Column) -> Column:
-        last = F.element_at(state, -1)
-        begun = F.array(F.struct(line["level"].alias("level"), F.array(line["body"]).alias("lines")))
-        longer = F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(line["body"])).alias("lines"))
-        same = (F.size(state) > 0) & (F.get(state, F.size(state) - 1)["level"] == line["level"])
-        return F.when(same, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(longer))).otherwise(F.concat(state, begun))
+    def edges(step: int) -> Column:
+        """Places of the quoted lines whose neighbour ``step`` away has another level."""
+        level = lambda i: F.coalesce(F.get(F.col("lines"), i)["level"], F.lit(0))
+        return F.filter(F.transform("lines", lambda x, i: F.when((x["level"] > 0) & (x["level"] != level(i + step)), i)), F.isnotnull)
+
+    def passage(first: Column, last: Column) -> Column:
+        inside = F.slice("lines", first + 1, last - first + 1)
+        return F.struct(F.get(F.col("lines"), first)["level"].alias("level"), F.transform(inside, lambda x: x["body"]).alias("lines"))
 
     quoted = F.filter("lines", lambda x: x["level"] > 0)
     empty = F.array().cast("array<struct<level:int,lines:array<string>>>")
-    # A run is told by the place of its last line; only quoted lines are gathered, level 0 merely ends a run.
-    whole = F.aggregate("lines", empty, runs)
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~(
         x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)) > 0)))
     text = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^[\x20\x09-\x0D]*\n|\n[\x20\x09-\x0D]*$", "")
@@ -59,7 +57,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role",
         F.when(has, text).otherwise(F.coalesce("text", F.lit(""))).alias("own"),
         F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).alias("max_level"), F.size(quoted).alias("n_quoted"),
-        F.when(has, F.filter(whole, lambda p: p["level"] > 0)).otherwise(empty).alias("passages"))
+        F.when(has, F.zip_with(edges(-1), edges(1), passage)).otherwise(empty).alias("passages"))
 
 
 def _hashes(texts: Column) -> Column:
@@ -105,19 +103,23 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, depth, position, max_level, n_quoted and text (without quotes) of every message.
 
     position counts the messages of the conversation that come before in reply order; repeated (conv_id,
-    turn) rows share it. It is counted within ranges of the first turn of a thread, to which the sizes of the
-    ranges before are added, so that a long conversation is no single group. Messages without a turn come first.
+    turn) rows share it. Turns, without texts, are cut into ranges of (conv_id, path) at sampled bounds and counted
+    inside each, and the sizes of the ranges before are added, so that no conversation or thread is a single
+    group. Messages without a turn come first.
     """
     read = parsed(messages)
     links = stored(linked(read), "links")
-    known = links.join(paths(links), ["conv_id", "turn"])
-    read, known = read.alias("m"), known.alias("k")
-    placed = read.join(known, (F.col("m.conv_id") == F.col("k.conv_id")) & (F.col("m.turn") == F.col("k.turn")), "left").select(
-        "m.conv_id", "m.turn", "role", "reply_to", F.coalesce("path", F.array("m.turn")).alias("path"), "max_level", "n_quoted", F.col("own").alias("text"))
-    placed = placed.withColumn("part", F.floor(F.get("path", F.lit(0)) / RANGE))
-    sizes = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    bases = sizes.selectExpr("conv_id AS c", "part AS p", "coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
-    ranked = placed.selectExpr("*", "rank() OVER (PARTITION BY conv_id, part ORDER BY path) - 1 AS inside")
-    return ranked.join(bases, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).select(
-        "conv_id", "turn", "role", "reply_to", (F.size("path") - 1).alias("depth"), (F.col("base") + F.col("inside")).cast("long").alias("position"),
-        "max_level", "n_quoted", "text")
+    known = links.join(paths(links), ["conv_id", "turn"]).alias("k")
+    turns = messages.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).alias("m")
+    placed = turns.join(known, (F.col("m.conv_id") == F.col("k.conv_id")) & (F.col("m.turn") == F.col("k.turn")), "left").select(
+        "m.conv_id", "m.turn", "n", "reply_to", F.coalesce("path", F.array("m.turn")).alias("path"))
+    cut = stored(placed.repartitionByRange("conv_id", "path").withColumn("part", F.spark_partition_id()), "order")
+    sizes = cut.groupBy("conv_id", "part").agg(F.sum("n").alias("size"))
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    bases = sizes.selectExpr("conv_id AS c", "part AS p", f"coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY part {before} AS base")
+    inside = cut.selectExpr("*", f"coalesce(sum(n) OVER (PARTITION BY conv_id, part ORDER BY path {before} AS inside")
+    order = inside.join(bases, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).select(
+        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", (F.size("path") - 1).alias("depth"),
+        (F.col("base") + F.col("inside")).cast("long").alias("position"))
+    return read.join(order, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).select(
+        "conv_id", "turn", "role", "reply_to", "depth", "position", "max_level", "n_quoted", F.col("own").alias("text"))

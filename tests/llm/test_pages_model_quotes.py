@@ -103,3 +103,31 @@ def test_long_reply_chains(spark):
     chain = [(1, i, "user", (f"> say {i - 1}\n" if i else "") + f"say {i}") for i in range(60)]
     rows = {r.turn: r for r in quotes.reply_ordered(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()}
     assert {t: (r.depth, r.position) for t, r in rows.items()} == {i: (i, i) for i in range(60)}
+
+
+def test_passages_are_runs_of_one_level(spark):
+    text = "> a\n> b\n>> c\nplain\n>> d\n> e\n\n> f"
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "none"), (1, 2, "user", ">\n" * 3000 + "x")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: [(p.level, p.lines) for p in r.passages] for r in quotes.parsed(df).collect()}
+    assert got[0] == [(1, ["a", "b"]), (2, ["c"]), (2, ["d"]), (1, ["e"]), (1, ["f"])] and got[1] == []
+    assert [(level, len(lines)) for level, lines in got[2]] == [(1, 3000)]
+
+
+def test_order_over_many_ranges(spark):
+    """One conversation, wide threads and repeated turns, cut into more ranges than one."""
+    rows = [(1, 0, "user", "start")] + [(1, i, "user", f"> {'start' if i % 3 else 'line 1'}\nline {i}") for i in range(1, 300)] + [(1, 7, "user", "line 7")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = quotes.reply_ordered(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    parent = {r.turn: r.reply_to for r in got}
+
+    def path(turn):
+        return [turn] if parent[turn] is None else [*path(parent[turn]), turn]
+
+    paths = [path(r.turn) for r in got]
+    assert len(got) == len(rows)
+    assert [r.position for r in got] == [sum(other < own for other in paths) for own in paths]
