@@ -81,6 +81,99 @@ section_text AS (
   SELECT doc_id, sec, string_agg(s, ' ' ORDER BY i, j) AS document, count(*) AS n_sentences
   FROM sentences GROUP BY ALL)"""
 
+# Fixed values of Porter (1980) with the usual extensions: ending, what takes its place; the first that fits counts.
+IRREGULAR = (
+    ("sky", "sky"), ("skies", "sky"), ("dying", "die"), ("lying", "lie"), ("tying", "tie"), ("news", "news"),
+    ("inning", "inning"), ("innings", "inning"), ("outing", "outing"), ("outings", "outing"),
+    ("canning", "canning"), ("cannings", "canning"), ("howe", "howe"),
+    ("proceed", "proceed"), ("exceed", "exceed"), ("succeed", "succeed"),
+)
+STEP_1A = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
+STEP_1B = (("ied", ""), ("eed", ""), ("ed", ""), ("ing", ""))
+STEP_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
+    ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log"),
+)
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = tuple((ending, "") for ending in (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize"))
+
+
+def _shape(word: str) -> str:
+    """Vowels as v, other letters as c; a y is a vowel behind a consonant."""
+    return (f"CASE WHEN {word} = '' THEN '' ELSE list_reduce(string_split({word}, ''), lambda s, x: s || "
+            "CASE WHEN contains('aeiou', x) OR (x = 'y' AND s[-1:] = 'c') THEN 'v' ELSE 'c' END, '') END")
+
+
+def _measure(shape: str) -> str:
+    return f"len(regexp_extract_all({shape}, 'v+c+'))"
+
+
+def _short(word: str, shape: str) -> str:
+    return f"({shape} = 'vc' OR (suffix({shape}, 'cvc') AND NOT contains('wxy', {word}[-1:])))"
+
+
+def _ending(name: str, source: str, rules, becomes: str) -> str:
+    """``becomes`` over root, shape, ending, new and x for words x with one of the endings; other words stay."""
+    rows = ", ".join(f"({i}, '{ending}', '{new}')" for i, (ending, new) in enumerate(rules))
+    return f"""
+{name}_roots AS (
+  SELECT w, x, ending, new, left(x, length(x) - length(ending)) AS root
+  FROM {source} JOIN (VALUES {rows}) r(place, ending, new) ON suffix(x, ending)
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY place) = 1),
+{name}_shapes AS (SELECT *, {_shape('root')} AS shape FROM {name}_roots),
+{name} AS (
+  SELECT w, x FROM {source} ANTI JOIN {name}_roots USING (w)
+  UNION ALL SELECT w, {becomes} FROM {name}_shapes)"""
+
+
+def _stems(words: str) -> str:
+    """CTE ``stems`` (w, x) of the tokens w of ``words`` that are longer than three characters."""
+    past = f"""CASE ending WHEN 'ied' THEN root || CASE WHEN length(x) = 4 THEN 'ie' ELSE 'i' END
+    WHEN 'eed' THEN CASE WHEN {_measure('shape')} > 0 THEN root || 'ee' ELSE x END
+    ELSE CASE WHEN NOT contains(shape, 'v') THEN x WHEN regexp_matches(root, '(at|bl|iz)$') THEN root || 'e'
+      WHEN length(root) > 1 AND root[-1:] = root[-2:-2] AND shape[-1:] = 'c'
+        THEN CASE WHEN contains('lsz', root[-1:]) THEN root ELSE root[:-2] END
+      WHEN {_measure('shape')} = 1 AND {_short('root', 'shape')} THEN root || 'e' ELSE root END END"""
+    kept = "CASE WHEN {} THEN root || new ELSE x END".format
+    long = f"{_measure('shape')} > 0"
+    return f"""
+long_words AS (SELECT DISTINCT w, w AS x FROM {words} WHERE length(w) > 3),
+{_ending('plain', 'long_words', STEP_1A, "CASE WHEN length(x) = 4 AND ending = 'ies' THEN x[:-2] ELSE root || new END")},
+{_ending('past', 'plain', STEP_1B, past)},
+{_ending('ypsilon', 'past', (('y', 'i'),), kept("length(x) > 2 AND shape[-1:] = 'c'"))},
+{_ending('ally', 'ypsilon', (('alli', 'al'),), kept(long))},
+{_ending('doubled', 'ally', STEP_2, kept(f"{_measure(_shape('(CASE ending WHEN $$logi$$ THEN root || $$l$$ ELSE root END)'))} > 0"))},
+{_ending('adjectives', 'doubled', STEP_3, kept(long))},
+{_ending('bare', 'adjectives', STEP_4, kept(f"{_measure('shape')} > 1 AND (ending <> 'ion' OR root[-1:] IN ('s', 't'))"))},
+{_ending('final_e', 'bare', (('e', ''),), kept(f"{_measure('shape')} > 1 OR ({_measure('shape')} = 1 AND NOT {_short('root', 'shape')})"))},
+{_ending('final_l', 'final_e', (('ll', 'l'),), kept(f"{_measure(_shape('(root || new)'))} > 1"))},
+stems AS (
+  SELECT w, coalesce(known.x, f.x) AS x
+  FROM final_l f LEFT JOIN (VALUES {', '.join(map(str, IRREGULAR))}) known(word, x) ON word = w)"""
+
+
+def _stemmed_text(name: str, source: str, keys: str) -> str:
+    """The texts s of ``source`` as stemmed tokens between spaces; a text without tokens is left out."""
+    return f"""
+{name} AS (
+  SELECT {keys}, string_agg(coalesce(x, w), ' ' ORDER BY pos) AS s FROM (
+    SELECT {keys}, line, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos
+    FROM (SELECT {keys}, row_number() OVER () AS line, {_tokens('s')} AS toks FROM {source}))
+  LEFT JOIN stems USING (w) GROUP BY {keys}, line)"""
+
+
+# Sentences and abstracts of the articles, stemmed.
+ARTICLE_STEMS = f"""
+article_words AS (
+  SELECT DISTINCT unnest({_tokens('s')}) AS w FROM (SELECT s FROM sentences UNION ALL SELECT s FROM abstract)),
+{_stems('article_words')},
+{_stemmed_text('stemmed_sentences', 'sentences', 'doc_id, sec')},
+{_stemmed_text('stemmed_abstract', 'abstract', 'doc_id, m')}"""
+
 KEYWORD_ROWS = ", ".join(f"('{w}', '{c}')" for w, c in KEYWORDS.items())
 
 TYPES = rf"""
@@ -93,15 +186,15 @@ head_type AS (
   FROM head_words LEFT JOIN (VALUES {KEYWORD_ROWS}) k(word, code) USING (word) GROUP BY head)"""
 
 
-def _scores(abstract: str = "s") -> str:
+def _scores(abstract: str = "s", stemmed: str = "") -> str:
     """LCS recall of every abstract sentence with every section."""
     return f"""
-abstract_tokens AS (SELECT doc_id, m, {_tokens(abstract)} AS toks FROM abstract),
+abstract_tokens AS (SELECT doc_id, m, {_tokens(abstract)} AS toks FROM {stemmed}abstract),
 abstract_words AS (
   SELECT doc_id, m, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM abstract_tokens),
 distinct_sentences AS (
   SELECT doc_id, sec, toks, row_number() OVER () AS sid
-  FROM (SELECT DISTINCT doc_id, sec, {_tokens('s')} AS toks FROM sentences)),
+  FROM (SELECT DISTINCT doc_id, sec, {_tokens('s')} AS toks FROM {stemmed}sentences)),
 sentence_words AS (
   SELECT doc_id, sec, sid, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM distinct_sentences),
 whole_parts AS (
@@ -236,6 +329,65 @@ rougeL AS (
   SELECT article_id, {_prf('coalesce(hits, 0)', 'len(cand)', 'len(ref)')}
   FROM toks LEFT JOIN pair_hits USING (article_id))"""
 
+NO_STEMS = "stems AS (SELECT '' AS w, '' AS x WHERE false)"
+
+
+def _line_lists(source: str, stemmed: bool) -> str:
+    """Tokens of every line of both texts, and of the whole texts."""
+    words = f"""
+pair_words AS (
+  SELECT DISTINCT unnest({_tokens('s')}) AS w FROM (SELECT target_sum AS s FROM {source} UNION ALL SELECT gen_sum FROM {source})),
+{_stems('pair_words')}"""
+    return f"""{words if stemmed else NO_STEMS},
+side_lines AS (
+  SELECT article_id, side, unnest(ls) AS s, generate_subscripts(ls, 1) AS line
+  FROM (SELECT article_id, 'ref' AS side, string_split(target_sum, {NL}) AS ls FROM {source}
+        UNION ALL SELECT article_id, 'cand', string_split(gen_sum, {NL}) FROM {source})),
+line_toks AS (
+  SELECT article_id, side, line, list(coalesce(x, w) ORDER BY pos) AS toks FROM (
+    SELECT article_id, side, line, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos
+    FROM (SELECT article_id, side, line, {_tokens('s')} AS toks FROM side_lines))
+  LEFT JOIN stems USING (w) GROUP BY article_id, side, line),
+toks AS (
+  SELECT article_id, coalesce(flatten(list(toks ORDER BY line) FILTER (side = 'ref')), []) AS ref,
+         coalesce(flatten(list(toks ORDER BY line) FILTER (side = 'cand')), []) AS cand
+  FROM {source} LEFT JOIN line_toks USING (article_id) GROUP BY article_id)"""
+
+
+# The table of LCS lengths of two lines, row by row, and the walk back through it: where the tokens differ, a
+# reference token goes if the LCS stays as long without it, else a candidate token.
+ROUGE_LSUM = f"""
+line_pairs AS MATERIALIZED (
+  SELECT a.article_id, a.line AS i, b.line AS j, a.toks AS ref, b.toks AS cand
+  FROM line_toks a JOIN line_toks b ON a.article_id = b.article_id AND a.side = 'ref' AND b.side = 'cand'
+  WHERE list_has_any(a.toks, b.toks)),
+lengths AS (
+  SELECT article_id, i, j, 0 AS k, list_transform(range(len(cand) + 1), lambda c: 0) AS sizes FROM line_pairs
+  UNION ALL
+  SELECT article_id, i, j, k + 1, list_transform(range(1, len(cand) + 2), lambda c: list_max(grown[1:c])) FROM (
+    SELECT article_id, i, j, k, cand, list_transform(range(len(cand) + 1), lambda c: CASE
+             WHEN c > 0 AND cand[c] = ref[k + 1] THEN sizes[c] + 1 ELSE sizes[c + 1] END::INTEGER) AS grown
+    FROM lengths JOIN line_pairs USING (article_id, i, j) WHERE k < len(ref))),
+walk AS (
+  SELECT article_id, i, j, len(ref) AS r, len(cand) AS c, NULL::BIGINT AS hit FROM line_pairs
+  UNION ALL
+  SELECT article_id, i, j, r - (same OR shorter)::INT, c - (same OR NOT shorter)::INT, CASE WHEN same THEN r END FROM (
+    SELECT article_id, i, j, r, c, ref[r] = cand[c] AS same, now.sizes[c + 1] = less.sizes[c + 1] AS shorter
+    FROM walk JOIN line_pairs USING (article_id, i, j)
+    JOIN lengths now USING (article_id, i, j) JOIN lengths less USING (article_id, i, j)
+    WHERE now.k = r AND less.k = r - 1 AND r > 0 AND c > 0)),
+covered AS (
+  SELECT article_id, toks[hit] AS w, count(*) AS n
+  FROM (SELECT DISTINCT article_id, i AS line, hit FROM walk WHERE hit IS NOT NULL)
+  JOIN (SELECT * FROM line_toks WHERE side = 'ref') USING (article_id, line) GROUP BY ALL),
+offered AS (
+  SELECT article_id, w, count(*) AS n FROM (SELECT article_id, unnest(cand) AS w FROM toks) GROUP BY ALL),
+lsum_hits AS (
+  SELECT article_id, sum(least(covered.n, offered.n)) AS hits FROM covered JOIN offered USING (article_id, w) GROUP BY article_id),
+rougeLsum AS (
+  SELECT article_id, {_prf('coalesce(hits, 0)', 'len(cand)', 'len(ref)')}
+  FROM toks LEFT JOIN lsum_hits USING (article_id))"""
+
 F = "CASE WHEN {0}p + {0}r > 0 THEN 2 * {0}p * {0}r / ({0}p + {0}r) ELSE 0 END"
 
 
@@ -257,6 +409,12 @@ percent AS (
          round({F.format('c.')} * 100, 4) AS rougeL, round({F.format('c.')} * 100, 4) AS rougeLsum
   FROM rouge1 a JOIN rouge2 b USING (article_id) JOIN rougeL c USING (article_id))"""
 
+LINES_PERCENT = f"""
+percent AS (
+  SELECT article_id, round({F.format('a.')} * 100, 4) AS rouge1, round({F.format('b.')} * 100, 4) AS rouge2,
+         round({F.format('c.')} * 100, 4) AS rougeL, round({F.format('d.')} * 100, 4) AS rougeLsum
+  FROM rouge1 a JOIN rouge2 b USING (article_id) JOIN rougeL c USING (article_id) JOIN rougeLsum d USING (article_id))"""
+
 SUMMARY = """
 SELECT 'mean' AS statistic, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2,
        round(avg(rougeLsum), 6) AS rougeLsum FROM percent
@@ -332,6 +490,15 @@ intervals AS (
   SELECT metric, statistic, any_value(value) AS value, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi
   FROM replicate JOIN points USING (metric, statistic) GROUP BY ALL)"""
 
+FOUR_CELLS = " UNION ALL ".join(
+    f"SELECT article_id, '{m}' AS metric, {F.format('')} AS x FROM {m}" for m in ("rouge1", "rouge2", "rougeL", "rougeLsum"))
+
+# Medians of the replicates in percent.
+MIDS = """
+replicate AS (
+  SELECT metric, rep, sum(w * x) / sum(w) AS x FROM cells JOIN draws USING (article_id) GROUP BY ALL),
+mids AS (SELECT metric, round(quantile_cont(x, 0.5) * 100, 4) AS value FROM replicate GROUP BY metric)"""
+
 PAIR_SCORES = f"{PAIRS}, {_token_lists('pairs')}, {_rouge_n(1)}, {_rouge_n(2)}, {ROUGE_L}"
 
 
@@ -406,6 +573,13 @@ decoded_target AS (
   SELECT article_id, coalesce(string_agg(s.token, ' ' ORDER BY s.pos) FILTER (v.id IS NOT NULL), '') AS target_text,
   FROM pairs LEFT JOIN target_words s USING (article_id) LEFT JOIN vocab v USING (token) GROUP BY article_id)"""
 
+# Decoded texts with one sentence on a line.
+DECODED_LINES = f"""
+decoded_lines AS (
+  SELECT article_id, array_to_string({_sentences(rf"regexp_replace(target_text, '^{SPACE}+|{SPACE}+$', '', 'g')")}, {NL}) AS target_sum,
+         array_to_string({_sentences(rf"regexp_replace(source_text, '^{SPACE}+|{SPACE}+$', '', 'g')")}, {NL}) AS gen_sum
+  FROM decoded JOIN decoded_target USING (article_id))"""
+
 ENCODED_ROWS = f"""
 WITH {PAIRS}, {ENCODED}
 SELECT article_id, array_to_string({_padded('source_ids', MAX_SOURCE, PAD)}, ' ') AS input_ids,
@@ -449,6 +623,8 @@ bodies AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i, j) AS body FROM sentence
 SELECT doc_id::VARCHAR AS article_id, heads, coalesce(body, '') AS body FROM heads LEFT JOIN bodies USING (doc_id)""",
     "prepare_train": f"""
 WITH {ARTICLES}, {TYPES}, {_scores()}, {_prepared(LONG_SUMMARY)} SELECT * EXCLUDE (split) FROM prepared""",
+    "prepare_stemmed": f"""
+WITH {ARTICLES}, {ARTICLE_STEMS}, {TYPES}, {_scores(stemmed='stemmed_')}, {_prepared(LONG_SUMMARY)} SELECT * EXCLUDE (split) FROM prepared""",
     "prepare_eval": f"{ROWS} SELECT * EXCLUDE (split) FROM prepared",
     "prepare_splits": f"""
 {ROWS} SELECT * FROM prepared WHERE split IN ('val', 'test') OR {LONG_SUMMARY}""",
@@ -458,6 +634,10 @@ WITH {ARTICLES}, {TYPES}, {_scores()}, {_prepared(LONG_SUMMARY)} SELECT * EXCLUD
     "rouge1_pairs": f"WITH {PAIRS}, {_token_lists('pairs')}, {_rouge_n(1)} {_score_rows('rouge1')}",
     "rouge2_pairs": f"WITH {PAIRS}, {_token_lists('pairs')}, {_rouge_n(2)} {_score_rows('rouge2')}",
     "rougeL_pairs": f"WITH {PAIRS}, {_token_lists('pairs')}, {ROUGE_L} {_score_rows('rougeL')}",
+    "rougeLsum_pairs": f"WITH RECURSIVE {PAIRS}, {_line_lists('pairs', False)}, {ROUGE_LSUM} {_score_rows('rougeLsum')}",
+    "score_stemmed": f"""
+WITH RECURSIVE {PAIRS}, {_line_lists('pairs', True)}, {_rouge_n(1)}, {_rouge_n(2)}, {ROUGE_L}, {ROUGE_LSUM}, {LINES_PERCENT}
+SELECT * FROM percent""",
     "score_pairs": f"WITH {PAIRS}, {FLAT}, {_all_scores('flat')} SELECT * FROM percent",
     "score_standard": f"WITH {PAIRS}, {FLAT}, {_all_scores('flat')} {SUMMARY}",
     "generate_rows": f"{ROWS}, {LONGEST} SELECT article_id, section_idx, section_id, gen_sum FROM generated",
@@ -483,6 +663,9 @@ replicate AS (
   WHERE statistic = 'fmeasure' GROUP BY ALL),
 mids AS (SELECT metric, round(round(quantile_cont(x, 0.5) * 100, 4), 4) AS value FROM replicate GROUP BY metric)
 SELECT metric, value FROM mids UNION ALL SELECT 'rougeLsum', value FROM mids WHERE metric = 'rougeL'""",
+    "corpus_rouge_stemmed": f"""
+WITH RECURSIVE {PAIRS}, {_line_lists('pairs', True)}, {_rouge_n(1)}, {_rouge_n(2)}, {ROUGE_L}, {ROUGE_LSUM}, {_draws('pairs')},
+cells AS ({FOUR_CELLS}), {MIDS} SELECT * FROM mids""",
     "corpus_bleu": f"WITH {PAIRS}, {_bleu('pairs')} SELECT round({BLEU}, 6) AS bleu FROM counts",
     "bleu_counts": f"WITH {PAIRS}, {_bleu('pairs')} SELECT * FROM counts",
     "encode_rows": ENCODED_ROWS,
@@ -512,6 +695,10 @@ decoded_pairs AS (
 {_bleu('decoded_pairs')}
 SELECT 'bleu' AS metric, round({BLEU}, 4) AS value FROM counts
 UNION ALL SELECT 'gen_len', round(avg(len(source_ids)), 4) FROM encoded""",
+    "compute_metrics_summarization": f"""
+WITH RECURSIVE {PAIRS}, {ENCODED}, {DECODED}, {DECODED_LINES}, {_line_lists('decoded_lines', True)}, {_rouge_n(1)}, {_rouge_n(2)},
+{ROUGE_L}, {ROUGE_LSUM}, {_draws('decoded_lines')}, cells AS ({FOUR_CELLS}), {MIDS}
+SELECT * FROM mids UNION ALL SELECT 'gen_len', round(avg(len(source_ids)), 4) FROM encoded""",
     "sample_counts": """
 SELECT CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'val' ELSE 'test' END AS split, least(count(*), 200) AS samples
 FROM documents GROUP BY 1""",

@@ -190,6 +190,11 @@ def corpus_rouge(spark, sf_dir):
     return _rounded(aggregate.corpus_rouge(flat_pairs(spark, sf_dir), REPS, use_stemmer=False), "value", digits=4)
 
 
+def corpus_rouge_stemmed(spark, sf_dir):
+    """The default of the metric: stemmed, over lines."""
+    return _rounded(aggregate.corpus_rouge(pairs(spark, sf_dir), REPS), "value", digits=4)
+
+
 def corpus_bleu(spark, sf_dir):
     return _rounded(bleu.corpus_bleu(pairs(spark, sf_dir)), "bleu")
 
@@ -248,6 +253,11 @@ def compute_metrics(spark, sf_dir):
     return evaluate.compute_metrics(encoded, _vocab(spark, sf_dir), PAD, "translation_en_to_fr", special=(UNK,))
 
 
+def compute_metrics_summarization(spark, sf_dir):
+    encoded = _encoded(spark, sf_dir).withColumnRenamed("input_ids", "pred_ids")
+    return evaluate.compute_metrics(encoded, _vocab(spark, sf_dir), PAD, special=(UNK,))
+
+
 def translation_pairs(spark, sf_dir):
     record = F.struct(F.col("target_sum").alias("en"), F.col("gen_sum").alias("fr"))
     return columns.translation_pairs(pairs(spark, sf_dir).withColumn("translation", record),
@@ -336,9 +346,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         best_section, best_section_unmarked, sentence_section_scores, section_types, section_lengths,
         collect_summaries, regroup_articles, prepare_train, prepare_eval, prepare_splits, prepare_pooled,
         prepare_stemmed, rouge1_pairs, rouge2_pairs, rougeL_pairs, rougeLsum_pairs, score_pairs, score_standard,
-        score_stemmed, generate_rows, assemble_rows, assemble_scores, bootstrap_ci, ci_report, corpus_rouge,
+        score_stemmed, generate_rows, assemble_rows, assemble_scores, bootstrap_ci, ci_report, corpus_rouge, corpus_rouge_stemmed,
         corpus_bleu, bleu_counts, encode_rows, encode_rows_joined, encode_tokenizer, unmask_decode, gen_length,
-        sample_counts, compute_metrics, translation_pairs, head_samples, clean_export, sentence_lines,
+        sample_counts, compute_metrics, compute_metrics_summarization, translation_pairs, head_samples, clean_export, sentence_lines,
         prediction_lines, json_roundtrip, csv_roundtrip, encode_repeated, encode_repeated_joined, json_pairs,
         read_translation_files, named_split,
     )
