@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stem import stem_token
+from .stem import stem_token, stem_tokens
 
 LINE = "\n"
 PAGE = "\f"
@@ -148,3 +148,21 @@ def section_lcs(abstract: pa.Array, sections: pa.Array) -> pa.Array:
 def section_lcs_stemmed(abstract: pa.Array, sections: pa.Array) -> pa.Array:
     """The same over stemmed tokens; each distinct token of the article is stemmed once."""
     return pa.array(_rows(abstract, sections, lambda a, s: best_per_section(a, s, stem_token)), pa.list_(pa.list_(pa.int32())))
+
+
+@F.arrow_udf(T.StructType([T.StructField("ref_lines", T.StringType()), T.StructField("cand_lines", T.StringType()),
+                           T.StructField("lcs", T.IntegerType()), T.StructField("lsum", T.IntegerType())]))
+def stemmed_pair(left: pa.Array, right: pa.Array, plain: pa.Array, by_line: pa.Array) -> pa.Array:
+    """Both texts stemmed, and where asked for their LCS length and summary-level hits, in one step."""
+    def stemmed(texts: pa.Array) -> list:
+        return [None if t is None else stem_tokens(t) for t in texts.to_pylist()]
+
+    def scored(asked: pa.Array, function) -> pa.Array:
+        return pa.array([function(a, b) if yes and a is not None and b is not None else None
+                         for yes, a, b in zip(asked.to_pylist(), ref, cand, strict=True)], pa.int32())
+
+    ref, cand = stemmed(left), stemmed(right)
+    return pa.StructArray.from_arrays(
+        [pa.array(ref, pa.string()), pa.array(cand, pa.string()),
+         scored(plain, lambda a, b: lcs_size(a.split(), b.split())), scored(by_line, summary_hits)],
+        names=["ref_lines", "cand_lines", "lcs", "lsum"])

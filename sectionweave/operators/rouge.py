@@ -1,16 +1,15 @@
 """Text-overlap scores of (target_sum, gen_sum) pairs.
 
 A pair is one row and each score is a projection of it: n-gram overlap and the
-arithmetic are Spark expressions, only the LCS lengths come from an Arrow UDF.
+arithmetic are Spark expressions, only stems and LCS lengths come from an Arrow UDF.
 No operator here shuffles.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lcs import LINE, lcs_len, summary_lcs
+from ..functions.lcs import LINE, lcs_len, stemmed_pair, summary_lcs
 from ..functions.overlap import f_score, ngram_overlap, ngram_total
-from ..functions.stem import stem_text
 from ..functions.text import normalize, normalized_tokens, percent, token_count
 
 METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
@@ -22,16 +21,19 @@ def _normalized_lines(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, LINE), normalize), LINE)
 
 
-def _prepared(pairs: DataFrame, use_stemmer: bool) -> DataFrame:
-    """Add both texts normalized (``ref``, ``cand``) once for all metrics."""
-    def prepare(name: str, lines: bool) -> Column:
-        text = _normalized_lines(F.col(name)) if lines else normalize(F.col(name))
-        return stem_text(text) if use_stemmer else text
-
-    return (
-        pairs.withColumn("ref_lines", prepare(TARGET, True)).withColumn("cand_lines", prepare(GENERATED, True))
-        .withColumn("ref", _flat("ref_lines")).withColumn("cand", _flat("cand_lines"))
-    )
+def _prepared(pairs: DataFrame, metrics: tuple[str, ...], use_stemmer: bool) -> DataFrame:
+    """Add both texts normalized (``ref``, ``cand``) once for all metrics, and the LCS lengths that these need."""
+    plain, by_line = "rougeL" in metrics, "rougeLsum" in metrics
+    ref, cand = _normalized_lines(F.col(TARGET)), _normalized_lines(F.col(GENERATED))
+    if use_stemmer:
+        # One Python step stems the texts and compares them.
+        df = pairs.withColumn("stemmed", stemmed_pair(ref, cand, F.lit(plain), F.lit(by_line)))
+        df = df.select(*pairs.columns, "stemmed.*")
+        return df.withColumn("ref", _flat("ref_lines")).withColumn("cand", _flat("cand_lines"))
+    df = pairs.withColumn("ref_lines", ref).withColumn("cand_lines", cand)
+    df = df.withColumn("ref", _flat("ref_lines")).withColumn("cand", _flat("cand_lines"))
+    df = df.withColumn("lcs", lcs_len("ref", "cand")) if plain else df
+    return df.withColumn("lsum", summary_lcs("ref_lines", "cand_lines")) if by_line else df
 
 
 def _flat(name: str) -> Column:
@@ -45,11 +47,7 @@ def score_structs(pairs: DataFrame, metrics: tuple[str, ...] = METRICS, use_stem
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}; known: {', '.join(METRICS)}")
     ref_size, cand_size = token_count(F.col("ref")), token_count(F.col("cand"))
-    df = _prepared(pairs, use_stemmer)
-    if "rougeL" in metrics:
-        df = df.withColumn("lcs", lcs_len("ref", "cand"))
-    if "rougeLsum" in metrics:
-        df = df.withColumn("lsum", summary_lcs("ref_lines", "cand_lines"))
+    df = _prepared(pairs, metrics, use_stemmer)
     df = df.withColumn("ref_tokens", normalized_tokens(F.col("ref")))
     df = df.withColumn("cand_tokens", normalized_tokens(F.col("cand")))
 
