@@ -6,7 +6,7 @@ positions, sorted, are reduced to a longest increasing run of positions.
 
 # Fixed values, spelt out here so that a wrong one in the library shows.
 PAD, UNK, IGNORED_LABEL = 0, 1, -100
-MAX_SOURCE, MAX_TARGET, HEAD, REPS = 128, 32, 100, 1000
+MAX_SOURCE, MAX_TARGET, HEAD, REPS = 512, 128, 100, 1000
 TRAINING_TYPES = ("i", "m", "r", "l", "c")
 SCORING_TYPES = ("i", "m", "r", "c")
 KEYWORDS = {

@@ -15,7 +15,7 @@ from .sources import readers, writers
 from .sources.documents import articles_from_documents, pairs_from_conversations, vocabulary
 
 PAD, UNK = 0, 1
-MAX_SOURCE, MAX_TARGET = 128, 32
+MAX_SOURCE, MAX_TARGET = 512, 128
 REPS = 1000
 HEAD = 100
 

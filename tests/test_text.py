@@ -1,10 +1,15 @@
+import random
+
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sectionweave import oracle
 from sectionweave.functions import register_functions, text
 from sectionweave.functions.overlap import multiset_overlap, ngrams
 from sectionweave.functions.sections import identify_section
-from sectionweave.functions.stem import porter, stem_text
+from sectionweave.functions.stem import porter, stem_text, stem_token
 
 
 def evaluate(spark, column, *values):
@@ -83,3 +88,14 @@ def test_white_space_of_any_script(spark):
     assert [r[0] for r in df.select(identify_section(F.col("x"))).collect()] == ["i", "r"]
     assert [r[0] for r in df.select(text.strip(F.col("x"))).collect()] == ["1\u00a0Introduction", "Results"]
     assert spark.range(1).select(text.postprocess_text(F.lit("\u2003a.\u00a0b!\u3000c "))).first()[0] == "a.\nb!\nc"
+
+
+def test_stems_in_sql_are_those_of_the_library():
+    """Two writings of one algorithm, over words made of many endings."""
+    rng = random.Random(3)
+    endings = [ending for step in (oracle.STEP_1A, oracle.STEP_1B, oracle.STEP_2, oracle.STEP_3, oracle.STEP_4) for ending, _ in step] + ["y", "e", "ll"]
+    words = {"".join(rng.choices("aeiouybcdlstwxz", k=rng.randint(0, 5))) + "".join(rng.choices(endings, k=rng.randint(1, 3))) for _ in range(20_000)}
+    words |= {word for word, _ in oracle.IRREGULAR} | {"caresses", "ponies", "ties", "relational", "hopping", "controlling", "2nd", "1990s"}
+    given = pa.table({"w": sorted(words)})
+    got = dict(duckdb.connect().execute(f"WITH {oracle._stems('given')} SELECT w, x FROM stems").fetchall())
+    assert given.num_rows > 10_000 and {w: got.get(w, w) for w in words} == {w: stem_token(w) for w in words}
