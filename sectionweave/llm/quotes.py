@@ -84,42 +84,70 @@ def linked(messages: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("votes", -F.col("origin"))).alias("reply_to"))
 
 
-def paths(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, path) of linked messages: the turns from the beginning of the thread to the message.
+def _ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``part``, the number of their range of ``order`` between sampled bounds."""
+    return stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
 
-    Every round doubles the length of the known end of each path; links lead backwards, so it ends.
+
+def _followed(now: DataFrame, pointer: str, **merged: Column) -> DataFrame:
+    """Rows (conv_id, turn, ...) that follow ``pointer`` to other rows' turns until it leads to none.
+
+    ``merged``: values over the row (n) and the one that it points at (a). Every round doubles the way that is known.
     """
-    now = stored(links.select("conv_id", "turn", F.col("reply_to").alias("top"), F.array("turn").alias("path")), "paths")
+    now, found = stored(now, "pointers"), F.col("a.turn").isNotNull()
     while True:
-        above = now.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("top").alias("above_top"), F.col("path").alias("above"))
-        step = now.join(above, (F.col("conv_id") == F.col("c")) & (F.col("top") == F.col("t")), "left")
-        if step.where("t IS NOT NULL").isEmpty():
-            return now.select("conv_id", "turn", F.concat(F.array("top"), "path").alias("path"))
-        now = stored(step.select("conv_id", "turn", F.when(F.col("t").isNull(), F.col("top")).otherwise(F.col("above_top")).alias("top"),
-                                 F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path")), "paths")
+        step = now.alias("n").join(now.alias("a"), (F.col("n.conv_id") == F.col("a.conv_id")) & (F.col(f"n.{pointer}") == F.col("a.turn")), "left")
+        if step.where(found).isEmpty():
+            return now
+        now = stored(step.select("n.conv_id", "n.turn", *(F.when(found, v).otherwise(F.col(f"n.{c}")).alias(c) for c, v in merged.items())), "pointers")
+
+
+def preorder(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, top, depth, left) of the messages of all threads with links.
+
+    top is the first message of the thread, left the number of messages behind this one in its depth-first order.
+    Each message points at the next one: its first reply, else the next reply to it or to the nearest message above
+    that has one. Rows stay of one size however deep a thread is.
+    """
+    key = ["conv_id", "turn"]
+    tops = _followed(links.select(*key, F.col("reply_to").alias("top"), F.lit(1).alias("depth")), "top",
+                     top=F.col("a.top"), depth=F.col("n.depth") + F.col("a.depth"))
+    cut = _ranged(links, "conv_id", "reply_to", "turn")
+    group = ["conv_id", "reply_to", "part"]
+    behind = cut.groupBy(*group).agg(F.min("turn").alias("first")).selectExpr(
+        *group, "lead(first) OVER (PARTITION BY conv_id, reply_to ORDER BY part) AS behind")
+    siblings = cut.selectExpr("*", "lead(turn) OVER (PARTITION BY conv_id, reply_to, part ORDER BY turn) AS beside").join(behind, group).select(
+        *key, "reply_to", F.coalesce("beside", "behind").alias("next"))
+    exits = _followed(siblings.select(*key, "next", F.when(F.col("next").isNull(), F.col("reply_to")).alias("up")), "up",
+                      next=F.col("a.next"), up=F.col("a.up"))
+    replies = links.groupBy("conv_id", "reply_to").agg(F.min("turn").alias("reply")).withColumnRenamed("reply_to", "turn")
+    after = exits.join(replies, key, "full").select(*key, F.coalesce("reply", "next").alias("jump"))
+    order = _followed(after.withColumn("left", F.col("jump").isNotNull().cast("long")), "jump",
+                      jump=F.col("a.jump"), left=F.col("n.left") + F.col("a.left"))
+    return order.join(tops.join(links, key), key, "left").select(
+        *key, "reply_to", F.coalesce("top", "turn").alias("top"), F.coalesce("depth", F.lit(0)).alias("depth"), "left")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, depth, position, max_level, n_quoted and text (without quotes) of every message.
 
     position counts the messages of the conversation that come before in reply order; repeated (conv_id,
-    turn) rows share it. Turns, without texts, are cut into ranges of (conv_id, path) at sampled bounds and counted
+    turn) rows share it. Turns, without texts, are cut into ranges of that order at sampled bounds and counted
     inside each, and the sizes of the ranges before are added, so that no conversation or thread is a single
     group. Messages without a turn come first.
     """
     read = parsed(messages)
-    links = stored(linked(read), "links")
-    known = links.join(paths(links), ["conv_id", "turn"]).alias("k")
+    known = preorder(stored(linked(read), "links")).alias("k")
     turns = messages.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).alias("m")
     placed = turns.join(known, (F.col("m.conv_id") == F.col("k.conv_id")) & (F.col("m.turn") == F.col("k.turn")), "left").select(
-        "m.conv_id", "m.turn", "n", "reply_to", F.coalesce("path", F.array("m.turn")).alias("path"))
-    cut = stored(placed.repartitionByRange("conv_id", "path").withColumn("part", F.spark_partition_id()), "order")
-    sizes = cut.groupBy("conv_id", "part").agg(F.sum("n").alias("size"))
+        F.col("m.conv_id").alias("c"), F.col("m.turn").alias("t"), "n", "reply_to", F.coalesce("top", "m.turn").alias("top"),
+        F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce(-F.col("left"), F.lit(0)).alias("place"))
+    cut = _ranged(placed, "c", "top", "place")
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    bases = sizes.selectExpr("conv_id AS c", "part AS p", f"coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY part {before} AS base")
-    inside = cut.selectExpr("*", f"coalesce(sum(n) OVER (PARTITION BY conv_id, part ORDER BY path {before} AS inside")
-    order = inside.join(bases, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).select(
-        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", (F.size("path") - 1).alias("depth"),
-        (F.col("base") + F.col("inside")).cast("long").alias("position"))
+    bases = cut.groupBy("c", "part").agg(F.sum("n").alias("size")).selectExpr(
+        "c AS b", "part AS p", f"coalesce(sum(size) OVER (PARTITION BY c ORDER BY part {before} AS base")
+    inside = cut.selectExpr("*", f"coalesce(sum(n) OVER (PARTITION BY c, part ORDER BY top, place {before} AS inside")
+    order = inside.join(bases, F.col("c").eqNullSafe(F.col("b")) & F.col("part").eqNullSafe(F.col("p"))).select(
+        "c", "t", "reply_to", "depth", (F.col("base") + F.col("inside")).cast("long").alias("position"))
     return read.join(order, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).select(
         "conv_id", "turn", "role", "reply_to", "depth", "position", "max_level", "n_quoted", F.col("own").alias("text"))

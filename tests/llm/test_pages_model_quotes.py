@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -115,7 +116,9 @@ def test_passages_are_runs_of_one_level(spark):
 
 def test_order_over_many_ranges(spark):
     """One conversation, wide threads and repeated turns, cut into more ranges than one."""
+    rng = random.Random(8)
     rows = [(1, 0, "user", "start")] + [(1, i, "user", f"> {'start' if i % 3 else 'line 1'}\nline {i}") for i in range(1, 300)] + [(1, 7, "user", "line 7")] * 2
+    rows += [(2, i, "user", (f"> line {rng.randrange(max(0, i - 5), i)}\n" if i and i % 40 else "") + f"line {i}") for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -123,11 +126,14 @@ def test_order_over_many_ranges(spark):
         got = quotes.reply_ordered(df).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
-    parent = {r.turn: r.reply_to for r in got}
+    assert len(got) == len(rows)
+    for conv in (1, 2):
+        mine = [r for r in got if r.conv_id == conv]
+        parent = {r.turn: r.reply_to for r in mine}
 
-    def path(turn):
-        return [turn] if parent[turn] is None else [*path(parent[turn]), turn]
+        def path(turn):
+            return [turn] if parent[turn] is None else [*path(parent[turn]), turn]  # noqa: B023
 
-    paths = [path(r.turn) for r in got]
-    assert len(got) == len(rows)
-    assert [r.position for r in got] == [sum(other < own for other in paths) for own in paths]
+        paths = [path(r.turn) for r in mine]
+        assert [r.position for r in mine] == [sum(other < own for other in paths) for own in paths]
+        assert [r.depth for r in mine] == [len(own) - 1 for own in paths] and max(map(len, paths)) > (2 if conv == 1 else 8)
