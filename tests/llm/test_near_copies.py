@@ -1,0 +1,80 @@
+import random
+import re
+
+import corpus_pipeline
+from sectionweave.llm import near_copies, simhash
+
+
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def brute_roots(texts):
+    sets, label = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def planted():
+    """Copies with words changed in many places, chains of them, one large group, and texts with half in common."""
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    out = [" ".join(prose(rng.randint(1, 300))) for _ in range(60)]
+    for n in (60, 200, 900):
+        base = prose(n)
+        for k in range(25):
+            words, base = list(base), base
+            for i in rng.sample(range(n), max(1, n * (k % 6 + 1) // 150)):
+                words[i] = f"x{rng.random()}"
+            out.append(" ".join(words))
+            if k % 8 == 7:
+                base = words
+        out += [" ".join(base[:n // 2] + prose(n // 2)) for _ in range(5)]
+    return [*out, "", None, "a", "a b", "A  B", "a b c d e", "a b c d e f"]
+
+
+def test_shingles_and_slices(monkeypatch):
+    for text in planted():
+        assert len(near_copies.shingles(text or "")) == len(brute_shingles(text))
+        with monkeypatch.context() as m:
+            m.setattr(near_copies, "SLICE", 7)
+            small = near_copies.shingles(text or "")
+        assert small.tolist() == near_copies.shingles(text or "").tolist()
+
+
+def test_stage_links_by_similarity(spark):
+    """Kept rows are one of each brute-force component; SimHash with radius 3 kept most of the copies."""
+    texts = planted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect())
+    assert kept == sorted(set(brute_roots(texts)))
+    assert len(kept) < simhash.drop_near_duplicates(docs).count()
+
+
+def test_low_similarity_stays(spark):
+    """Fingerprints 3 bits apart or less, similarity 31 of 41: SimHash links them, the stage keeps both."""
+    rng = random.Random(30)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    base, other = " ".join(words), " ".join([*words[:20], "x", *words[21:]])
+    assert (simhash.fingerprint(base) ^ simhash.fingerprint(other)).bit_count() <= simhash.MAX_DIFFERENCE
+    docs = spark.createDataFrame([(1, base), (2, other), (3, base + " end"), (None, base + " end end")], "doc_id long, text string")
+    rows = corpus_pipeline.simhash_near_dedup(spark, docs.unionAll(docs), "").collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2]
+
+
+def test_documents(spark, documents, no_documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    label = brute_roots([t for _, t in rows])
+    ids = {}
+    for own, (doc_id, _) in zip(label, rows):
+        ids.setdefault(own, []).append(doc_id)
+    kept = near_copies.drop_near_copies(documents)
+    assert kept.columns == documents.columns
+    best = [min((d for d in group if d is not None), default=None) for group in ids.values()]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(best, key=str)
+    assert near_copies.drop_near_copies(no_documents).count() == 0
