@@ -14,8 +14,9 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,10 @@ UNICODE_RUN = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]
                          r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: No secret in base64 is shorter: the shortest has 16 characters.
 LEAST_BASE64 = 22
-BASE64_RUN = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}|[A-Za-z0-9+/_-]{22,}={0,2}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+#: Lines of such lengths may be one run, or end one: the next line can also be a word that follows it.
+BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{22,}={0,2}")
 #: Bytes of one decompressed layer. Larger ones can be bombs: they are counted in n_oversize and not followed.
 MAX_LAYER = 16 << 20
@@ -153,6 +157,45 @@ def unwrapped(token: str) -> tuple[str, str] | None:
     return (text, ">".join(names)) if text and plain.isprintable() else None
 
 
+def is_text(token: str) -> bool:
+    try:
+        return unwrapped(token) is not None
+    except OverflowError:
+        return True
+
+
+def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]], bool]) -> list[tuple[int, int]]:
+    """Of neighbouring lines, the runs that can be read: all of them; else lines of one length with a shorter last one, with or without it.
+
+    What is in none of these runs is left to the reading of single lines.
+    """
+    if reads(run := (lines[0][0], lines[-1][1])):
+        return [run]
+    blocks, size = [], 0
+    for line in lines:
+        if blocks and size and line[1] - line[0] <= size:
+            blocks[-1].append(line)
+            size = size if line[1] - line[0] == size else 0
+        else:
+            blocks.append([line])
+            size = line[1] - line[0]
+    found = []
+    for block in blocks:
+        for part in (block, block[:-1]):
+            if part and reads(run := (part[0][0], part[-1][1])):
+                found.append(run)
+                break
+    return found
+
+
+def within(layer: Layer, begin: int, end: int) -> Iterator[Layer | None]:
+    try:
+        if inside := unwrapped(layer.text[begin:end]):
+            yield layer.inner(inside[1], inside[0], begin, end)
+    except OverflowError:
+        yield None
+
+
 def unwrap(layer: Layer) -> Iterator[Layer | None]:
     """The layers right under a layer; None for one that is too large."""
     text = layer.text
@@ -160,16 +203,22 @@ def unwrap(layer: Layer) -> Iterator[Layer | None]:
         yield layer.rewritten("url", pieces)
     if ("\\" in text or "&#" in text) and (pieces := [(m.start(), m.end(), unicode_decoded(m[0]), [m.end() - m.start()]) for m in UNICODE_RUN.finditer(text)]):
         yield layer.rewritten("unicode", pieces)
+    covered = []
+    for m in BASE64_LINES.finditer(text):
+        lines = [(m.start() + part.start(), m.start() + part.end()) for part in BASE64_LINE.finditer(m[0])]
+        for begin, end in whole_runs(lines, lambda run: is_text(text[run[0]:run[1]])):
+            covered.append((begin, end))
+            yield from within(layer, begin, end)
+    ends = [end for _, end in covered]
     for m in BASE64_RUN.finditer(text):
         tokens = [(m.start(), m.end())]
         if any(c in m[0] for c in "/_-+"):  # a token may stand in a path: its parts on their own as well
             tokens += [(m.start() + p.start(), m.start() + p.end()) for p in BASE64_PART.finditer(m[0]) if p[0] != m[0]]
+        over = bisect_left(ends, m.end())
+        if over < len(ends) and covered[over][0] <= m.start():
+            continue  # one line of a run that was read as a whole
         for begin, end in tokens:
-            try:
-                if inside := unwrapped(text[begin:end]):
-                    yield layer.inner(inside[1], inside[0], begin, end)
-            except OverflowError:
-                yield None
+            yield from within(layer, begin, end)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int, int]:

@@ -94,3 +94,23 @@ def test_documents(spark, documents, no_documents):
     assert secrets.secret_digests(no_documents).count() == secrets.redact(no_documents).count() == 0
     changed = secrets.redact(planted.selectExpr("*", "cast(length(text) as int) AS n_chars")).collect()
     assert sorted((r.doc_id, r.text, r.n_chars) for r in changed if r.doc_id < 3) == [(1, "x [SECRET] y", 12), (2, "[SECRET]", 8)]
+
+
+@pytest.mark.parametrize("size", range(45, 58))
+def test_unpadded_line_before_a_word(size):
+    inside = f"password={KEY} ".ljust(size, "-")
+    token = b64(inside).rstrip("=")
+    for text in (f"see\n{token}\nThe end", f"{token}\r\nThe", f"{token}\n{token}\nThe", f"{token}\n{b64(inside * 9)}", f"{'ab12' * 16}\n{token}\nThe"):
+        assert KEY in "".join(base64.b64decode(run + "=" * (-len(run) % 4)).decode("latin-1") for run in re.findall("[A-Za-z0-9+/]{60,}", text))
+        assert all(run not in secrets.redacted(text) for run in (token, b64(inside * 9)))
+    assert secrets.redacted(f"see\n{token}\nThe end") == "see\n[SECRET]\nThe end"
+
+
+@pytest.mark.parametrize("last", range(46, 58))
+def test_wrapped_lines_before_a_word(last):
+    """The secret stands over the break of two lines; the last line is long and has no padding."""
+    inside = ("." * 50 + f" password={KEY} ").ljust(114 + last, "-")
+    token = b64(inside).rstrip("=")
+    wrapped = "\n".join(token[i:i + 76] for i in range(0, len(token), 76))
+    assert secrets.redacted(f"x {wrapped}\nword y") == "x [SECRET]\nword y"
+    assert secrets.redacted(f"x {wrapped}\n{wrapped}\nword y").count("-") == 0 and wrapped[:76] not in secrets.redacted(f"x {wrapped}\n{wrapped}\nword y")
