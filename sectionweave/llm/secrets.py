@@ -92,7 +92,7 @@ class Layer:
 
     def inner(self, name: str, text: str, begin: int, end: int) -> "Layer":
         start, stop = self.span(begin, end)
-        return Layer(text, f"{self.name}>{name}", np.full(len(text), start), np.full(len(text), stop))
+        return Layer(text, f"{self.name}>{name}", np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(stop), len(text)))
 
 
 def url_decoded(run: str) -> tuple[str, list[int]]:
@@ -134,8 +134,12 @@ def decompressed(data: bytes) -> tuple[str, bytes] | None:
     return name, inside
 
 
-def unwrapped(token: str) -> tuple[str, str] | None:
-    """The text inside a base64 token and the names of its layers; None if it is no text. OverflowError: it is too large."""
+def unwrapped(token: str) -> tuple[str, str, bool] | None:
+    """What is inside a base64 token, the names of its layers, and whether it reads well: printable or decompressed.
+
+    Where it does not, each byte becomes a character: secrets are ASCII, and can stand among any others.
+    None if nothing is inside. OverflowError: it is too large.
+    """
     raw = re.sub(r"[\r\n=]", "", token).translate(str.maketrans("-_", "+/"))
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
@@ -149,28 +153,27 @@ def unwrapped(token: str) -> tuple[str, str] | None:
         data = inside[1]
         if hashlib.sha256(data).digest() in seen:
             return None
+    if not data:
+        return None
+    names, compressed = ">".join(names), len(names) > 1
     try:
         text = data.decode("utf-8")
+        if compressed or text.translate({9: None, 10: None, 13: None}).isprintable():
+            return text, names, True
     except UnicodeDecodeError:
-        return None
-    plain = text.translate({9: None, 10: None, 13: None})
-    return (text, ">".join(names)) if text and plain.isprintable() else None
+        pass
+    return data.decode("latin-1"), names, compressed
 
 
-def is_text(token: str) -> bool:
+def reads_well(token: str) -> bool:
     try:
-        return unwrapped(token) is not None
+        return bool((inside := unwrapped(token)) and inside[2])
     except OverflowError:
         return True
 
 
-def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]], bool]) -> list[tuple[int, int]]:
-    """Of neighbouring lines, the runs that can be read: all of them; else lines of one length with a shorter last one, with or without it.
-
-    What is in none of these runs is left to the reading of single lines.
-    """
-    if reads(run := (lines[0][0], lines[-1][1])):
-        return [run]
+def blocks_of(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Lines of one length, each time with the shorter one that ends them."""
     blocks, size = [], 0
     for line in lines:
         if blocks and size and line[1] - line[0] <= size:
@@ -179,8 +182,18 @@ def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]],
         else:
             blocks.append([line])
             size = line[1] - line[0]
+    return blocks
+
+
+def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]], bool]) -> list[tuple[int, int]]:
+    """Of neighbouring lines, the runs that read well: all of them; else of each block, with or without its last line.
+
+    What is in none of these runs is left to the reading of single lines.
+    """
+    if reads(run := (lines[0][0], lines[-1][1])):
+        return [run]
     found = []
-    for block in blocks:
+    for block in blocks_of(lines):
         for part in (block, block[:-1]):
             if part and reads(run := (part[0][0], part[-1][1])):
                 found.append(run)
@@ -188,12 +201,24 @@ def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]],
     return found
 
 
-def within(layer: Layer, begin: int, end: int) -> Iterator[Layer | None]:
+def within(layer: Layer, begin: int, end: int, lines: list[tuple[int, int]] = ()) -> Iterator[Layer | None]:
+    """What is inside a run; with ``lines``, bytes that do not read well have the spans of the lines that they come from."""
     try:
-        if inside := unwrapped(layer.text[begin:end]):
-            yield layer.inner(inside[1], inside[0], begin, end)
+        if not (inside := unwrapped(layer.text[begin:end])):
+            return
     except OverflowError:
         yield None
+        return
+    text, name, well = inside
+    if well or not lines:
+        yield layer.inner(name, text, begin, end)
+        return
+    lines = [line for line in lines if begin <= line[0] and line[1] <= end]
+    past = np.cumsum([line[1] - line[0] for line in lines])
+    spans = np.array([layer.span(*line) for line in lines])
+    first = 4 * np.arange(len(text)) // 3  # the digits that hold a byte are this one and the next
+    last = np.minimum(first + 1, past[-1] - 1)
+    yield Layer(text, f"{layer.name}>{name}", spans[np.searchsorted(past, first, "right"), 0], spans[np.searchsorted(past, last, "right"), 1])
 
 
 def unwrap(layer: Layer) -> Iterator[Layer | None]:
@@ -206,8 +231,13 @@ def unwrap(layer: Layer) -> Iterator[Layer | None]:
     covered = []
     for m in BASE64_LINES.finditer(text):
         lines = [(m.start() + part.start(), m.start() + part.end()) for part in BASE64_LINE.finditer(m[0])]
-        for begin, end in whole_runs(lines, lambda run: is_text(text[run[0]:run[1]])):
-            covered.append((begin, end))
+        runs = whole_runs(lines, lambda run: reads_well(text[run[0]:run[1]]))
+        covered += runs
+        if runs != [(m.start(), m.end())]:  # some of it does not read well, however it is parted
+            for block in blocks_of(lines):
+                yield from within(layer, block[0][0], block[-1][1], lines)
+            yield from within(layer, m.start(), m.end(), lines)
+        for begin, end in runs:
             yield from within(layer, begin, end)
     ends = [end for _, end in covered]
     for m in BASE64_RUN.finditer(text):

@@ -114,3 +114,20 @@ def test_wrapped_lines_before_a_word(last):
     wrapped = "\n".join(token[i:i + 76] for i in range(0, len(token), 76))
     assert secrets.redacted(f"x {wrapped}\nword y") == "x [SECRET]\nword y"
     assert secrets.redacted(f"x {wrapped}\n{wrapped}\nword y").count("-") == 0 and wrapped[:76] not in secrets.redacted(f"x {wrapped}\n{wrapped}\nword y")
+
+
+@pytest.mark.parametrize("data", [
+    f"\ufeffpassword={KEY}\n", f"a\xa0b token: {KEY}", f"\u200b\x0c\x1b[0m\0 secret={KEY}", f"caf\xe9 password={KEY}".encode("latin-1"),
+    b"\xff\xfe\x80" + KEY.encode() + b"\xc3", f"\ufeff{'x' * 300} {KEY}", b"\x80" * 200 + KEY.encode() + b"\x80" * 200])
+def test_layers_of_any_characters(data):
+    raw = data.encode() if isinstance(data, str) else data
+    for token in (b64(raw), b64(gzip.compress(raw)), b64(b64(raw)), b64(b"\xfe" + b64(raw).encode() + b"\xfe"), base64.encodebytes(raw).decode().strip()):
+        found = secrets.scan(f"(\n{token}\n)")[0]
+        assert "access" in {secrets.KINDS[k] for _, k, _, _ in found}
+        assert all(s >= 2 and e <= len(token) + 2 for s, _, e, _ in found)
+
+
+def test_binary_lines_have_the_spans_of_their_lines():
+    lines = base64.encodebytes(b"\x80" * 110 + KEY.encode() + b"\x80" * 100).decode().split()
+    text = "\n".join([*lines, "word"])
+    assert secrets.redacted(text) == "\n".join([lines[0], "[SECRET]", *lines[3:], "word"])
