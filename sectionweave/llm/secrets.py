@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,19 @@ BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{22,}={0,2}")
-#: Bytes of one decompressed layer. Larger ones can be bombs: they are counted in n_oversize and not followed.
+#: Bytes of a layer that are scanned at a time. Larger layers are counted in n_oversize and scanned in pieces.
 MAX_LAYER = 16 << 20
+#: What two neighbouring pieces have in common. An encoded run that is longer and cut by a piece makes the layer an unread one.
+OVERLAP = 4 << 20
+#: Bytes that all decompressors of one run may give in all, and formats one inside the other: what has more can be a bomb, and is unread.
+MAX_INFLATED = 1 << 30
+MAX_DEPTH = 100
+#: Memory of an xz decompressor; the largest preset needs 65 MiB. What needs more is unread.
+XZ_MEMORY = 256 << 20
+INFLATED = 1 << 20
+#: Characters of a layer that can wait; larger ones are scanned at once.
+SMALL = 1 << 20
+RUN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-\r\n%\\{}&#;"
 
 FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                         T.StructField("end", T.LongType()), T.StructField("layer", T.StringType())])
@@ -95,6 +107,15 @@ class Layer:
         return Layer(text, f"{self.name}>{name}", np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(stop), len(text)))
 
 
+@dataclass
+class Missed:
+    """The span of a layer that is over MAX_LAYER or was not read whole."""
+
+    start: int
+    end: int
+    unread: bool
+
+
 def url_decoded(run: str) -> tuple[str, list[int]]:
     """Bytes that are no UTF-8 become the replacement character, one each."""
     text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
@@ -113,63 +134,178 @@ def unicode_decoded(escape: str) -> str:
     return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"
 
 
-def decompressed(data: bytes) -> tuple[str, bytes] | None:
-    """The name of the format and the bytes inside; None if ``data`` is not compressed. OverflowError: they are too many."""
+def magic(data: bytes) -> str | None:
     if data[:3] == b"\x1f\x8b\x08":
-        name, inflate = "gzip", zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        name, inflate = "zlib", zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        name, inflate = "bz2", bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        name, inflate = "xz", lzma.LZMADecompressor(memlimit=64 << 20)
-    else:
-        return None
-    try:
-        inside = inflate.decompress(data, MAX_LAYER + 1)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
-    if len(inside) > MAX_LAYER:
-        raise OverflowError
-    return name, inside
+        return "gzip"
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return "zlib"
+    return "bz2" if data[:3] == b"BZh" else "xz" if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+class Member:
+    """One decompressor for all formats: ``give`` yields what it makes of more input, in bounded pieces."""
+
+    def __init__(self, name: str):
+        self.inflate = (zlib.decompressobj(31) if name == "gzip" else zlib.decompressobj() if name == "zlib"
+                        else bz2.BZ2Decompressor() if name == "bz2" else lzma.LZMADecompressor(memlimit=XZ_MEMORY))
+        self.zlib = name in ("gzip", "zlib")
 
+    def give(self, data: bytes) -> Iterator[bytes]:
+        while True:
+            out = self.inflate.decompress(data, INFLATED)
+            if out:
+                yield out
+            data = self.inflate.unconsumed_tail if self.zlib else b""
+            if self.inflate.eof or (len(out) < INFLATED and not data if self.zlib else self.inflate.needs_input):
+                return
 
-def unwrapped(token: str) -> tuple[str, str, bool] | None:
-    """What is inside a base64 token, the names of its layers, and whether it reads well: printable or decompressed.
 
-    Where it does not, each byte becomes a character: secrets are ASCII, and can stand among any others.
-    None if nothing is inside. OverflowError: it is too large.
+class Run:
+    """The bytes inside a base64 run, decompressed as often as they are compressed, as a stream of pieces.
+
+    sound: all streams ended with their data. unread: something was left out, as it needs too much memory or is too long.
     """
+
+    def __init__(self, data: bytes):
+        self.names, self.sound, self.unread, self.left = ["base64"], True, False, MAX_INFLATED
+        self.pieces, seen = iter([data]), set()
+        while True:
+            head = b""
+            while len(head) < 8 and (piece := next(self.pieces, None)) is not None:
+                head += piece
+            self.pieces = chain([head], self.pieces)
+            if not (name := magic(head)):
+                return
+            digest = hashlib.sha256(head).digest()
+            if digest in seen or len(self.names) > MAX_DEPTH:  # it holds itself
+                self.unread = digest not in seen
+                self.pieces = iter(())
+                return
+            seen.add(digest)
+            read: list[bytes] = []
+            inner = self.members(name, self.pieces, read)
+            first = next(inner, None)
+            if first is None:
+                self.pieces = chain(read, self.pieces)  # not compressed, or empty
+                return
+            read.clear()
+            self.names.append(name)
+            self.pieces = chain([first], inner)
+
+    def members(self, name: str, pieces: Iterator[bytes], read: list[bytes]) -> Iterator[bytes]:
+        """What all members give, one after another; what follows them is given as it is."""
+        member, given, after, fresh = Member(name), False, b"", False
+        for piece in pieces:
+            if not given:
+                read.append(piece)
+            if member is None:
+                yield piece
+                continue
+            data = after + piece
+            after = b""
+            while data:
+                if fresh and not data.strip(b"\0"):  # padding between members
+                    break
+                if fresh:
+                    if len(data.lstrip(b"\0")) < 8 and not magic(data.lstrip(b"\0")):
+                        after = data
+                        break
+                    if not (kind := magic(data.lstrip(b"\0"))):
+                        member, self.sound = None, False
+                        yield b"\n" + data
+                        break
+                    member, data, fresh = Member(kind), data.lstrip(b"\0"), False
+                try:
+                    for out in member.give(data):
+                        given = True
+                        self.left -= len(out)
+                        if self.left < 0:
+                            self.unread = True
+                            return
+                        yield out
+                except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError) as error:
+                    if "emory" in str(error):
+                        self.unread = True
+                    elif given:
+                        member, self.sound = None, False
+                        yield b"\n" + data
+                        break
+                    return
+                if not member.inflate.eof:
+                    break
+                data, fresh = member.inflate.unused_data, True
+        if after.strip(b"\0"):
+            self.sound = False
+            if given:
+                yield b"\n" + after
+        elif member and not member.inflate.eof:
+            self.sound = False
+
+
+@dataclass
+class Inside:
+    """What is inside a base64 token: texts (several pieces of a large layer), the names of its layers, whether it reads well,
+    which is printable or decompressed to the end, and whether it is large or has unread parts."""
+
+    texts: Iterator[str]
+    name: str
+    well: bool
+    large: bool
+    run: Run
+
+
+def _text(data: bytes) -> str:
+    """Where it is no UTF-8, each byte becomes a character: secrets are ASCII, and can stand among any others."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _parts(begin: bytes, run: Run) -> Iterator[str]:
+    buffer = bytearray(begin)
+    while True:
+        text = buffer[:MAX_LAYER].decode("latin-1")
+        if len(text) - len(text.rstrip(RUN_CHARACTERS)) > OVERLAP:
+            run.unread = True
+        yield text
+        if len(buffer) <= MAX_LAYER:
+            return
+        del buffer[:MAX_LAYER - OVERLAP]
+        while len(buffer) <= MAX_LAYER and (piece := next(run.pieces, None)) is not None:
+            buffer += piece
+
+
+def unwrapped(token: str) -> Inside | None:
+    """What is inside a base64 token; None if there is nothing."""
     raw = re.sub(r"[\r\n=]", "", token).translate(str.maketrans("-_", "+/"))
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
         data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    names, seen = ["base64"], set()
-    while inside := decompressed(data):
-        seen.add(hashlib.sha256(data).digest())
-        names.append(inside[0])
-        data = inside[1]
-        if hashlib.sha256(data).digest() in seen:
-            return None
-    if not data:
+    run = Run(data)
+    begin = bytearray()
+    while len(begin) <= MAX_LAYER and (piece := next(run.pieces, None)) is not None:
+        begin += piece
+    if not begin and not run.unread:
         return None
-    names, compressed = ">".join(names), len(names) > 1
+    name, compressed = ">".join(run.names), len(run.names) > 1
+    if len(begin) > MAX_LAYER:
+        return Inside(_parts(begin, run), name, compressed, True, run)
+    if compressed:
+        return Inside(iter([_text(bytes(begin))]), name, run.sound, False, run)
     try:
-        text = data.decode("utf-8")
-        if compressed or text.translate({9: None, 10: None, 13: None}).isprintable():
-            return text, names, True
+        text = begin.decode("utf-8")
+        if text.translate({9: None, 10: None, 13: None}).isprintable():
+            return Inside(iter([text]), name, True, False, run)
     except UnicodeDecodeError:
         pass
-    return data.decode("latin-1"), names, compressed
+    return Inside(iter([begin.decode("latin-1")]), name, False, False, run)
 
 
 def reads_well(token: str) -> bool:
-    try:
-        return bool((inside := unwrapped(token)) and inside[2])
-    except OverflowError:
-        return True
+    return bool((inside := unwrapped(token)) and inside.well)
 
 
 def blocks_of(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -201,18 +337,20 @@ def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]],
     return found
 
 
-def within(layer: Layer, begin: int, end: int, lines: list[tuple[int, int]] = ()) -> Iterator[Layer | None]:
+def within(layer: Layer, begin: int, end: int, lines: list[tuple[int, int]] = ()) -> Iterator[Layer | Missed]:
     """What is inside a run; with ``lines``, bytes that do not read well have the spans of the lines that they come from."""
-    try:
-        if not (inside := unwrapped(layer.text[begin:end])):
-            return
-    except OverflowError:
-        yield None
+    if not (inside := unwrapped(layer.text[begin:end])):
         return
-    text, name, well = inside
-    if well or not lines:
-        yield layer.inner(name, text, begin, end)
+    name = inside.name
+    if inside.well or inside.large or not lines or name != "base64":
+        for text in inside.texts:
+            yield layer.inner(name, text, begin, end)
+        if inside.large or inside.run.unread:
+            yield Missed(*layer.span(begin, end), inside.run.unread)
         return
+    text = next(inside.texts)
+    if inside.run.unread:
+        yield Missed(*layer.span(begin, end), True)
     lines = [line for line in lines if begin <= line[0] and line[1] <= end]
     past = np.cumsum([line[1] - line[0] for line in lines])
     spans = np.array([layer.span(*line) for line in lines])
@@ -221,8 +359,8 @@ def within(layer: Layer, begin: int, end: int, lines: list[tuple[int, int]] = ()
     yield Layer(text, f"{layer.name}>{name}", spans[np.searchsorted(past, first, "right"), 0], spans[np.searchsorted(past, last, "right"), 1])
 
 
-def unwrap(layer: Layer) -> Iterator[Layer | None]:
-    """The layers right under a layer; None for one that is too large."""
+def unwrap(layer: Layer) -> Iterator[Layer | Missed]:
+    """The layers right under a layer, large ones in pieces; after those that are large or not read whole, their spans."""
     text = layer.text
     if "%" in text and (pieces := [(m.start(), m.end(), *url_decoded(m[0])) for m in URL_RUN.finditer(text)]):
         yield layer.rewritten("url", pieces)
@@ -251,28 +389,52 @@ def unwrap(layer: Layer) -> Iterator[Layer | None]:
             yield from within(layer, begin, end)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int, int]:
-    """(start, kind, end, layer) of all secrets in all layers, each span and kind once; layers seen; layers too large.
+def _place(layer: Layer) -> bytes:
+    """A digest of the text and the spans of its characters; those of a run are equal, and count once."""
+    digest = hashlib.sha256(layer.text.encode())
+    for spans in (layer.starts, layer.ends):
+        digest.update((spans[:1] if spans.strides == (0,) else spans).tobytes())
+    return digest.digest()
 
-    A span that is found in the text itself is named ``base``, others by the first layer that shows them.
-    """
+
+def scan_all(text: str) -> tuple[list[tuple[int, int, int, str]], int, int, list[tuple[int, int]]]:
+    """As ``scan``, and the spans of runs that could not be read whole."""
     found: dict[tuple[int, int, int], str] = {}
-    work, seen, n_layers, oversize = deque([Layer(text, "base", None, None)]), set(), 0, 0
+    missed: dict[tuple[int, int], bool] = {}
+    work, seen, n_layers = deque([Layer(text, "base", None, None)]), set(), 0
     while work:
+        # Each layer is read where it is unwrapped, so no more than one piece of a large one waits at each depth.
         layer = work.popleft()
-        n_layers += 1
-        for start, kind, end in scan_layer(layer.text):
-            begin, stop = layer.span(start, end)
-            found.setdefault((begin, kind, stop), layer.name)
-        for under in unwrap(layer):
+        stack = [iter([layer])]
+        while stack:
+            under = next(stack[-1], None)
             if under is None:
-                oversize += 1
+                stack.pop()
+            elif isinstance(under, Missed):
+                missed[under.start, under.end] = missed.get((under.start, under.end), False) or under.unread
             elif under.text:
-                place = hashlib.sha256(under.text.encode() + under.starts.tobytes() + under.ends.tobytes()).digest()
-                if place not in seen:
+                if under is not layer:
+                    if (place := _place(under)) in seen:
+                        continue
                     seen.add(place)
+                if under is not layer and len(under.text) < SMALL:
                     work.append(under)
-    return [(s, k, e, found[s, k, e]) for s, k, e in sorted(found)], n_layers, oversize
+                    continue
+                n_layers += 1
+                for start, kind, end in scan_layer(under.text):
+                    begin, stop = under.span(start, end)
+                    found.setdefault((begin, kind, stop), under.name)
+                stack.append(unwrap(under))
+    return [(s, k, e, found[s, k, e]) for s, k, e in sorted(found)], n_layers, len(missed), sorted(m for m, unread in missed.items() if unread)
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int, int]:
+    """(start, kind, end, layer) of all secrets in all layers, each span and kind once; layers seen; runs with layers that
+    are large (scanned in pieces) or could not be read whole.
+
+    A span that is found in the text itself is named ``base``, others by the first layer that shows them.
+    """
+    return scan_all(text)[:3]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,9 +466,13 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str) -> str:
-    """The text with every secret, and every encoded run that holds one, replaced by [SECRET]; overlapping spans are one."""
+    """The text with every secret, every encoded run that holds one, and every run that could not be read whole replaced by [SECRET].
+
+    Overlapping spans are one.
+    """
+    found, _, _, unread = scan_all(text)
     out, at = [], 0
-    for start, _, end, _ in scan(text)[0]:
+    for start, end in sorted([(s, e) for s, _, e, _ in found] + unread):
         if start >= at:
             out += [text[at:start], "[SECRET]"]
         at = max(at, end)

@@ -131,3 +131,32 @@ def test_binary_lines_have_the_spans_of_their_lines():
     lines = base64.encodebytes(b"\x80" * 110 + KEY.encode() + b"\x80" * 100).decode().split()
     text = "\n".join([*lines, "word"])
     assert secrets.redacted(text) == "\n".join([lines[0], "[SECRET]", *lines[3:], "word"])
+
+
+def test_xz_of_large_dictionaries():
+    assert KEY not in secrets.redacted(secret := b64(lzma.compress(KEY.encode(), preset=9))) and secrets.scan(secret)[2] == 0
+    huge = b64(lzma.compress(KEY.encode(), filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 29}]))
+    assert secrets.scan(huge)[1:] == (1, 1) or secrets.scan(huge)[2] == 1
+    assert secrets.redacted(f"a {huge} b") == "a [SECRET] b"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_further_members(pack):
+    several = pack(b"nothing here " * 5) + pack(b"") + pack(f"token={KEY}".encode())
+    for data in (several, several + b"\0" * 8, pack(several), pack(b"nothing ") + f" {KEY} ".encode(), several[:-1], pack(b"x" * 40 + KEY.encode()) + b"\1" * 3):
+        assert "access" in {secrets.KINDS[k] for _, k, _, _ in secrets.scan(f"a {b64(data)} b")[0]}
+
+
+@pytest.mark.parametrize("at", [5, (16 << 20) - 10, 20 << 20, 24 << 20])
+def test_large_layers_in_pieces(at):
+    inside = b" a" * (at // 2) + f" password={KEY} ".encode() + b" b" * ((25 << 20) - at >> 1)
+    text = f"x {b64(gzip.compress(gzip.compress(inside)))} y"
+    found, _, large, unread = secrets.scan_all(text)
+    assert {secrets.KINDS[k] for _, k, _, _ in found} == {"assign", "access"} and large == 1 and not unread
+    assert secrets.redacted(text) == "x [SECRET] y"
+
+
+def test_what_is_not_read_whole_is_replaced(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_INFLATED", 1 << 20)
+    assert secrets.redacted(f"x {b64(gzip.compress(b' a' * (1 << 20)))} y") == "x [SECRET] y"
+    assert secrets.scan(b64(gzip.compress(b" a" * (1 << 20))))[2] == 1
