@@ -1,11 +1,12 @@
 """Quotations in conversations: parsed, linked to the messages they come from, and left out of the reply order.
 
 DataFrame expressions only. A line's level is the number of its leading ``>`` marks. A quoted passage is a run
-of quoted lines of one level. Passages and their lines are normalised (marks off, white space single, A-Z
+of quoted lines of one level. Passages of every level, their
+paragraphs and their lines are normalised (marks off, white space single, A-Z
 lower) and hashed, and looked up among the hashes of what the messages of the conversation say themselves:
 the whole message, its paragraphs, its lines. A passage comes from the earliest message that says it, if that
 is an earlier one; so the lookup table is a pre-aggregated minimum and no pair of copies is formed. A message
-replies to the message from which most lines of its outermost quotes come (then the earliest).
+replies to the message from which most lines come of its outermost quotes that are found (then the earliest).
 
 Messages without such a link begin threads, in the order of their turns, and replies follow the message they
 answer, depth first, in the order of their turns.
@@ -65,7 +66,7 @@ def _hashes(texts: Column) -> Column:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to) of the messages whose outermost quotes come from an earlier message.
+    """(conv_id, turn, reply_to) of the messages whose quotes come from an earlier message; the outermost level that finds one decides.
 
     messages: as from ``parsed``. Only conversations that hold a quote are looked at. Null conv_ids and turns link nothing.
     """
@@ -74,14 +75,14 @@ def linked(messages: DataFrame) -> DataFrame:
     units = F.concat(F.array("own"), F.split("own", r"\n[\x20\x09]*\n"), F.split("own", "\n"))
     origins = (said.select("conv_id", "turn", F.explode(F.array_distinct(_hashes(units))).alias("hash"))
                .groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")))
-    outer = F.filter("passages", lambda p: p["level"] == 1)
-    asked = F.flatten(F.transform(outer, lambda p: F.concat(
-        F.transform(p["lines"], lambda line: F.struct(F.md5(normalised(line).cast("binary")).alias("hash"), (normalised(line) != "").cast("long").alias("votes"))),
-        F.array(F.struct(F.md5(normalised(F.array_join(p["lines"], " ")).cast("binary")).alias("hash"), F.size(p["lines"]).cast("long").alias("votes"))))))
-    passages = quoting.select("conv_id", "turn", F.explode(asked).alias("asked")).select("conv_id", "turn", "asked.hash", "asked.votes").where("votes > 0")
+    paragraphs = lambda p: F.split(F.array_join(p["lines"], "\n"), r"\n[\x20\t]*\n")
+    units = lambda p: F.concat(p["lines"], paragraphs(p), F.array(F.array_join(p["lines"], "\n")))
+    asked = F.flatten(F.transform("passages", lambda p: F.transform(F.filter(units(p), lambda u: normalised(u) != ""), lambda u: F.struct(
+        p["level"].alias("level"), F.md5(normalised(u).cast("binary")).alias("hash"), F.size(F.split(u, "\n")).cast("long").alias("votes")))))
+    passages = quoting.select("conv_id", "turn", F.explode(asked).alias("asked")).select("conv_id", "turn", "asked.*")
     votes = (passages.join(origins, ["conv_id", "hash"]).where(F.col("origin") < F.col("turn"))
-             .groupBy("conv_id", "turn", "origin").agg(F.sum("votes").alias("votes")))
-    return votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("votes", -F.col("origin"))).alias("reply_to"))
+             .groupBy("conv_id", "turn", "level", "origin").agg(F.sum("votes").alias("votes")))
+    return votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "votes", -F.col("origin"))).alias("reply_to"))
 
 
 def _ranged(rows: DataFrame, *order: str) -> DataFrame:

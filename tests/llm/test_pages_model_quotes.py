@@ -137,3 +137,10 @@ def test_order_over_many_ranges(spark):
         paths = [path(r.turn) for r in mine]
         assert [r.position for r in mine] == [sum(other < own for other in paths) for own in paths]
         assert [r.depth for r in mine] == [len(own) - 1 for own in paths] and max(map(len, paths)) > (2 if conv == 1 else 8)
+
+
+def test_deeper_levels_and_quoted_paragraphs_link(spark):
+    rows = [(1, 0, "user", "first words\n\nsecond part\ngoes on\n\nthird"), (1, 1, "user", "other"), (1, 2, "user", ">> first words\nyes"),
+            (1, 3, "user", "> edited\n>> other\nno"), (1, 4, "user", "> second\n> part goes on\n>\n> third part\nhm"), (1, 5, "user", "> other\n>> first words\nok")]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in got} == {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: 1}
