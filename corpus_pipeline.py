@@ -7,36 +7,40 @@ reads it again as the next one's input.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectionweave.llm import dedup_index, near_copies, packing, rules, secrets
+from sectionweave.llm import dedup_index, packing, rules, secrets, simhash
 from sectionweave.llm.tables import stored, table
 from sectionweave.session import attach
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of the rule ledger rejects go."""
+    """Documents that the current policy of the rule ledger rejects go; null and empty texts have too few words and go. An empty table stays empty."""
     return rules.filter_documents(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the longest, then the one with the smallest doc_id."""
+    """One document of each group of equal texts stays: the longest, then the one with the smallest doc_id, null ids last; null counts as empty."""
     attach(spark)
     return dedup_index.drop_duplicates(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (similarity of five-word shingles 0.8 or more) stays: the one with the smallest doc_id."""
+    """One document of each component of SimHash links stays: the one with the smallest doc_id, null ids last.
+
+    Shingles of three words and at most three differing bits, as in the query of this operator; null and empty
+    texts are one component.
+    """
     attach(spark)
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, encoded ones too, are replaced in the texts; all documents stay."""
+    """Secrets, encoded ones too, are replaced in the texts; all documents stay, null texts as they are."""
     attach(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null text is one piece of the end id."""
     attach(spark)
     return packing.piece_digests(docs)
 
