@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup_index, html_blocks, infill, packing, quality_model, quotes, rules, secrets, simhash, term_scan, token_files, viterbi
+from . import dedup_index, html_blocks, infill, packing, quality_model, quotes, rules, secrets, simhash, term_scan, token_files, toxicity, viterbi
 from .tables import table
 
 
@@ -49,6 +49,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scan.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +63,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_quote_linking, op3_quality_classifier, op4_exact_dedup, op5_sentencepiece,
-                            op6_token_files, op7_quality_rules, op8_packing, op9_html_extraction, op10_simhash, op12_ranked_search, op13_fill_in_middle)}
-ORACLE: dict[str, str] = {"op4_exact_dedup": dedup_index.ORACLE, "op7_quality_rules": rules.ORACLE, "op12_ranked_search": term_scan.ORACLE, "op13_fill_in_middle": infill.ORACLE}
+                            op6_token_files, op7_quality_rules, op8_packing, op9_html_extraction, op10_simhash, op11_toxicity,
+                            op12_ranked_search, op13_fill_in_middle)}
+ORACLE: dict[str, str] = {"op4_exact_dedup": dedup_index.ORACLE, "op7_quality_rules": rules.ORACLE,
+                          "op12_ranked_search": term_scan.ORACLE, "op13_fill_in_middle": infill.ORACLE}

@@ -23,13 +23,13 @@ from .tables import record_batch, sliced, stored
 BITS = 20
 #: Lengths of the beginnings of words, in code points.
 BEGINNINGS = (4, 5, 6, 7)
-#: Terms of the model, and the length of their vectors.
+#: Terms of the model at most, those with the largest log-likelihood ratio, and the length of their vectors.
 TERMS, FACTORS = 1 << 14, 8
+#: The ratio that a term needs: one in a thousand terms that both classes use alike has more.
+LEAST_RATIO = 10.83
 #: Documents that are fitted, of each class at most: those whose ids have the smallest hashes.
 FIT_PER_CLASS = 4000
 EPOCHS, RATE, SHRINK, SPREAD, SEED = 12, 0.1, 2e-3, 0.02, 11
-#: Counts that are added to both classes when the use of a term is compared.
-DOUBT = 1.0
 THRESHOLD = 0.5
 #: Documents with this remainder of crc32(doc_id) modulo FOLDS are never learnt from.
 FOLDS, HELD_OUT = 5, 0
@@ -172,13 +172,19 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose(bags: DataFrame, sizes: dict[int, int], n_terms: int) -> DataFrame:
-    """The ``n_terms`` terms that the classes use most unevenly: log-likelihood ratio of being in documents of either class."""
+    """The terms that the classes use unevenly, the ``n_terms`` most uneven of them at most: log-likelihood ratio of a document's class and its having the term."""
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    n = n_toxic + n_clean
     counts = (bags.select("label", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.sum("label").alias("toxic"), F.count("*").alias("all")))
-    rate = lambda n, total: (n + DOUBT) / (total + 2 * DOUBT)
-    toxic, clean = rate(F.col("toxic"), F.lit(sizes.get(1, 0))), rate(F.col("all") - F.col("toxic"), F.lit(sizes.get(0, 0)))
-    uneven = F.abs(F.log(toxic / clean)) * F.col("all")
-    return counts.select("term", uneven.alias("uneven")).orderBy(F.desc("uneven"), "term").limit(n_terms).select("term")
+              .agg(F.sum("label").alias("toxic"), F.count("*").alias("held")))
+    toxic, held = F.col("toxic"), F.col("held")
+
+    def part(seen: Column, rows: Column, column: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (rows * column))).otherwise(0.0)
+
+    ratio = 2 * (part(toxic, held, n_toxic) + part(held - toxic, held, n_clean)
+                 + part(n_toxic - toxic, n - held, n_toxic) + part(n_clean - held + toxic, n - held, n_clean))
+    return counts.select("term", ratio.alias("ratio")).where(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(n_terms).select("term")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_per_class: int = FIT_PER_CLASS, n_terms: int = TERMS, factors: int = FACTORS) -> Machine:
