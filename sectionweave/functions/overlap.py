@@ -40,6 +40,35 @@ def multiset_overlap(left: Column, right: Column) -> Column:
         F.sequence(F.lit(1), F.size(a) + F.size(b)), start, _merge_step(a, b), lambda s: s["hits"])))
 
 
+def _clip_step(candidate: Column, references: Column):
+    """One step of walking sorted grams beside those of all references: references that lag behind catch up, else a candidate gram is counted."""
+    def step(state: Column, _: Column) -> Column:
+        x = F.get(candidate, state["i"])
+        heads = F.transform(references, lambda r, k: F.get(r, F.get(state["at"], k)))
+
+        def moved(h: Column) -> Column:
+            lags = F.exists(h, lambda y: y < x)
+            passed = F.when(lags, 0).otherwise(1)
+            at = F.zip_with(state["at"], h, lambda j, y: j + F.when(F.when(lags, y < x).otherwise(y == x), 1).otherwise(0))
+            found = F.when(~F.coalesce(lags, F.lit(False)) & F.coalesce(F.exists(h, lambda y: y == x), F.lit(False)), 1).otherwise(0)
+            return F.struct((state["i"] + passed).alias("i"), at.alias("at"), (state["hits"] + found).alias("hits"))
+
+        # Ends of arrays are null: a reference at its end never lags, and behind the last candidate gram nothing happens.
+        return F.when(x.isNull(), state).otherwise(let(F.transform(heads, lambda y: F.coalesce(y, F.lit("\U0010ffff"))), moved))
+    return step
+
+
+def clipped_overlap(candidate: Column, references: Column) -> Column:
+    """Elements of ``candidate``, each counted at most as often as the one of the ``references`` (an array of arrays) that has most of it."""
+    def walk(c: Column, r: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.transform(r, lambda _: F.lit(0)).alias("at"), F.lit(0).alias("hits"))
+        steps = F.aggregate(r, F.size(c), lambda n, one: n + F.size(one))
+        return F.when((F.size(c) == 0) | (F.size(r) == 0), 0).otherwise(
+            F.aggregate(F.sequence(F.lit(1), steps), start, _clip_step(c, r), lambda s: s["hits"]))
+
+    return let(F.sort_array(candidate), lambda c: let(F.transform(references, lambda r: F.sort_array(r)), lambda r: walk(c, r)))
+
+
 def ngram_overlap(left: Column, right: Column, n: int) -> Column:
     return multiset_overlap(ngrams(left, n), ngrams(right, n))
 

@@ -588,7 +588,118 @@ SELECT article_id, array_to_string({_padded('source_ids', MAX_SOURCE, PAD)}, ' '
 FROM encoded"""
 
 
+# Several references: a gram counts at most as often as in the reference that has most of it.
+REFERENCE_LISTS = f"""
+lists AS (
+  SELECT article_id, gen_sum, [target_sum, gen_sum[:length(gen_sum) // 2] || ' ' || target_sum[length(target_sum) // 2 + 1:],
+         gen_sum[:length(gen_sum) // 2] || ' ' || gen_sum[:length(gen_sum) // 2]][:length(target_sum) % 3 + 1] AS refs FROM pairs),
+cands AS (SELECT article_id, {_bleu_tokens('gen_sum')} AS cand FROM lists),
+each_ref AS (SELECT article_id, r, {_bleu_tokens('one')} AS ref FROM (
+  SELECT article_id, unnest(refs) AS one, generate_subscripts(refs, 1) AS r FROM lists)),
+lengths AS (
+  SELECT article_id, any_value(len(cand)) AS gen_len, arg_min(len(ref), (abs(len(ref) - len(cand)), len(ref))) AS ref_len
+  FROM cands JOIN each_ref USING (article_id) GROUP BY article_id)""" + "".join(f"""
+, cand{n} AS (
+  SELECT article_id, gram, count(*) AS c FROM (SELECT article_id, unnest(list_transform(range(1, len(cand) - {n - 2}),
+    lambda i: array_to_string(cand[i:i + {n - 1}], ' '))) AS gram FROM cands) GROUP BY ALL),
+ref{n} AS (
+  SELECT article_id, gram, max(c) AS c FROM (
+    SELECT article_id, r, gram, count(*) AS c FROM (SELECT article_id, r, unnest(list_transform(range(1, len(ref) - {n - 2}),
+      lambda i: array_to_string(ref[i:i + {n - 1}], ' '))) AS gram FROM each_ref) GROUP BY ALL) GROUP BY article_id, gram),
+sum{n} AS (
+  SELECT coalesce((SELECT sum(least(a.c, b.c)) FROM cand{n} a JOIN ref{n} b USING (article_id, gram)), 0)::BIGINT AS match{n},
+         coalesce((SELECT sum(c) FROM cand{n}), 0)::BIGINT AS total{n})""" for n in range(1, 5)) + """,
+counts AS (
+  SELECT coalesce(sum(gen_len), 0)::BIGINT AS gen_len, coalesce(sum(ref_len), 0)::BIGINT AS ref_len,
+         any_value(match1) AS match1, any_value(match2) AS match2, any_value(match3) AS match3, any_value(match4) AS match4,
+         any_value(total1) AS total1, any_value(total2) AS total2, any_value(total3) AS total3, any_value(total4) AS total4
+  FROM lengths, sum1, sum2, sum3, sum4)"""
+
+# The trained sentence splitter, over tokens and the tokens beside them.
+IN_SPACE = SPACE[1:-1]
+CANDIDATE = r"""[.!?]["'')\]}]*$"""
+
+
+def _core(token: str) -> str:
+    return rf"""regexp_replace(regexp_replace({token}, '^["''(\[{{]+', ''), '["'')\]}}]+$', '')"""
+
+
+def _word(core: str) -> str:
+    word = f"regexp_replace(lower({core}), '[.!?,;:]+$', '')"
+    return rf"(CASE WHEN regexp_matches({word}, '^[0-9][0-9.,]*$') THEN '#' WHEN regexp_matches({word}, '[\p{{L}}\p{{N}}]') THEN {word} END)"
+
+
+def _likelihood(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+SPLITTER = rf"""
+token_rows AS (
+  SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM (SELECT doc_id, {_pieces('text')} AS toks FROM documents)),
+token_cores AS (SELECT doc_id, i, {_core('token')} AS core FROM token_rows),
+token_words AS (SELECT doc_id, i, core, {_word('core')} AS word FROM token_cores),
+beside AS (
+  SELECT word, core, lag(core) OVER one AS before, lag(word) OVER one AS before_word FROM token_words WINDOW one AS (PARTITION BY doc_id ORDER BY i)),
+seen AS (
+  SELECT word, ends_with(core, '.') AS period, regexp_matches(core, '^\p{{Lu}}') AS capital,
+         CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[!?]$') THEN '!' WHEN ends_with(before, '.') THEN coalesce(before_word, '.') END AS after
+  FROM beside WHERE word IS NOT NULL),
+corpus AS (SELECT count(*) FILTER (period) / count(*) AS rate, count(*) AS n FROM seen),
+word_totals AS (
+  SELECT word, count(*) FILTER (period) AS n_period, count(*) FILTER (NOT period) AS n_plain, count(*) FILTER (NOT capital) AS n_small,
+         count(*) FILTER (capital AND after IS NULL) AS n_inside, length(replace(word, '.', '')) AS letters FROM seen GROUP BY word),
+word_ratios AS (
+  SELECT *, 2 * ({_likelihood('n_period', '(n_period + n_plain)', '0.99')} - {_likelihood('n_period', '(n_period + n_plain)', 'rate')})
+         * exp(-letters) * (length(word) - letters + 1) * pow(letters, -n_plain) AS ratio
+  FROM word_totals, corpus),
+abbreviations AS (SELECT word FROM word_ratios WHERE n_period > 0 AND ratio >= 0.3 AND word <> '#'),
+behind AS (
+  SELECT word, capital, after IN (SELECT word FROM abbreviations) OR regexp_matches(after, '^\p{{L}}$') AS doubt, after = '#' AS number
+  FROM seen WHERE after <> ''),
+behind_totals AS (
+  SELECT word, count(*) FILTER (NOT doubt AND NOT number) AS n_first, count(*) FILTER (doubt AND capital) AS n_met FROM behind GROUP BY word),
+all_ends AS (SELECT coalesce(sum(n_first), 0) AS n_ends FROM behind_totals),
+starts AS (
+  SELECT w.*, coalesce(n_first, 0) AS n_first, coalesce(n_met, 0) AS n_met, n_period + n_plain AS total, n_ends, n
+  FROM word_ratios w LEFT JOIN behind_totals USING (word), all_ends),
+splitter AS (
+  SELECT word, n_period, n_plain, ratio, word IN (SELECT word FROM abbreviations) AS abbreviation, n_first, n_met, n_small, n_inside,
+         CASE WHEN n_first > 0 AND n_first / n_ends > (total - n_first) / (n - n_ends) THEN 2 * (
+           {_likelihood('n_first', 'n_ends', '(n_first / n_ends)')} + {_likelihood('(total - n_first)', '(n - n_ends)', '((total - n_first) / (n - n_ends))')}
+           - {_likelihood('n_first', 'n_ends', '(total / n)')} - {_likelihood('(total - n_first)', '(n - n_ends)', '(total / n)')}) ELSE 0 END AS starts
+  FROM starts),
+splitter_words AS (
+  SELECT word, n_period::BIGINT AS n_period, n_plain::BIGINT AS n_plain, round(ratio, 6) + 0.0 AS ratio, abbreviation, n_first::BIGINT AS n_first,
+         round(starts, 6) + 0.0 AS starts, n_met::BIGINT AS n_met, (starts >= 30 AND word <> '#') OR (n_small > 0 AND n_inside = 0) AS opens
+  FROM splitter)"""
+
+TRAINED_LINES = rf"""
+chunk_rows AS (
+  SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^{IN_SPACE}]+{SPACE}*') AS c FROM documents)),
+chunk_tokens AS (SELECT doc_id, i, chunk, regexp_replace(chunk, '{SPACE}+$', '') AS token FROM chunk_rows),
+chunk_cores AS (SELECT *, {_core('token')} AS core FROM chunk_tokens),
+chunk_words AS (SELECT *, {_word('core')} AS word FROM chunk_cores),
+followed AS (
+  SELECT *, lead(core) OVER one AS next_core, lead(word) OVER one AS next_word FROM chunk_words WINDOW one AS (PARTITION BY doc_id ORDER BY i)),
+judged AS (
+  SELECT doc_id, i, chunk, token, CASE
+    WHEN next_core IS NULL OR NOT regexp_matches(token, '{CANDIDATE}') THEN false
+    WHEN NOT ends_with(core, '.') OR word IS NULL THEN true
+    WHEN word = '#' THEN NOT regexp_matches(next_core, '^\p{{Ll}}')
+    ELSE NOT (regexp_matches(word, '^\p{{L}}$') OR word IN (SELECT word FROM splitter_words WHERE abbreviation))
+         OR (regexp_matches(next_core, '^\p{{Lu}}') AND next_word IN (SELECT word FROM splitter_words WHERE opens)) IS TRUE END AS ends
+  FROM followed),
+lines_again AS (SELECT doc_id, string_agg(CASE WHEN ends THEN token || {NL} ELSE chunk END, '' ORDER BY i) AS text FROM judged GROUP BY doc_id),
+trained_lines AS (
+  SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN regexp_extract(d.text, '^{SPACE}*') || coalesce(l.text, '') END AS text
+  FROM documents d LEFT JOIN lines_again l USING (doc_id))"""
+
 ORACLE: dict[str, str] = {
+    "bleu_references": f"WITH {PAIRS}, {REFERENCE_LISTS} SELECT *, round({BLEU}, 6) AS bleu FROM counts",
+    "splitter_words": f"WITH {SPLITTER} SELECT * FROM splitter_words",
+    "trained_sentence_lines": f"WITH {SPLITTER}, {TRAINED_LINES} SELECT * FROM trained_lines",
+    "trained_sentence_lines_joined": f"WITH {SPLITTER}, {TRAINED_LINES} SELECT * FROM trained_lines",
     "best_section": f"""
 WITH {ARTICLES}, {_scores()}
 SELECT doc_id::VARCHAR AS article_id, m::INTEGER AS sent_idx, a.s AS sentence, sec::INTEGER AS section_idx,

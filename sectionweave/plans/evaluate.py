@@ -11,6 +11,8 @@ from ..operators.assemble import assemble
 from ..operators.bleu import corpus_bleu
 from ..operators.encode import decode, generated_length
 from ..operators.rouge import score_pairs
+from ..operators.sentence_split import split_lines
+from ..session import stored
 
 
 def assemble_and_score(rows: DataFrame, select_sections: Sequence[str] | None = None) -> DataFrame:
@@ -24,18 +26,21 @@ def score_standard(pairs: DataFrame) -> DataFrame:
 
 
 def compute_metrics(predictions: DataFrame, vocab: DataFrame, pad: int, task: str = "summarization",
-                    special: tuple[int, ...] = (), key: str = "article_id") -> DataFrame:
+                    special: tuple[int, ...] = (), key: str = "article_id", splitter: DataFrame | None = None) -> DataFrame:
     """Metric rows of predicted and label ids (``pred_ids``, ``labels``).
 
     Summarization is scored by stemmed ROUGE over sentence lines, translation by
-    BLEU; both add the mean generated length.
+    BLEU; both add the mean generated length. ``splitter``, what the trained sentence
+    splitter has learnt, takes the place of breaks after every closing mark.
     """
     if not task.startswith(("summarization", "translation")):
         raise ValueError(f"task {task!r} is neither summarization nor translation")
     texts = decode(decode(predictions, vocab, pad, "pred_ids", special, out="gen_sum"),
                    vocab, pad, "labels", special, out="target_sum")
-    clean = postprocess_text if task.startswith("summarization") else strip
+    clean = postprocess_text if task.startswith("summarization") and splitter is None else strip
     pairs = texts.select(key, clean(F.col("target_sum")).alias("target_sum"), clean(F.col("gen_sum")).alias("gen_sum"))
+    if task.startswith("summarization") and splitter is not None:
+        pairs = stored(split_lines(split_lines(pairs, splitter, "target_sum"), splitter, "gen_sum"), "split_pairs")
     if task.startswith("summarization"):
         scores = corpus_rouge(pairs, key=key)
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import join_sentences, piece_count, postprocess_text
-from .operators import aggregate, align, assemble, bleu, columns, encode, generate, rouge
+from .operators import aggregate, align, assemble, bleu, columns, encode, generate, rouge, sentence_split
 from .plans import evaluate, prepare
 from .schemas import SCORING_TYPES
 from .session import attach, scratch_path, spread
@@ -203,6 +203,22 @@ def bleu_counts(spark, sf_dir):
     return bleu.bleu_counts(pairs(spark, sf_dir))
 
 
+def reference_lists(spark, sf_dir):
+    """Pairs with one to three references: the answer, the question's first half before the answer's second, and that half twice."""
+    def half(c: str) -> Column:
+        return F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
+
+    rest = F.substring("target_sum", F.floor(F.length("target_sum") / 2).cast("int") + 1, F.length("target_sum"))
+    mixed, twice = F.concat_ws(" ", half("gen_sum"), rest), F.concat_ws(" ", half("gen_sum"), half("gen_sum"))
+    refs = F.slice(F.array("target_sum", mixed, twice), 1, F.length("target_sum") % 3 + 1)
+    return pairs(spark, sf_dir).select("article_id", refs.alias("target_sum"), "gen_sum")
+
+
+def bleu_references(spark, sf_dir):
+    counts = bleu.bleu_counts(reference_lists(spark, sf_dir))
+    return _rounded(counts.withColumn("bleu", bleu.bleu_of_counts()), "bleu")
+
+
 def _text_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("article_id", F.col("target_sum").alias("text"), F.col("gen_sum").alias("summary"))
 
@@ -277,6 +293,22 @@ def sentence_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", postprocess_text(F.col("text")).alias("text"))
 
 
+def splitter_words(spark, sf_dir):
+    """What the trained splitter learns from all documents."""
+    words = _rounded(sentence_split.learn(table(spark, sf_dir, "documents")), "ratio", "starts")
+    return words.withColumns({c: F.col(c) + 0.0 for c in ("ratio", "starts")})  # no negative zeros
+
+
+def trained_sentence_lines(spark, sf_dir, **options):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_split.split_lines(documents, sentence_split.learn(documents), own=True, **options)
+
+
+def trained_sentence_lines_joined(spark, sf_dir):
+    """The same lines the way word lists too long for an expression are looked up."""
+    return trained_sentence_lines(spark, sf_dir, max_words=0)
+
+
 def prediction_lines(spark, sf_dir):
     return writers.prediction_lines(pairs(spark, sf_dir))
 
@@ -347,8 +379,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         collect_summaries, regroup_articles, prepare_train, prepare_eval, prepare_splits, prepare_pooled,
         prepare_stemmed, rouge1_pairs, rouge2_pairs, rougeL_pairs, rougeLsum_pairs, score_pairs, score_standard,
         score_stemmed, generate_rows, assemble_rows, assemble_scores, bootstrap_ci, ci_report, corpus_rouge, corpus_rouge_stemmed,
-        corpus_bleu, bleu_counts, encode_rows, encode_rows_joined, encode_tokenizer, unmask_decode, gen_length,
+        corpus_bleu, bleu_counts, bleu_references, encode_rows, encode_rows_joined, encode_tokenizer, unmask_decode, gen_length,
         sample_counts, compute_metrics, compute_metrics_summarization, translation_pairs, head_samples, clean_export, sentence_lines,
+        splitter_words, trained_sentence_lines, trained_sentence_lines_joined,
         prediction_lines, json_roundtrip, csv_roundtrip, encode_repeated, encode_repeated_joined, json_pairs,
         read_translation_files, named_split,
     )
