@@ -20,6 +20,10 @@ from .stem import stem_token, stem_tokens
 
 LINE = "\n"
 PAGE = "\f"
+#: Sentences whose bounds are counted together.
+BLOCK = 512
+#: Tokens up to which masks are built bit by bit.
+SHORT = 1024
 
 
 def _bit_masks(sequences: list[list[str]]) -> tuple[dict[str, int], list[tuple[int, int]], int]:
@@ -81,6 +85,93 @@ def best_per_section(abstract: str, sections: str, stem: Callable[[str], str] |
     return table
 
 
+def _lanes(sentences: list[list[str]], wanted: set[str], width: int) -> dict[str, int]:
+    """For each wanted token an integer with a one in the lane of every sentence that holds it."""
+    lanes: dict[str, int] = {}
+    lane = 1
+    for sentence in sentences:
+        for token in wanted.intersection(sentence):
+            lanes[token] = lanes.get(token, 0) | lane
+        lane <<= 8 * width
+    return lanes
+
+
+def _masks(tokens: list[str]) -> tuple[dict[str, int], int]:
+    """:func:`_bit_masks` of one sequence, without the detour over bytes that long ones need."""
+    if len(tokens) > SHORT:
+        masks, _, valid = _bit_masks([tokens])
+        return masks, valid
+    masks, bit = {}, 1
+    for token in tokens:
+        masks[token] = masks.get(token, 0) | bit
+        bit <<= 1
+    return masks, bit - 1
+
+
+def best_sections(abstract: str, sections: str, stem: Callable[[str], str] | None = None) -> tuple[list[int], list[int], int, int]:
+    """For each abstract sentence the first section with the longest LCS and that length; the pairs of sentences, and those compared.
+
+    Two sentences have no longer LCS than the first has tokens that the other holds. One integer addition per token
+    of an abstract sentence counts these for a whole block of section sentences, a lane each. Sentences are then compared in descending
+    order of that bound, until it shows that no other can win; copies count once.
+    """
+    pages, texts = sections.split(PAGE)[:-1], abstract.split(LINE)[:-1]
+    if not pages or not texts:
+        return [], [], 0, 0
+    tokens = {t: stem(t) for t in {*abstract.split(), *sections.split()}} if stem else None
+
+    def split(text: str) -> list[str]:
+        return [tokens[t] for t in text.split()] if tokens else text.split()
+
+    first: dict[str, int] = {}
+    n_sentences = 0
+    for k, page in enumerate(pages):
+        lines = page.split(LINE)[:-1]
+        n_sentences += len(lines)
+        for line in lines:
+            first.setdefault(line, k)
+    place, sentences = list(first.values()), [split(line) for line in first]
+    targets = [split(text) for text in texts]
+    masks: list = [None] * len(targets)
+    wanted = {t for target in targets for t in target}
+    # A bound is at most the length of the abstract sentence, which the lane must hold.
+    width = 1 if max(map(len, targets)) < 256 else 4
+    found, hits, compared = [0] * len(targets), [0] * len(targets), 0
+    for begin in range(0, len(sentences), BLOCK):
+        block = sentences[begin:begin + BLOCK]
+        lanes = _lanes(block, wanted, width)
+        for m, target in enumerate(targets):
+            total = sum([lanes[t] for t in target if t in lanes])
+            best = hits[m]
+            if not total:
+                continue
+            bound = total.to_bytes(width * len(block), "little")
+            if width > 1:
+                bound = memoryview(bound).cast("I").tolist()
+            # Sections ascend: of equal bounds the first is the one that counts, and a later block must have more.
+            if (top := max(bound)) <= best:
+                continue
+            if masks[m] is None:
+                masks[m] = _masks(target)
+            by_token, valid = masks[m]
+            i = bound.index(top)
+            size, compared = _advance(by_token, valid, block[i]).bit_count(), compared + 1
+            section = found[m]
+            if size > best:
+                section, best = place[begin + i], size
+            if best < top:
+                rest = sorted((-n, j) for j, n in enumerate(bound) if j != i and (n > best or (n == best and place[begin + j] < section)))
+                for n, j in rest:
+                    k = place[begin + j]
+                    if -n < best or (-n == best and k >= section):
+                        continue
+                    size, compared = _advance(by_token, valid, block[j]).bit_count(), compared + 1
+                    if size > best or (size == best and k < section):
+                        section, best = k, size
+            found[m], hits[m] = section, best
+    return found, hits, len(targets) * n_sentences, compared
+
+
 def lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
     """Reference positions of one LCS; on a choice the walk drops candidate tokens
     only where the LCS needs it, from the end backwards."""
@@ -150,6 +241,32 @@ def section_lcs_stemmed(abstract: pa.Array, sections: pa.Array) -> pa.Array:
     return pa.array(_rows(abstract, sections, lambda a, s: best_per_section(a, s, stem_token)), pa.list_(pa.list_(pa.int32())))
 
 
+MATCH = T.StructType([T.StructField("section_idx", T.IntegerType()), T.StructField("hits", T.IntegerType())])
+MATCHES = T.StructType([T.StructField("best", T.ArrayType(MATCH)), T.StructField("pairs", T.LongType()), T.StructField("compared", T.LongType())])
+
+
+def _matches(abstract: pa.Array, sections: pa.Array, stem: Callable[[str], str] | None) -> pa.Array:
+    rows = _rows(abstract, sections, lambda a, s: best_sections(a, s, stem))
+    whole = [r or ([], [], None, None) for r in rows]
+    offsets, end = [0], 0
+    for row in whole:
+        offsets.append(end := end + len(row[0]))
+    flat = pa.StructArray.from_arrays([pa.array([x for r in whole for x in r[i]], pa.int32()) for i in (0, 1)], names=["section_idx", "hits"])
+    best = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([r is None for r in rows], pa.bool_()))
+    return pa.StructArray.from_arrays([best, *(pa.array([r[i] for r in whole], pa.int64()) for i in (2, 3))], names=["best", "pairs", "compared"])
+
+
+@F.arrow_udf(MATCHES)
+def section_matches(abstract: pa.Array, sections: pa.Array) -> pa.Array:
+    """Per abstract sentence the first section with the longest LCS, and how many pairs of sentences were compared for it."""
+    return _matches(abstract, sections, None)
+
+
+@F.arrow_udf(MATCHES)
+def section_matches_stemmed(abstract: pa.Array, sections: pa.Array) -> pa.Array:
+    return _matches(abstract, sections, stem_token)
+
+
 @F.arrow_udf(T.StructType([T.StructField("ref_lines", T.StringType()), T.StructField("cand_lines", T.StringType()),
                            T.StructField("lcs", T.IntegerType()), T.StructField("lsum", T.IntegerType())]))
 def stemmed_pair(left: pa.Array, right: pa.Array, plain: pa.Array, by_line: pa.Array) -> pa.Array:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lcs import LINE, PAGE, section_lcs, section_lcs_stemmed
+from .lcs import LINE, PAGE, section_lcs, section_lcs_stemmed, section_matches, section_matches_stemmed
 from .text import first_hit, let, normalize, strip_markers, token_count, words
 from ..schemas import KEYWORDS, OTHER_SECTION
 
@@ -27,15 +27,24 @@ def _lines(sentences: Column) -> Column:
                     lambda s: F.concat(F.coalesce(normalize(s), F.lit("")), F.lit(LINE))), "")
 
 
-def section_hits(abstract: Column, zipped: Column, use_stemmer: bool = True,
-                 strip_markers_first: bool = False) -> Column:
-    """Section by abstract-sentence LCS table of one article row."""
+def _texts(abstract: Column, zipped: Column, strip_markers_first: bool) -> tuple[Column, Column]:
+    """Lines of the abstract and pages of the sections, as the Python step reads them."""
     if strip_markers_first:
         abstract = F.transform(abstract, strip_markers)
     pages = F.array_join(F.transform(zipped, lambda s: F.concat(_lines(s["section_text"]), F.lit(PAGE))), "")
     # A null abstract has no sentences; a null section list has no sections.
-    abstract_lines = F.when(abstract.isNotNull(), _lines(abstract))
-    return (section_lcs_stemmed if use_stemmer else section_lcs)(abstract_lines, pages)
+    return F.when(abstract.isNotNull(), _lines(abstract)), pages
+
+
+def section_hits(abstract: Column, zipped: Column, use_stemmer: bool = True,
+                 strip_markers_first: bool = False) -> Column:
+    """Section by abstract-sentence LCS table of one article row."""
+    return (section_lcs_stemmed if use_stemmer else section_lcs)(*_texts(abstract, zipped, strip_markers_first))
+
+
+def section_best(abstract: Column, zipped: Column, use_stemmer: bool = True, strip_markers_first: bool = False) -> Column:
+    """Per abstract sentence the first section with the longest LCS: ``best``, and the ``pairs`` of sentences and how many were ``compared``."""
+    return (section_matches_stemmed if use_stemmer else section_matches)(*_texts(abstract, zipped, strip_markers_first))
 
 
 def sentence_sizes(abstract: Column, strip_markers_first: bool = False) -> Column:
@@ -52,14 +61,11 @@ def recall_table(hits: Column, sizes: Column) -> Column:
         row, n, lambda h, k: F.when(k > 0, h / k).otherwise(F.lit(0.0)).cast("float"))))
 
 
-def first_best(scores: Column) -> Column:
-    """Per abstract sentence ``struct(section_idx, score)`` of the first section with the top score."""
-    def pick(table: Column, m: Column) -> Column:
-        return let(F.transform(table, lambda row: F.get(row, m)), lambda column: let(
-            F.array_max(column), lambda top: F.struct(
-                (F.array_position(column, top) - 1).cast("int").alias("section_idx"), top.alias("score"))))
+def scored_matches(best: Column, sizes: Column) -> Column:
+    """``struct(section_idx, score)`` per abstract sentence, the score being the recall as float; empty where nothing can match."""
+    def scored(n: Column) -> Column:
+        return F.transform(best, lambda b, m: F.struct(
+            b["section_idx"].alias("section_idx"),
+            F.when(F.get(n, m) > 0, b["hits"] / F.get(n, m)).otherwise(F.lit(0.0)).cast("float").alias("score")))
 
-    return let(scores, lambda table: F.when(
-        F.size(F.get(table, F.lit(0))) > 0,
-        F.transform(F.sequence(F.lit(0), F.size(F.get(table, F.lit(0))) - 1), lambda m: pick(table, m)),
-    ).otherwise(F.array().cast("array<struct<section_idx:int,score:float>>")))
+    return F.coalesce(let(sizes, scored), F.array().cast("array<struct<section_idx:int,score:float>>"))

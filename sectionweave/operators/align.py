@@ -1,19 +1,24 @@
 """Which section does each abstract sentence come from?
 
 An article is one row, so its sections and its abstract are already in the same
-task: the whole comparison is a projection, without a join or a shuffle.
+task: the whole comparison is a projection, without a join or a shuffle. Only articles
+above a stated size, if one is given, are dealt out in parts and put together again.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sections import (
-    first_best, identify_section, recall_table, section_hits, sentence_sizes, zip_sections,
+    identify_section, recall_table, scored_matches, section_best, section_hits, sentence_sizes, zip_sections,
 )
 from ..functions.text import spelt_list
 
 # An article is its id and its abstract; the digest stands for the abstract wherever rows are grouped.
 ABSTRACT_KEY = "abstract_key"
+# Sentences of a large article's sections and abstract that are compared in one row.
+RANGE, SHARE = 2000, 500
 
 
 def abstract_key() -> Column:
@@ -51,19 +56,77 @@ def sentence_section_scores(articles: DataFrame, use_stemmer: bool = True,
     ).where(F.col("section_idx").isNotNull())
 
 
-def with_matches(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False) -> DataFrame:
-    """Add ``matched``: per abstract sentence the first section with the highest score, and that score."""
-    return (
-        with_scores(articles, use_stemmer, strip_markers_first)
-        .withColumn("matched", first_best(F.col("summary_scores")))
-        .drop("summary_scores")
-    )
+def _matched_here(articles: DataFrame, use_stemmer: bool, strip_markers_first: bool) -> DataFrame:
+    return articles.withColumn("best", section_best(F.col("abstract_text"), F.col("zipped"), use_stemmer, strip_markers_first)["best"])
+
+
+def _slices(items: Column, size: int) -> Column:
+    """An array in runs of ``size``: structs of the position of the first and the run."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice(items, at + 1, size).alias("run")))
+
+
+def _matched_apart(articles: DataFrame, use_stemmer: bool, strip_markers_first: bool) -> DataFrame:
+    """The same for articles that are too large for a task: parts of sections meet parts of the abstract in many tasks.
+
+    A digest stands for sections and abstract together; equal ones have equal matches. Each part gives the longest LCS
+    for its sentences, and the maximum over the parts decides, the first section where they are equal.
+    """
+    key = F.md5(F.concat(spelt_list(F.col("abstract_text")), spelt_list(F.col("zipped.section_text"), lambda s: spelt_list(s))))
+    keyed = articles.withColumn("article_key", key)
+    runs = (keyed.select("article_key", "abstract_text", F.explode("zipped").alias("s"))
+            .select("article_key", "abstract_text", "s.section_idx", F.explode(_slices(F.col("s.section_text"), RANGE)).alias("part"))
+            .select("article_key", "section_idx", "part", F.explode(_slices(F.col("abstract_text"), SHARE)).alias("own")))
+    n_parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartition(n_parts, "article_key", "section_idx", "part.at", "own.at")
+    one = F.array(F.struct(F.col("part.run").alias("section_text")))
+    found = dealt.select("article_key", "section_idx", F.col("own.at").alias("from"),
+                         section_best(F.col("own.run"), one, use_stemmer, strip_markers_first)["best"].alias("best"))
+    each = found.select("article_key", "section_idx", "from", F.posexplode("best").alias("place", "b"))
+    longest = F.max(F.struct("b.hits", (-F.col("section_idx")).alias("back")))
+    merged = each.groupBy("article_key", (F.col("from") + F.col("place")).alias("sent_idx")).agg(longest.alias("m"))
+    # Without a common token the first section of all counts, also if it has no sentence.
+    section = F.when(F.col("m.hits") > 0, -F.col("m.back")).otherwise(0).alias("section_idx")
+    rows = merged.select("article_key", F.struct("sent_idx", section, F.col("m.hits").alias("hits")).alias("b"))
+    best = rows.groupBy("article_key").agg(F.array_sort(F.collect_list("b")).alias("found"))
+    none = F.transform(F.coalesce("abstract_text", F.array().cast("array<string>")), lambda _: F.struct(F.lit(0).alias("section_idx"), F.lit(0).alias("hits")))
+    known = F.transform("found", lambda b: F.struct(b["section_idx"].alias("section_idx"), b["hits"].alias("hits")))
+    whole = F.when(F.size("zipped") > 0, F.coalesce(known, none)).otherwise(F.array().cast("array<struct<section_idx:int,hits:int>>"))
+    return keyed.join(best, "article_key", "left").withColumn("best", whole).drop("article_key", "found")
+
+
+def _total(items: Column | str, size: Callable[[Column], Column]) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda n, item: n + F.coalesce(size(item), F.lit(0)))
+
+
+def with_matches(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False,
+                 large_bytes: int | None = None) -> DataFrame:
+    """Add ``matched``: per abstract sentence the first section with the highest score, and that score.
+
+    Articles whose sections have more than ``large_bytes`` bytes are compared by many tasks each; that reads the
+    input twice. Without it every article is compared where it lies.
+    """
+    zipped = articles.withColumn("zipped", zip_sections(F.col("section_names"), F.col("sections")))
+    if large_bytes is None:
+        found = _matched_here(zipped, use_stemmer, strip_markers_first)
+    else:
+        size = F.coalesce(_total("sections", lambda section: _total(section, F.octet_length)), F.lit(0))
+        found = _matched_here(zipped.where(size <= large_bytes), use_stemmer, strip_markers_first).unionByName(
+            _matched_apart(zipped.where(size > large_bytes), use_stemmer, strip_markers_first))
+    return found.withColumn("matched", scored_matches(F.col("best"), sentence_sizes(F.col("abstract_text"), strip_markers_first))).drop("best")
+
+
+def alignment_work(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False) -> DataFrame:
+    """article_id, ``n_pairs`` of abstract and section sentences, ``n_compared`` of them, of which bounds could not show that they lose."""
+    zipped = zip_sections(F.col("section_names"), F.col("sections"))
+    return articles.select("article_id", section_best(F.col("abstract_text"), zipped, use_stemmer, strip_markers_first).alias("w")).select(
+        "article_id", F.coalesce("w.pairs", F.lit(0)).alias("n_pairs"), F.coalesce("w.compared", F.lit(0)).alias("n_compared"))
 
 
 def best_section(articles: DataFrame, min_score: float | None = None, use_stemmer: bool = True,
-                 strip_markers_first: bool = False) -> DataFrame:
+                 strip_markers_first: bool = False, large_bytes: int | None = None) -> DataFrame:
     """One row per abstract sentence with its section; ``min_score`` drops weaker matches."""
-    aligned = with_matches(articles, use_stemmer, strip_markers_first).select(
+    aligned = with_matches(articles, use_stemmer, strip_markers_first, large_bytes).select(
         "article_id", abstract_key(),
         F.posexplode_outer(F.arrays_zip(F.col("abstract_text"), F.col("matched"))).alias("sent_idx", "pair"),
     ).where(F.col("pair.matched").isNotNull()).select("article_id", ABSTRACT_KEY, "sent_idx", F.col("pair.abstract_text").alias("sentence"),

@@ -49,21 +49,28 @@ def _single_letter(word: Column) -> Column:
     return word.rlike(r"^\p{L}$")
 
 
+def _end_mark(token: Column) -> Column:
+    """A token behind which a sentence may end, null for others."""
+    return F.when(F.substring(token, -1, 1).isin(*".!?\"')]}"), token)
+
+
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """How often each word stands with and without a period, with and without a capital, by what stands before it.
 
     ``after`` is null inside a sentence, empty at the beginning of a text, ``!`` behind an exclamation or question
     mark, else the word whose period stands before. Null texts have no words.
     """
-    tokens = F.transform(non_empty(F.split(column, f"{SPACE}+")), _parts)
-    pairs = texts.select(let(tokens, lambda all_: F.transform(
-        all_, lambda t, i: F.struct(t.alias("own"), F.when(i > 0, F.get(all_, i - 1)).alias("before")))).alias("pairs"))
-    parts = pairs.select(F.explode("pairs").alias("t")).select("t.own.core", "t.own.word", F.col("t.before.core").alias("before"), F.col("t.before.word").alias("before_word"))
+    tokens = texts.select(let(non_empty(F.split(column, f"{SPACE}+")), lambda all_: F.transform(
+        all_, lambda t, i: F.struct(t.alias("token"), F.when(i == 0, "").otherwise(_end_mark(F.get(all_, i - 1))).alias("before")))).alias("tokens"))
+    # Tokens repeat: they are counted as they stand, and only distinct ones are taken apart.
+    distinct = tokens.select(F.explode("tokens").alias("t")).groupBy("t.token", "t.before").agg(F.count("*").alias("n"))
+    parts = distinct.select(_parts(F.col("token")).alias("own"), F.when(F.col("before") != "", _parts(F.col("before"))).alias("last"), "before", "n")
+    core, last = F.col("own.core"), F.col("last.core")
     rows = parts.select(
-        "word", F.col("core").endswith(".").alias("period"), _capital(F.col("core")).alias("capital"),
-        F.when(F.col("before").isNull(), "").when(F.col("before").endswith("!") | F.col("before").endswith("?"), "!")
-        .when(F.col("before").endswith("."), F.coalesce("before_word", F.lit("."))).alias("after"))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+        F.col("own.word").alias("word"), core.endswith(".").alias("period"), _capital(core).alias("capital"), "n",
+        F.when(F.col("before") == "", "").when(last.endswith("!") | last.endswith("?"), "!")
+        .when(last.endswith("."), F.coalesce("last.word", F.lit("."))).alias("after"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long")
     return rows.where("word IS NOT NULL").groupBy("word", "after").agg(
         count(F.col("period")).alias("n_period"), count(~F.col("period")).alias("n_plain"),
         count(F.col("capital")).alias("n_capital"), count(~F.col("capital")).alias("n_small"))

@@ -702,6 +702,11 @@ ORACLE: dict[str, str] = {
     "trained_sentence_lines_joined": f"WITH {SPLITTER}, {TRAINED_LINES} SELECT * FROM trained_lines",
     "best_section": f"""
 WITH {ARTICLES}, {_scores()}
+SELECT doc_id::VARCHAR AS article_id, m::INTEGER AS sent_idx, a.s AS sentence, sec::INTEGER AS section_idx,
+       round(score::DOUBLE, 6) AS score
+FROM best JOIN abstract a USING (doc_id, m)""",
+    "best_section_dealt": f"""
+WITH {ARTICLES}, {_scores()}
 SELECT doc_id::VARCHAR AS article_id, m::INTEGER AS sent_idx, a.s AS sentence, sec::INTEGER AS section_idx,
        round(score::DOUBLE, 6) AS score
 FROM best JOIN abstract a USING (doc_id, m)""",

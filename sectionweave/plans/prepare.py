@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sections import identify_section
+from ..functions.sections import identify_section, zip_sections
 from ..functions.text import join_sentences, piece_count, spelt, spelt_list, strip_markers
 from ..operators.align import assigned_sections, matched_sections, with_matches
 from ..schemas import TRAINING_TYPES
@@ -21,6 +21,11 @@ def _body_key() -> Column:
     return F.md5(F.concat(spelt_list(F.col("section_names")), spelt_list(F.col("sections"), lambda s: spelt_list(s))))
 
 
+def repeated_ids(articles: DataFrame) -> DataFrame:
+    """The article ids of several rows: a count of one column, to which a columnar source is pruned; partial sums make a hot id cheap."""
+    return articles.groupBy(F.col("article_id").alias("repeated_id")).count().where("count > 1").select("repeated_id")
+
+
 def repeated_groups(articles: DataFrame) -> DataFrame:
     """Keys of the (article_id, abstract) groups held by several rows; counted map-side first, so a hot group costs no more."""
     return articles.select(_group_key().alias(GROUP)).groupBy(GROUP).count().where("count > 1").select(GROUP)
@@ -30,13 +35,12 @@ def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options)
     """:func:`matched_sections` over groups of rows with one article_id and abstract.
 
     The sections of such rows compete together: per abstract sentence the highest score wins, then the
-    smallest digest of the row's sections, then the first position. Rows are matched once and written with
-    their matches. Only digests, scores and positions are aggregated, map-side first; rows that are equal in
-    all their columns have one digest and count as one, and texts are read again for winning rows alone.
+    smallest digest of the row's sections, then the first position. Rows are matched once, and only their
+    digests and matches are written; digests, scores and positions are aggregated, map-side first. Rows that are
+    equal in all their columns have one digest and count as one. Texts are read from the source for winning rows alone.
     """
-    names = ["abstract_text", "article_id", *keep]
-    rows = stored(with_matches(articles.withColumns({GROUP: _group_key(), "body_key": _body_key()}), **options)
-                  .select(*COPY, *names, "zipped", "matched"), "matched")
+    keyed = articles.withColumns({GROUP: _group_key(), "body_key": _body_key()})
+    rows = stored(with_matches(keyed, **options).select(*COPY, *keep, "matched"), "matched")
     claims = rows.select(*COPY, *keep, F.posexplode_outer("matched").alias("sent_idx", "match")).where("match IS NOT NULL")
     claim = F.struct((-F.col("match.score")).alias("rank"), "body_key", "match.section_idx")
     assigned = (
@@ -45,28 +49,36 @@ def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options)
         .groupBy(*COPY, *keep).agg(F.array_sort(F.collect_list("pair")).alias("assigned"))
     )
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*COPY, *keep)]
-    won = rows.drop("matched").alias("r").join(assigned.alias("a"), same).select("r.*", "assigned")
+    won = keyed.alias("r").join(assigned.alias("a"), same).select("r.*", "assigned")
     # Equal keys mean equal rows: any of them will do.
-    one = won.groupBy(*COPY, *keep).agg(F.first(F.struct("abstract_text", "article_id", "zipped", "assigned")).alias("row"))
-    return assigned_sections(one.select(*keep, "row.*"), keep)
+    names = ("abstract_text", "article_id", "section_names", "sections", "assigned")
+    one = won.groupBy(*COPY, *keep).agg(F.first(F.struct(*names)).alias("row")).select(*keep, "row.*")
+    return assigned_sections(one.withColumn("zipped", zip_sections(F.col("section_names"), F.col("sections"))), keep)
 
 
 def aligned_sections(articles: DataFrame, pool_copies: bool = True, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Sections with their assigned sentences, for rows that may share an article_id and abstract.
 
-    One narrow pass counts the digests of id and abstract. Rows alone in their group never leave their
-    partition; the others are told apart by those digests, broadcast only when checked to be few.
+    One narrow pass counts ids. Rows alone with their id never leave their partition; only for the others are
+    abstracts digested and counted, and only rows that share id and abstract are pooled. Ids and digests are
+    broadcast when they are checked to be few.
     """
     if not pool_copies:
         return matched_sections(articles, keep, **options)
-    keys = stored(repeated_groups(articles), "repeated")
+    ids = stored(repeated_ids(articles), "repeated_ids")
+    if ids.isEmpty():
+        return matched_sections(articles, keep, **options)
+    ids = broadcast_if_small(ids)
+    same = F.col("article_id").eqNullSafe(F.col("repeated_id"))
+    tagged = articles.join(ids, same, "left_semi").withColumn(GROUP, _group_key())
+    single = articles.join(ids, same, "left_anti")
+    keys = stored(repeated_groups(articles.join(ids, same, "left_semi")), "repeated")
     if keys.isEmpty():
         return matched_sections(articles, keep, **options)
     keys = broadcast_if_small(keys)
-    tagged = articles.withColumn(GROUP, _group_key())
-    single = tagged.join(keys, GROUP, "left_anti").drop(GROUP)
+    alone = tagged.join(keys, GROUP, "left_anti").drop(GROUP)
     several = tagged.join(keys, GROUP, "left_semi").drop(GROUP)
-    return matched_sections(single, keep, **options).unionByName(pooled_sections(several, keep, **options))
+    return matched_sections(single.unionByName(alone), keep, **options).unionByName(pooled_sections(several, keep, **options))
 
 
 def prepare_section_rows(
@@ -78,16 +90,18 @@ def prepare_section_rows(
     pool_copies: bool = True,
     use_stemmer: bool = True,
     strip_markers_first: bool = False,
+    large_bytes: int | None = None,
 ) -> DataFrame:
     """One row per kept section: its text, its share of the abstract, the whole abstract.
 
     Sentences are assigned over all sections before types are filtered, so the
     sentences of a dropped section go with it. The summary length rule holds for
     training rows only; with ``train=None`` a ``split`` column decides, if there is one.
+    Articles with more than ``large_bytes`` of section text are compared by many tasks each.
     """
     keep = ("split",) if "split" in articles.columns else ()
     sections = aligned_sections(articles, pool_copies, keep,
-                                use_stemmer=use_stemmer, strip_markers_first=strip_markers_first)
+                                use_stemmer=use_stemmer, strip_markers_first=strip_markers_first, large_bytes=large_bytes)
     if train is None:
         exempt = F.col("split").isin("val", "test") if keep else F.lit(False)
     else:

@@ -71,6 +71,17 @@ def best_section(spark, sf_dir):
     return _rounded(aligned.drop(align.ABSTRACT_KEY), "score")
 
 
+def best_section_dealt(spark, sf_dir):
+    """The same sections, articles above 2,000 bytes of section text being compared in parts."""
+    aligned = align.best_section(articles(spark, sf_dir), use_stemmer=False, large_bytes=2000)
+    return _rounded(aligned.drop(align.ABSTRACT_KEY), "score")
+
+
+def alignment_work(spark, sf_dir):
+    """Pairs of sentences of each article, and how many of them had to be compared."""
+    return align.alignment_work(articles(spark, sf_dir), use_stemmer=False)
+
+
 def best_section_unmarked(spark, sf_dir):
     aligned = align.best_section(articles(spark, sf_dir), min_score=0.5, use_stemmer=False, strip_markers_first=True)
     return _rounded(aligned.drop("sentence", align.ABSTRACT_KEY), "score")
@@ -375,7 +386,7 @@ def csv_roundtrip(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        best_section, best_section_unmarked, sentence_section_scores, section_types, section_lengths,
+        best_section, best_section_dealt, alignment_work, best_section_unmarked, sentence_section_scores, section_types, section_lengths,
         collect_summaries, regroup_articles, prepare_train, prepare_eval, prepare_splits, prepare_pooled,
         prepare_stemmed, rouge1_pairs, rouge2_pairs, rougeL_pairs, rougeLsum_pairs, score_pairs, score_standard,
         score_stemmed, generate_rows, assemble_rows, assemble_scores, bootstrap_ci, ci_report, corpus_rouge, corpus_rouge_stemmed,

@@ -183,3 +183,57 @@ def test_articles_of_one_id_stay_apart(spark):
     regrouped = align.regroup_articles(align.explode_sections(df)).collect()
     assert sorted([s.section_idx for s in r.full_text_sections] for r in regrouped) == [[0, 1], [0, 1]]
     assert sorted(r.section_summary for r in align.collect_section_summary(align.best_section(df)).collect()) == [["x y"], ["z"]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TOKEN_LISTS, min_size=1, max_size=4), st.lists(st.lists(TOKEN_LISTS, max_size=6), max_size=4), st.sampled_from([1, 2, 512]))
+def test_bounds_never_change_the_best_section(abstract, sections, block):
+    lines = "".join(" ".join(s) + "\n" for s in abstract)
+    pages = "".join("".join(" ".join(s) + "\n" for s in section) + "\f" for section in sections)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lcs, "BLOCK", block)
+        patch.setattr(lcs, "SHORT", 5)
+        found, hits, n_pairs, n_compared = lcs.best_sections(lines, pages)
+    table = [[max([brute.lcs(a, s) for s in section], default=0) for section in sections] for a in abstract]
+    assert (found, hits) == ([row.index(max(row)) for row in table if row], [max(row) for row in table if row])
+    assert n_compared <= n_pairs == (len(abstract) * sum(map(len, sections)))
+
+
+def test_lanes_of_long_sentences():
+    words = ["a", "b", "c"]
+    long = " ".join(words[i % 3] for i in range(900))
+    lines, pages = f"{long}\na b\n", f"c c\n\f{long[:1000]}\n{long}\n\fa b\n\f"
+    assert lcs.best_sections(lines, pages)[:2] == ([1, 1], [900, 2])
+
+
+@pytest.mark.parametrize("stem", [False, True])
+@pytest.mark.parametrize("limit", [-1, 100, 10**9])
+def test_large_articles_dealt_to_many_tasks(spark, corpus, monkeypatch, stem, limit):
+    monkeypatch.setattr(align, "RANGE", 2)
+    monkeypatch.setattr(align, "SHARE", 1)
+    odd = [dict(article_id=f"odd{i}", abstract_text=a, section_names=["Methods", "Results"], sections=s) for i, (a, s) in enumerate([
+        ([], [["x y"]]), (["x y", None, "zz"], [[], None, ["q", "y x y"]]), (["zz"], [[], ["q"]]), (["x"], []), (None, [["x"]]), (["x"], None)])]
+    df = frame(spark, corpus + odd + corpus[:3])
+
+    def rows(**options):
+        return sorted(map(tuple, align.best_section(df, use_stemmer=stem, **options).collect()), key=repr)
+
+    assert rows(large_bytes=limit) == rows()
+
+
+def test_a_planted_large_article_is_spread(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    sections = [[" ".join(rng.choices(words, k=12)) for _ in range(3000)] for _ in range(4)]
+    abstract = [rng.choice(rng.choice(sections)) for _ in range(600)]
+    df = frame(spark, [dict(article_id="1", abstract_text=abstract, section_names=["a", "b", "c", "d"], sections=sections)])
+    zipped = df.withColumn("zipped", align.zip_sections(df.section_names, df.sections))
+    apart = align._matched_apart(zipped, False, False)
+    assert apart.select("best").first() == align._matched_here(zipped, False, False).select("best").first()
+    assert "REPARTITION_BY_NUM" in apart._jdf.queryExecution().toString()
+
+
+def test_repeated_ids_with_unlike_abstracts_need_no_pooling(spark, corpus):
+    twins = [dict(a, article_id="same" if i % 2 else None) for i, a in enumerate(corpus[:8])]
+    found = prepare.aligned_sections(frame(spark, twins), use_stemmer=False)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, align.matched_sections(frame(spark, twins), use_stemmer=False).collect()))
