@@ -64,12 +64,14 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
         all_, lambda t, i: F.struct(t.alias("token"), F.when(i == 0, "").otherwise(_end_mark(F.get(all_, i - 1))).alias("before")))).alias("tokens"))
     # Tokens repeat: they are counted as they stand, and only distinct ones are taken apart.
     distinct = tokens.select(F.explode("tokens").alias("t")).groupBy("t.token", "t.before").agg(F.count("*").alias("n"))
-    parts = distinct.select(_parts(F.col("token")).alias("own"), F.when(F.col("before") != "", _parts(F.col("before"))).alias("last"), "before", "n")
+    # Behind a generator each expression is evaluated once a row, however often its column is used.
+    taken = F.struct(_parts(F.col("token")).alias("own"), F.when(F.col("before") != "", _parts(F.col("before"))).alias("last"))
+    parts = distinct.select("n", "before", F.inline(F.array(taken)))
     core, last = F.col("own.core"), F.col("last.core")
-    rows = parts.select(
-        F.col("own.word").alias("word"), core.endswith(".").alias("period"), _capital(core).alias("capital"), "n",
-        F.when(F.col("before") == "", "").when(last.endswith("!") | last.endswith("?"), "!")
-        .when(last.endswith("."), F.coalesce("last.word", F.lit("."))).alias("after"))
+    facts = F.struct(core.endswith(".").alias("period"), _capital(core).alias("capital"), F.col("own.word").alias("word"),
+                     F.when(F.col("before") == "", "").when(last.endswith("!") | last.endswith("?"), "!")
+                     .when(last.endswith("."), F.coalesce("last.word", F.lit("."))).alias("after"))
+    rows = parts.select("n", F.inline(F.array(facts)))
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long")
     return rows.where("word IS NOT NULL").groupBy("word", "after").agg(
         count(F.col("period")).alias("n_period"), count(~F.col("period")).alias("n_plain"),
