@@ -10,6 +10,8 @@ from ..schemas import DATASET_COLUMNS
 
 # Fixed value: task names that carry their language pair.
 TRANSLATION_TASK = re.compile("translation_([a-z]+)_to_([a-z]+)")
+# How a column with a sort direction is written.
+DIRECTION = re.compile(r"(ASC|DESC) NULLS (FIRST|LAST)'?>?$")
 
 
 def resolve_columns(columns: Sequence[str], text: str | None = None, summary: str | None = None,
@@ -52,11 +54,14 @@ def translation_pairs(df: DataFrame, task: str = "translation", source_lang: str
 def head(df: DataFrame, n: int | None, order_by: str | Column | Sequence[str | Column]) -> DataFrame:
     """The first ``n`` rows in a stated order; all rows when ``n`` is None.
 
-    The last key of the head is found on the keys alone; rows behind it are then filtered away before whole rows are ordered.
+    The last key of the head is found on the keys alone; rows behind it are then filtered away before whole rows are
+    ordered. Keys with a direction of their own have no such comparison: then each task keeps its first ``n`` rows.
     """
     if n is None or n <= 0:
         return df if n is None else df.limit(0)
     keys = [F.col(k) if isinstance(k, str) else k for k in ([order_by] if isinstance(order_by, (str, Column)) else list(order_by))]
+    if any(DIRECTION.search(str(k)) for k in keys):
+        return df.orderBy(*keys).limit(n)
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     cut = df.select(*named).orderBy(*(f"k{i}" for i in range(len(keys)))).limit(n).agg(
         F.count("*").alias("n"), F.max(F.struct(*(f"k{i}" for i in range(len(keys))))).alias("last")).first()

@@ -106,10 +106,16 @@ def encode_with(pairs: DataFrame, tokenizer: Callable[[], Tokenizer], max_source
 def decode(df: DataFrame, vocab: DataFrame, pad: int, column: str = "labels", special: tuple[int, ...] = (),
            out: str = "text", unk: str = "", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Ids to space-joined words: ignored positions count as padding, padding and special ids are skipped."""
+    return decode_columns(df, vocab, pad, {out: column}, special, unk, max_entries)
+
+
+def decode_columns(df: DataFrame, vocab: DataFrame, pad: int, columns: dict[str, str], special: tuple[int, ...] = (),
+                   unk: str = "", max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """:func:`decode` of several columns, given by the names of their texts; the vocabulary is evaluated once for all."""
     skipped = [pad, *special]
-    kept = F.filter(unmask_labels(F.col(column), pad), lambda x: ~x.isin(*skipped))
-    words = translate_arrays(df.withColumn(out, kept), (out,), vocab, "id", "token", unk, max_entries)
-    return words.withColumn(out, F.concat_ws(" ", non_empty(F.col(out))))
+    kept = {out: F.filter(unmask_labels(F.col(column), pad), lambda x: ~x.isin(*skipped)) for out, column in columns.items()}
+    words = translate_arrays(df.withColumns(kept), tuple(columns), vocab, "id", "token", unk, max_entries)
+    return words.withColumns({out: F.concat_ws(" ", non_empty(F.col(out))) for out in columns})
 
 
 def non_pad_count(ids: Column, pad: int) -> Column:

@@ -696,6 +696,19 @@ trained_lines AS (
   FROM documents d LEFT JOIN lines_again l USING (doc_id))"""
 
 ORACLE: dict[str, str] = {
+    "split_store": f"""
+{ROWS} SELECT * FROM prepared WHERE split IN ('val', 'test') OR {LONG_SUMMARY}""",
+    "named_splits": f"""
+WITH {PAIRS} SELECT target_sum AS text, gen_sum AS summary, CASE length(target_sum) % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split FROM pairs""",
+    "generate_resumed": f"{ROWS}, {LONGEST} SELECT article_id, section_idx, section_id, gen_sum FROM generated",
+    "head_samples_descending": f"SELECT doc_id, lang, text FROM documents ORDER BY lang DESC, doc_id LIMIT {HEAD}",
+    "ingested_articles": f"""
+WITH {ARTICLES},
+own AS (SELECT doc_id, count(*) AS n FROM abstract GROUP BY doc_id)
+SELECT CASE WHEN lang = 'es' THEN '{{"article_id": "' || doc_id || '", "abstract_text": [' ELSE doc_id::VARCHAR END AS value,
+       CASE WHEN lang <> 'es' THEN coalesce(n, 0)::INTEGER END AS n_sentences, lang = 'es' AS broken,
+       (SELECT count(*) FROM documents WHERE lang <> 'es') AS n_rows, (SELECT count(*) FROM documents WHERE lang = 'es') AS n_broken
+FROM documents LEFT JOIN own USING (doc_id)""",
     "bleu_references": f"WITH {PAIRS}, {REFERENCE_LISTS} SELECT *, round({BLEU}, 6) AS bleu FROM counts",
     "splitter_words": f"WITH {SPLITTER} SELECT * FROM splitter_words",
     "trained_sentence_lines": f"WITH {SPLITTER}, {TRAINED_LINES} SELECT * FROM trained_lines",

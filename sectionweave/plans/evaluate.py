@@ -9,7 +9,7 @@ from ..functions.text import postprocess_text, strip
 from ..operators.aggregate import corpus_rouge, score_summary
 from ..operators.assemble import assemble
 from ..operators.bleu import corpus_bleu
-from ..operators.encode import decode, generated_length
+from ..operators.encode import decode_columns, generated_length
 from ..operators.rouge import score_pairs
 from ..operators.sentence_split import split_lines
 from ..session import stored
@@ -35,8 +35,7 @@ def compute_metrics(predictions: DataFrame, vocab: DataFrame, pad: int, task: st
     """
     if not task.startswith(("summarization", "translation")):
         raise ValueError(f"task {task!r} is neither summarization nor translation")
-    texts = decode(decode(predictions, vocab, pad, "pred_ids", special, out="gen_sum"),
-                   vocab, pad, "labels", special, out="target_sum")
+    texts = decode_columns(predictions, vocab, pad, {"gen_sum": "pred_ids", "target_sum": "labels"}, special)
     clean = postprocess_text if task.startswith("summarization") and splitter is None else strip
     pairs = texts.select(key, clean(F.col("target_sum")).alias("target_sum"), clean(F.col("gen_sum")).alias("gen_sum"))
     if task.startswith("summarization") and splitter is not None:

@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from .functions.text import join_sentences, piece_count, postprocess_text
 from .operators import aggregate, align, assemble, bleu, columns, encode, generate, rouge, sentence_split
 from .plans import evaluate, prepare
 from .schemas import SCORING_TYPES
-from .session import attach, scratch_path, spread
-from .sources import readers, writers
+from .session import attach, scratch_path, spread, stored
+from .sources import readers, store, writers
 from .sources.documents import articles_from_documents, pairs_from_conversations, vocabulary
 
 PAD, UNK = 0, 1
@@ -239,8 +240,8 @@ def _vocab(spark, sf_dir):
     return vocabulary(table(spark, sf_dir, "conversations"), "text")
 
 
-def _encoded(spark, sf_dir, **options):
-    return encode.encode_pairs(_text_pairs(spark, sf_dir), _vocab(spark, sf_dir), MAX_SOURCE, MAX_TARGET, PAD, unk=UNK,
+def _encoded(spark, sf_dir, vocab=None, **options):
+    return encode.encode_pairs(_text_pairs(spark, sf_dir), vocab or _vocab(spark, sf_dir), MAX_SOURCE, MAX_TARGET, PAD, unk=UNK,
                                prefix="summarize: ", keys=("article_id",), **options)
 
 
@@ -263,8 +264,8 @@ def encode_tokenizer(spark, sf_dir):
 
 
 def unmask_decode(spark, sf_dir):
-    encoded = _encoded(spark, sf_dir)
-    return encode.decode(encoded, _vocab(spark, sf_dir), PAD, special=(UNK,)).select("article_id", "text")
+    vocab = stored(_vocab(spark, sf_dir), "vocab")
+    return encode.decode(_encoded(spark, sf_dir, vocab), vocab, PAD, special=(UNK,)).select("article_id", "text")
 
 
 def gen_length(spark, sf_dir):
@@ -276,13 +277,15 @@ def sample_counts(spark, sf_dir):
 
 
 def compute_metrics(spark, sf_dir):
-    encoded = _encoded(spark, sf_dir).withColumnRenamed("input_ids", "pred_ids")
-    return evaluate.compute_metrics(encoded, _vocab(spark, sf_dir), PAD, "translation_en_to_fr", special=(UNK,))
+    vocab = stored(_vocab(spark, sf_dir), "vocab")
+    encoded = _encoded(spark, sf_dir, vocab).withColumnRenamed("input_ids", "pred_ids")
+    return evaluate.compute_metrics(encoded, vocab, PAD, "translation_en_to_fr", special=(UNK,))
 
 
 def compute_metrics_summarization(spark, sf_dir):
-    encoded = _encoded(spark, sf_dir).withColumnRenamed("input_ids", "pred_ids")
-    return evaluate.compute_metrics(encoded, _vocab(spark, sf_dir), PAD, special=(UNK,))
+    vocab = stored(_vocab(spark, sf_dir), "vocab")
+    encoded = _encoded(spark, sf_dir, vocab).withColumnRenamed("input_ids", "pred_ids")
+    return evaluate.compute_metrics(encoded, vocab, PAD, special=(UNK,))
 
 
 def translation_pairs(spark, sf_dir):
@@ -296,6 +299,11 @@ def head_samples(spark, sf_dir):
     return columns.head(documents, HEAD, "doc_id")
 
 
+def head_samples_descending(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return columns.head(documents, HEAD, [F.col("lang").desc(), "doc_id"])
+
+
 def clean_export(spark, sf_dir):
     return writers.export_pairs(pairs(spark, sf_dir))
 
@@ -377,6 +385,49 @@ def named_split(spark, sf_dir):
     return columns.select_pair(readers.load_split(spark, "xsum", "test", {"xsum": path}), dataset="xsum")
 
 
+def _named_store(spark: SparkSession, rows: DataFrame) -> str:
+    path = scratch_path(spark, "store")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    store.write_split_store(rows, path, name)
+    return name
+
+
+def split_store(spark, sf_dir):
+    """Prepared rows, written as a table laid out by split in one scan; every split is read back by its name."""
+    name = _named_store(spark, prepare.prepare_section_rows(with_split(articles(spark, sf_dir)), use_stemmer=False))
+    return reduce(DataFrame.unionByName, (store.read_split(spark, name, s) for s in store.split_names(spark, name)))
+
+
+def named_splits(spark, sf_dir):
+    """Both splits of a dataset known by name."""
+    known = _text_pairs(spark, sf_dir).select("summary", F.col("text").alias("document"),
+                                              F.when(F.length("text") % 2 == 0, "train").otherwise("test").alias("split"))
+    name = _named_store(spark, known)
+    parts = [columns.select_pair(store.read_split(spark, name, s), dataset="xsum").withColumn("split", F.lit(s)) for s in store.split_names(spark, name)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ingested_articles(spark, sf_dir):
+    """Articles as JSON lines, those in Spanish broken off: what is read, what is in quarantine, and the counts of both."""
+    root = scratch_path(spark, "lines")
+    whole = F.to_json(F.struct("article_id", "abstract_text", "section_names", "sections"))
+    torn = F.concat(F.lit('{"article_id": "'), "article_id", F.lit('", "abstract_text": ['))
+    articles(spark, sf_dir).select(F.when(F.col("lang") == "es", torn).otherwise(whole).alias("value")).write.text(root)
+    found = store.ingest_articles(spark, root, scratch_path(spark, "ingested"))
+    rows = found.rows.select(F.col("article_id").alias("value"), F.size("abstract_text").alias("n_sentences"), F.lit(False).alias("broken"))
+    torn_rows = found.broken.select(F.col("line").alias("value"), F.lit(None).cast("int").alias("n_sentences"), F.lit(True).alias("broken"))
+    return rows.unionByName(torn_rows).withColumns({"n_rows": F.lit(found.n_rows).cast("long"), "n_broken": F.lit(found.n_broken).cast("long")})
+
+
+def generate_resumed(spark, sf_dir):
+    """The generated rows of a run that had got as far as the introductions, and is taken up again."""
+    rows = prepare.prepare_section_rows(articles(spark, sf_dir), train=False, use_stemmer=False)
+    kept = scratch_path(spark, "generated")
+    generate.generate_missing(rows.where("section_id = 'i'"), long_sentence_summarizer, kept, batch_size=6)
+    made = generate.generate_resumable(rows, long_sentence_summarizer, kept, batch_size=6)
+    return made.select("article_id", "section_idx", "section_id", "gen_sum")
+
+
 def csv_roundtrip(spark, sf_dir):
     path = f"{scratch_path(spark, 'pairs')}.csv"
     _text_pairs(spark, sf_dir).drop("article_id").write.mode("overwrite").csv(
@@ -394,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sample_counts, compute_metrics, compute_metrics_summarization, translation_pairs, head_samples, clean_export, sentence_lines,
         splitter_words, trained_sentence_lines, trained_sentence_lines_joined,
         prediction_lines, json_roundtrip, csv_roundtrip, encode_repeated, encode_repeated_joined, json_pairs,
-        read_translation_files, named_split,
+        read_translation_files, named_split, named_splits, split_store, ingested_articles, generate_resumed,
+        head_samples_descending,
     )
 }

@@ -48,10 +48,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it from there: it is computed once, and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it from there: it is computed once, and a lost executor costs nothing.
+
+    ``partitions`` are columns by which the files are laid out, so that a reader of one value reads its files only.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
