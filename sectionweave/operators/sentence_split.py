@@ -7,6 +7,8 @@ Counting is one pass over the texts with partial sums. Applying it is an express
 word lists are small, and a join of the doubtful periods alone when they are not.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from ..session import fits_broadcast, stored
 
 #: Fixed values of the method: the chance of a period behind an abbreviation, and the least ratios.
 SURE, ABBREVIATION, STARTER = 0.99, 0.3, 30.0
-#: Marks around a token that belong to no word.
-AROUND = r"""^["'(\[{]+|["')\]}]+$"""
+#: Marks around a token that belong to no word, and those behind a word.
+OPENING, CLOSING, BEHIND = "\"'([{", "\"')]}", ".!?,;:"
+#: The characters of SPACE.
+SPACES = "".join(c for c in map(chr, [*range(0x3001)]) if re.match(SPACE, c))
 ENDS = r"""[.!?]["')\]}]*"""
 NUMBER = "#"
 #: Words of each list that become constants of an expression.
@@ -24,13 +28,18 @@ MAX_WORDS = 20_000
 
 
 def _core(token: Column) -> Column:
-    return F.regexp_replace(token, AROUND, "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
+
+
+def _between(text: Column, low: str, high: str) -> Column:
+    """Whether the first character lies in a range of ASCII: this spares most words the patterns below."""
+    return let(F.substring(text, 1, 1), lambda c: (c >= low) & (c <= high))
 
 
 def _word(core: Column) -> Column:
     """The word of a token without marks around it; all numbers are one word, and a token without letters or digits none."""
-    bare = F.regexp_replace(F.lower(core), "[.!?,;:]+$", "")
-    return let(bare, lambda w: F.when(w.rlike("^[0-9][0-9.,]*$"), NUMBER).when(w.rlike(r"[\p{L}\p{N}]"), w))
+    return let(F.rtrim(F.lower(core), F.lit(BEHIND)), lambda w: F.when(_between(w, "a", "z"), w)
+               .when(w.rlike("^[0-9][0-9.,]*$"), NUMBER).when(w.rlike(r"[\p{L}\p{N}]"), w))
 
 
 def _parts(token: Column) -> Column:
@@ -38,7 +47,7 @@ def _parts(token: Column) -> Column:
 
 
 def _capital(core: Column) -> Column:
-    return core.rlike(r"^\p{Lu}")
+    return F.when(_between(core, "a", "z"), False).otherwise(core.rlike(r"^\p{Lu}"))
 
 
 def _small(core: Column) -> Column:
@@ -46,12 +55,7 @@ def _small(core: Column) -> Column:
 
 
 def _single_letter(word: Column) -> Column:
-    return word.rlike(r"^\p{L}$")
-
-
-def _end_mark(token: Column) -> Column:
-    """A token behind which a sentence may end, null for others."""
-    return F.when(F.substring(token, -1, 1).isin(*".!?\"')]}"), token)
+    return (F.char_length(word) == 1) & word.rlike(r"^\p{L}$")
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -60,10 +64,12 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     ``after`` is null inside a sentence, empty at the beginning of a text, ``!`` behind an exclamation or question
     mark, else the word whose period stands before. Null texts have no words.
     """
-    tokens = texts.select(let(non_empty(F.split(column, f"{SPACE}+")), lambda all_: F.transform(
-        all_, lambda t, i: F.struct(t.alias("token"), F.when(i == 0, "").otherwise(_end_mark(F.get(all_, i - 1))).alias("before")))).alias("tokens"))
+    # Only the first token of a run has a mark before it, so runs are listed with the token before them, and tokens as they are.
+    runs = let(_runs(F.ltrim(F.col(column), F.lit(SPACES))), lambda all_: F.transform(
+        all_, lambda run, i: F.struct(run.alias("run"), F.when(i == 0, "").otherwise(_tail(F.get(all_, i - 1))).alias("before"))))
+    tokens = texts.select(F.explode(runs).alias("r")).select("r.before", F.posexplode(F.split("r.run", f"{SPACE}+")).alias("at", "token"))
     # Tokens repeat: they are counted as they stand, and only distinct ones are taken apart.
-    distinct = tokens.select(F.explode("tokens").alias("t")).groupBy("t.token", "t.before").agg(F.count("*").alias("n"))
+    distinct = tokens.where("token <> ''").groupBy("token", F.when(F.col("at") == 0, F.col("before")).alias("before")).agg(F.count("*").alias("n"))
     # Behind a generator each expression is evaluated once a row, however often its column is used.
     taken = F.struct(_parts(F.col("token")).alias("own"), F.when(F.col("before") != "", _parts(F.col("before"))).alias("last"))
     parts = distinct.select("n", "before", F.inline(F.array(taken)))
@@ -134,8 +140,10 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).*?{ENDS}{SPACE}+|.+$"), F.lit(0))
 
 
-def _last(run: Column) -> Column:
-    return _core(F.regexp_extract(run, f"(?s)^(?:.*{SPACE})?([^{SPACE[1:-1]}]+){SPACE}+$", 1))
+def _tail(run: Column) -> Column:
+    """The last token of a run."""
+    short = F.substring_index(F.substring_index(F.rtrim(run, F.lit(SPACES)), " ", -1), "\n", -1)
+    return let(short, lambda t: F.when(t.rlike(SPACE), F.regexp_extract(t, f"[^{SPACE[1:-1]}]+$", 0)).otherwise(t))
 
 
 def _first(run: Column) -> Column:
@@ -143,7 +151,7 @@ def _first(run: Column) -> Column:
 
 
 def _broken(run: Column) -> Column:
-    return F.concat(F.regexp_replace(run, f"{SPACE}+$", ""), F.lit("\n"))
+    return F.concat(F.rtrim(run, F.lit(SPACES)), F.lit("\n"))
 
 
 def _decided(last: Column, word: Column, following: Column) -> Column:
@@ -158,11 +166,11 @@ def _lines_by_lists(text: Column, abbreviations: list[str], openers: list[str])
             opens = _capital(following) & (_word(following).isin(openers) if openers else F.lit(False))
             return F.coalesce(_decided(last, word, following), ~doubtful | F.coalesce(opens, F.lit(False)))
 
-        return let(_word(last), judged)
+        return F.when(~last.endswith("."), True).otherwise(let(_word(last), judged))
 
     def line(runs: Column) -> Column:
         return F.array_join(F.transform(runs, lambda run, i: F.when(
-            (i < F.size(runs) - 1) & let(_last(run), lambda last: ends(last, _first(F.get(runs, i + 1)))), _broken(run)).otherwise(run)), "")
+            (i < F.size(runs) - 1) & let(_core(_tail(run)), lambda last: ends(last, _first(F.get(runs, i + 1)))), _broken(run)).otherwise(run)), "")
 
     return F.when(text.isNotNull(), let(_runs(text), line))
 
@@ -173,7 +181,7 @@ def _lines_by_join(df: DataFrame, column: str, words: DataFrame, out: str) -> Da
     tagged = df.withColumn(key, F.sha2(F.col(column), 256))
     texts = tagged.where(F.col(column).isNotNull()).groupBy(key).agg(F.first(column).alias("whole"))
     runs = texts.select(key, let(_runs(F.col("whole")), lambda r: F.transform(r, lambda run, i: F.struct(
-        i.alias("place"), run.alias("run"), _last(run).alias("last"), F.when(i < F.size(r) - 1, _first(F.get(r, i + 1))).alias("following")))).alias("runs"))
+        i.alias("place"), run.alias("run"), _core(_tail(run)).alias("last"), F.when(i < F.size(r) - 1, _first(F.get(r, i + 1))).alias("following")))).alias("runs"))
     each = runs.select(key, F.explode("runs").alias("r")).select(key, "r.*").withColumns(
         {"word": _word(F.col("last")), "next_word": _word(F.col("following"))}).withColumn(
         "decided", F.when(F.col("following").isNull(), False).otherwise(_decided(F.col("last"), F.col("word"), F.col("following"))))

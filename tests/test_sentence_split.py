@@ -71,7 +71,7 @@ def brute_words(texts):
     for text in texts:
         before = None
         for token in (t for t in re.split(sentence_split.SPACE + "+", text or "") if t):
-            core = re.sub(sentence_split.AROUND, "", token)
+            core = re.sub(r"""^["'(\[{]+|["')\]}]+$""", "", token)
             word = re.sub("[.!?,;:]+$", "", core.lower())
             word = "#" if re.fullmatch("[0-9][0-9.,]*", word) else word if re.search(r"\w", word) else None
             seen.append((word, core, before))
