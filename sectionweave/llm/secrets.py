@@ -1,8 +1,8 @@
 """Secret scans of whole texts and of everything that is encoded inside them.
 
 A worklist holds layers. Every layer is scanned, and unwrapped: URL escapes and Unicode escapes are decoded in
-place, which gives another version of the whole layer; base64 runs are decoded, decompressed as often as they
-are compressed, and give layers of their own. A layer that was seen at the same place is not followed again,
+place, which gives another version of the whole layer, or two if the bytes are no UTF-8; base64 runs, wrapped at any
+width, and the bytes of escapes are decompressed as often as they are compressed, and give layers of their own. A layer that was seen at the same place is not followed again,
 which ends cycles, so the list runs empty. Each character of a layer knows the span of the text that it came
 from, so every finding is given as a span of the text.
 """
@@ -43,9 +43,21 @@ UNICODE_RUN = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]
 #: No secret in base64 is shorter: the shortest has 16 characters.
 LEAST_BASE64 = 22
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-#: Lines of such lengths may be one run, or end one: the next line can also be a word that follows it.
-BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
-BASE64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+#: What may part the lines of a wrapped run: a line break, also an escaped one, and what the next line is indented by.
+BREAK = r"(?:\r?\n|\\r\\n|\\n)[ \t]*"
+LINE_BREAK = re.compile(BREAK)
+#: A break between two digits, seen from its literal characters: without any there are no wrapped runs.
+BETWEEN = (re.compile(r"\n[ \t]*[A-Za-z0-9+/_-]"), re.compile(r"\\n[ \t]*[A-Za-z0-9+/_-]"))
+DIGITS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+#: Lines may be one run, or end one: the next line can also be a word that follows it, and the first one a word before it.
+#: The letter of an escaped break is no digit of the run behind it.
+BASE64_LINES = re.compile(rf"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr]))[A-Za-z0-9+/_-]{{4,}}(?:{BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
+#: Escapes of Python and JSON for bytes that stand for single characters.
+BYTE_ESCAPE = re.compile(r"\\u00([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"/])")
+SINGLE = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+#: How compressed data begins, and the characters below U+0100 that it may be made of.
+STREAM = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+BYTES = re.compile("[\x00-\xff]*")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{22,}={0,2}")
 #: Bytes of a layer that are scanned at a time. Larger layers are counted in n_oversize and scanned in pieces.
 MAX_LAYER = 16 << 20
@@ -123,6 +135,15 @@ def url_decoded(run: str) -> tuple[str, list[int]]:
     return re.sub("[\ud800-\udfff]", "\ufffd", text), widths
 
 
+def url_bytes(run: str) -> tuple[str, list[int]]:
+    """Every byte as the character of its number."""
+    return bytes.fromhex(run.replace("%", "")).decode("latin-1"), [3] * (len(run) // 3)
+
+
+def byte_character(m: re.Match) -> str:
+    return SINGLE.get(m[3], m[3]) if m[3] else chr(int(m[1] or m[2], 16))
+
+
 def unicode_decoded(escape: str) -> str:
     """The character of one escape, or of a surrogate pair; what is no character becomes the replacement character."""
     if escape.startswith("&#"):
@@ -166,8 +187,8 @@ class Run:
     sound: all streams ended with their data. unread: something was left out, as it needs too much memory or is too long.
     """
 
-    def __init__(self, data: bytes):
-        self.names, self.sound, self.unread, self.left = ["base64"], True, False, MAX_INFLATED
+    def __init__(self, data: bytes, name: str = "base64"):
+        self.names, self.sound, self.unread, self.left = [name], True, False, MAX_INFLATED
         self.pieces, seen = iter([data]), set()
         while True:
             head = b""
@@ -278,7 +299,7 @@ def _parts(begin: bytes, run: Run) -> Iterator[str]:
 
 def unwrapped(token: str) -> Inside | None:
     """What is inside a base64 token; None if there is nothing."""
-    raw = re.sub(r"[\r\n=]", "", token).translate(str.maketrans("-_", "+/"))
+    raw = re.sub(r"\\[rn]|[\s=]", "", token).translate(str.maketrans("-_", "+/"))
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
         data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
@@ -331,7 +352,7 @@ def whole_runs(lines: list[tuple[int, int]], reads: Callable[[tuple[int, int]],
     found = []
     for block in blocks_of(lines):
         for part in (block, block[:-1]):
-            if part and reads(run := (part[0][0], part[-1][1])):
+            if part and _digits(part) >= LEAST_BASE64 and reads(run := (part[0][0], part[-1][1])):
                 found.append(run)
                 break
     return found
@@ -359,27 +380,89 @@ def within(layer: Layer, begin: int, end: int, lines: list[tuple[int, int]] = ()
     yield Layer(text, f"{layer.name}>{name}", spans[np.searchsorted(past, first, "right"), 0], spans[np.searchsorted(past, last, "right"), 1])
 
 
+def stream_end(data: bytes) -> int:
+    """Where the compressed data ends that ``data`` begins with, further members included; 0 if it is none."""
+    end = 0
+    while name := magic(data[end:]):
+        member, left = Member(name), MAX_INFLATED
+        try:
+            for out in member.give(data[end:]):
+                left -= len(out)
+                if left < 0:
+                    return len(data)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            return len(data) if left < MAX_INFLATED else end
+        if not member.inflate.eof:
+            return len(data) if left < MAX_INFLATED else end
+        end = len(data) - len(member.inflate.unused_data)
+    return end
+
+
+def streams(layer: Layer) -> Iterator[Layer | Missed]:
+    """What is inside compressed data whose bytes stand in a layer as characters."""
+    at = 0
+    while m := STREAM.search(layer.text, at):
+        at = m.end()
+        data = BYTES.match(layer.text, m.start())[0].encode("latin-1")
+        if not (size := stream_end(data)):
+            continue
+        at = m.start() + size
+        run, text = Run(data[:size], "bytes"), bytearray()
+        while len(text) <= MAX_LAYER and (piece := next(run.pieces, None)) is not None:
+            text += piece
+        name = ">".join(run.names)
+        for part in _parts(text, run) if len(text) > MAX_LAYER else [_text(bytes(text))]:
+            yield layer.inner(name, part, m.start(), at)
+        if run.unread or len(text) > MAX_LAYER:
+            yield Missed(*layer.span(m.start(), at), run.unread)
+
+
+def wrapped_lines(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The lines of every run of digits that goes over line breaks."""
+    if not any(text[m.start() - 1 - (text[m.start() - 1:m.start()] == "\r")] in DIGITS for m in BETWEEN[0].finditer(text) if m.start()) \
+            and not ("\\n" in text and BETWEEN[1].search(text)):
+        return
+    for m in BASE64_LINES.finditer(text):
+        breaks = [(m.start() + b.start(), m.start() + b.end()) for b in LINE_BREAK.finditer(m[0])]
+        yield list(zip([m.start(), *(e for _, e in breaks)], [*(b for b, _ in breaks), m.end()], strict=True))
+
+
+def _digits(lines: list[tuple[int, int]]) -> int:
+    return sum(end - begin for begin, end in lines)
+
+
 def unwrap(layer: Layer) -> Iterator[Layer | Missed]:
     """The layers right under a layer, large ones in pieces; after those that are large or not read whole, their spans."""
     text = layer.text
     if "%" in text and (pieces := [(m.start(), m.end(), *url_decoded(m[0])) for m in URL_RUN.finditer(text)]):
         yield layer.rewritten("url", pieces)
+        if any("\ufffd" in new for _, _, new, _ in pieces):  # bytes of another kind
+            yield layer.rewritten("url_bytes", [(m.start(), m.end(), *url_bytes(m[0])) for m in URL_RUN.finditer(text)])
     if ("\\" in text or "&#" in text) and (pieces := [(m.start(), m.end(), unicode_decoded(m[0]), [m.end() - m.start()]) for m in UNICODE_RUN.finditer(text)]):
         yield layer.rewritten("unicode", pieces)
+        if "\\x" in text or "\\u00" in text:
+            yield layer.rewritten("escaped_bytes", [(m.start(), m.end(), byte_character(m), [m.end() - m.start()]) for m in BYTE_ESCAPE.finditer(text)])
+    if layer.starts is not None and layer.starts.strides != (0,):  # escapes have been decoded in it
+        yield from streams(layer)
     covered = []
-    for m in BASE64_LINES.finditer(text):
-        lines = [(m.start() + part.start(), m.start() + part.end()) for part in BASE64_LINE.finditer(m[0])]
+    for lines in wrapped_lines(text):
+        if _digits(lines) < LEAST_BASE64:
+            continue
+        whole = (lines[0][0], lines[-1][1])
         runs = whole_runs(lines, lambda run: reads_well(text[run[0]:run[1]]))
         covered += runs
-        if runs != [(m.start(), m.end())]:  # some of it does not read well, however it is parted
+        if runs != [whole]:  # some of it does not read well, however it is parted
             for block in blocks_of(lines):
-                yield from within(layer, block[0][0], block[-1][1], lines)
-            yield from within(layer, m.start(), m.end(), lines)
+                if len(block) > 1 and _digits(block) >= LEAST_BASE64:
+                    yield from within(layer, block[0][0], block[-1][1], lines)
+            yield from within(layer, *whole, lines)
         for begin, end in runs:
             yield from within(layer, begin, end)
     ends = [end for _, end in covered]
     for m in BASE64_RUN.finditer(text):
         tokens = [(m.start(), m.end())]
+        if m[0][0] in "nr" and text[m.start() - 1:m.start()] == "\\":  # perhaps the letter of an escaped break
+            tokens.append((m.start() + 1, m.end()))
         if any(c in m[0] for c in "/_-+"):  # a token may stand in a path: its parts on their own as well
             tokens += [(m.start() + p.start(), m.start() + p.end()) for p in BASE64_PART.finditer(m[0]) if p[0] != m[0]]
         over = bisect_left(ends, m.end())
