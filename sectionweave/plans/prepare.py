@@ -26,11 +26,6 @@ def repeated_ids(articles: DataFrame) -> DataFrame:
     return articles.groupBy(F.col("article_id").alias("repeated_id")).count().where("count > 1").select("repeated_id")
 
 
-def repeated_groups(articles: DataFrame) -> DataFrame:
-    """Keys of the (article_id, abstract) groups held by several rows; counted map-side first, so a hot group costs no more."""
-    return articles.select(_group_key().alias(GROUP)).groupBy(GROUP).count().where("count > 1").select(GROUP)
-
-
 def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """:func:`matched_sections` over groups of rows with one article_id and abstract.
 
@@ -59,9 +54,8 @@ def pooled_sections(articles: DataFrame, keep: tuple[str, ...] = (), **options)
 def aligned_sections(articles: DataFrame, pool_copies: bool = True, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Sections with their assigned sentences, for rows that may share an article_id and abstract.
 
-    One narrow pass counts ids. Rows alone with their id never leave their partition; only for the others are
-    abstracts digested and counted, and only rows that share id and abstract are pooled. Ids and digests are
-    broadcast when they are checked to be few.
+    One narrow pass counts ids, which are broadcast when they are checked to be few. Rows alone with their id never
+    leave their partition; only for the others are abstracts digested, and rows that share both are pooled.
     """
     if not pool_copies:
         return matched_sections(articles, keep, **options)
@@ -70,15 +64,8 @@ def aligned_sections(articles: DataFrame, pool_copies: bool = True, keep: tuple[
         return matched_sections(articles, keep, **options)
     ids = broadcast_if_small(ids)
     same = F.col("article_id").eqNullSafe(F.col("repeated_id"))
-    tagged = articles.join(ids, same, "left_semi").withColumn(GROUP, _group_key())
-    single = articles.join(ids, same, "left_anti")
-    keys = stored(repeated_groups(articles.join(ids, same, "left_semi")), "repeated")
-    if keys.isEmpty():
-        return matched_sections(articles, keep, **options)
-    keys = broadcast_if_small(keys)
-    alone = tagged.join(keys, GROUP, "left_anti").drop(GROUP)
-    several = tagged.join(keys, GROUP, "left_semi").drop(GROUP)
-    return matched_sections(single.unionByName(alone), keep, **options).unionByName(pooled_sections(several, keep, **options))
+    single, several = articles.join(ids, same, "left_anti"), articles.join(ids, same, "left_semi")
+    return matched_sections(single, keep, **options).unionByName(pooled_sections(several, keep, **options))
 
 
 def prepare_section_rows(

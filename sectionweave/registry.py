@@ -423,8 +423,8 @@ def generate_resumed(spark, sf_dir):
     """The generated rows of a run that had got as far as the introductions, and is taken up again."""
     rows = prepare.prepare_section_rows(articles(spark, sf_dir), train=False, use_stemmer=False)
     kept = scratch_path(spark, "generated")
-    generate.generate_missing(rows.where("section_id = 'i'"), long_sentence_summarizer, kept, batch_size=6)
-    made = generate.generate_resumable(rows, long_sentence_summarizer, kept, batch_size=6)
+    generate.generate_missing(rows.where("section_id = 'i'"), long_sentence_summarizer, kept, batch_size=6, n_batches=4)
+    made = generate.generate_resumable(rows, long_sentence_summarizer, kept, batch_size=6, n_batches=4)
     return made.select("article_id", "section_idx", "section_id", "gen_sum")
 
 
