@@ -11,6 +11,8 @@ with all of them at once.
 
 from collections import Counter
 from collections.abc import Callable
+from itertools import chain
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -174,40 +176,75 @@ def best_sections(abstract: str, sections: str, stem: Callable[[str], str] | Non
 
 def lcs_positions(reference: list[str], candidate: list[str]) -> set[int]:
     """Reference positions of one LCS; on a choice the walk drops candidate tokens
-    only where the LCS needs it, from the end backwards."""
+    only where the LCS needs it, from the end backwards.
+
+    Of the columns of the table only one in about the square root of their number is kept; those between two
+    of them are computed again when the walk gets there.
+    """
     masks, _, valid = _bit_masks([reference])
-    columns = [valid]
-    for token in candidate:
-        hit = columns[-1] & masks.get(token, 0)
-        columns.append(((columns[-1] + hit) | (columns[-1] - hit)) & valid)
+
+    def after(column: int, tokens: list[str]) -> list[int]:
+        columns = [column]
+        for token in tokens:
+            hit = column & masks.get(token, 0)
+            column = ((column + hit) | (column - hit)) & valid
+            columns.append(column)
+        return columns
+
+    step = isqrt(len(candidate)) + 1
+    kept = [valid]
+    for begin in range(0, len(candidate), step):
+        kept.append(after(kept[-1], candidate[begin:begin + step])[-1])
     found = set()
-    i, j = len(reference) - 1, len(candidate)
-    while i >= 0 and j > 0:
-        if reference[i] == candidate[j - 1]:
-            found.add(i)
-            i -= 1
-            j -= 1
-        elif columns[j] >> i & 1:
-            i -= 1
-        else:
-            j -= 1
+    i = len(reference) - 1
+    for block in range(len(kept) - 2, -1, -1):
+        tokens = candidate[block * step:(block + 1) * step]
+        columns, j = after(kept[block], tokens), len(tokens)
+        while i >= 0 and j > 0:
+            if reference[i] == tokens[j - 1]:
+                found.add(i)
+                i -= 1
+                j -= 1
+            elif columns[j] >> i & 1:
+                i -= 1
+            else:
+                j -= 1
     return found
 
 
 def summary_hits(reference: str, candidate: str) -> int:
     """Tokens of the reference's lines covered by the union of their LCS with the
-    candidate's lines, each token counted at most as often as both texts hold it."""
-    lines = [s.split() for s in reference.split(LINE)]
-    others = [s.split() for s in candidate.split(LINE)]
-    left = Counter(t for s in lines for t in s) & Counter(t for s in others for t in s)
-    hits = 0
-    for line in lines:
-        covered = set().union(*(lcs_positions(line, other) for other in others))
-        for token in (line[i] for i in covered):
-            if left[token] > 0:
-                left[token] -= 1
-                hits += 1
-    return hits
+    candidate's lines, each token counted at most as often as both texts hold it.
+
+    Equal lines are one, and a line meets only lines with a token of its own: postings of the candidate's tokens
+    give them. Nothing is kept of a pair of lines but the positions it covers.
+    """
+    lines, others = Counter(tuple(s.split()) for s in reference.split(LINE)), Counter(tuple(s.split()) for s in candidate.split(LINE))
+    sides = []
+    for side in (lines, others):
+        total: Counter = Counter()
+        for tokens, n in side.items():
+            for token in tokens:
+                total[token] += n
+        sides.append(total)
+    left = sides[0] & sides[1]
+    distinct = [list(tokens) for tokens in others]
+    postings: dict[str, list[int]] = {}
+    for k, tokens in enumerate(distinct):
+        for token in set(tokens):
+            postings.setdefault(token, []).append(k)
+    covered_tokens: Counter = Counter()
+    for tokens, n in lines.items():
+        line, covered = list(tokens), set()
+        reachable = {i for i, token in enumerate(line) if token in postings}
+        # Lines with most in common come first, so that few are needed to cover the line.
+        for k, _ in Counter(chain.from_iterable(postings[line[i]] for i in reachable)).most_common():
+            if len(covered) == len(reachable):
+                break  # all that any line could add
+            covered |= lcs_positions(line, distinct[k])
+        for i in covered:
+            covered_tokens[line[i]] += n
+    return sum((covered_tokens & left).values())
 
 
 def _rows(left: pa.Array, right: pa.Array, function) -> list:

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from sectionweave.functions import lcs
 from sectionweave.operators import aggregate, assemble, bleu, rouge
 from sectionweave.plans import evaluate
 from sectionweave.sources import writers
@@ -148,3 +150,24 @@ def test_bleu_tokens(spark):
     df = spark.createDataFrame([('Hello, "world" 3.14 end. a-b 3-4 &amp; x',)], "x string")
     assert df.select(bleu.bleu_tokens(F.col("x"))).first()[0] == [
         "Hello", ",", '"', "world", '"', "3.14", "end", ".", "a-b", "3", "-", "4", "&", "x"]
+
+
+def test_long_texts_take_little_memory():
+    """One line of 20,000 tokens on either side, whose table alone would take 35 MB, and 4,000 lines."""
+    rng = random.Random(1)
+    line = [rng.choice("abcdefgh") for _ in range(20_000)]
+    other = [t for t in line if rng.random() > 0.3]
+    tracemalloc.start()
+    assert lcs.summary_hits(" ".join(line), " ".join(other)) == len(other)
+    lines = [" ".join((f"w{rng.randrange(6000)}" for _ in range(6))) for _ in range(4_000)]
+    assert lcs.summary_hits("\n".join(lines), "\n".join(lines[::-1])) == 24_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_summary_hits_of_equal_lines(data):
+    rng = random.Random(2)
+    for _ in range(60):
+        ref, cand = ("\n".join(rng.choice(["a b", "b a c", "", "c", "a a b"]) for _ in range(rng.randint(1, 7))) for _ in range(2))
+        assert lcs.summary_hits(ref, cand) == brute.union_hits(ref, cand)
