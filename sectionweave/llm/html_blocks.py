@@ -6,6 +6,7 @@ pages, says which blocks are main text.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -26,7 +27,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|data-main)(?:\s*=
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Elements whose content is no text of the page.
-OPAQUE = frozenset("script style noscript template textarea title svg math iframe object select option button head".split())
+OPAQUE = frozenset("script style noscript template textarea title svg iframe select option button head".split())
 #: Of these, the ones whose content is not markup either.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Elements that end a block where they begin and end.
@@ -49,6 +50,15 @@ NAMES = frozenset(
     "notification alert popup modal overlay comment comments disqus reply replies respond sidebar aside menu menus nav navbar navigation navi "
     "breadcrumb breadcrumbs footer foot masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup login widget widgets pagination pager toolbar skip form search legal copyright disclaimer".split())
+#: Parts that say nothing of their own in a name inside an article.
+PLAIN = frozenset("area bar block body bottom box button buttons container content group icon icons inner item items left link links list main page panel "
+                  "post right row section site slot text title top unit wrap wrapper".split())
+#: What a section of an article may be about as well. Inside an article a name of these counts only if it says nothing else, and an id not at all.
+TOPICS = frozenset("alert copyright disclaimer form legal notice notices notification promotion recommendations recommended related search social subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Labelled blocks that a leaf of the tree has at least: one block alone is no evidence.
+LEAST_IN_LEAF = 4
+UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_main", "has_main", "in_boilerplate")
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
@@ -101,6 +111,26 @@ LABELLED = tuple(f"<html><body>{page}</body></html>" for page in (
 ))
 
 
+def _words(n: int, inside: str = "{}") -> str:
+    return " ".join(inside.format("word") for _ in range(n))
+
+
+def _plain_page(paragraphs: tuple[int, ...], links: tuple[int, int], remarks: tuple[int, int]) -> str:
+    """A page without an article: lists of links and remarks around paragraphs of these many words."""
+    lists = [_words(n, "<a href=#>{}</a>") for n in links]
+    text = "".join(f"<p>{_words(n)}</p>" for n in paragraphs)
+    return (f"<div data-main=0>{lists[0]}</div><div data-main=0>{_words(remarks[0])}</div><div data-main=1>{text}</div>"
+            f"<div data-main=0>{_words(remarks[1])}</div><div data-main=0>{lists[1]}</div>")
+
+
+#: Pages without an article whose paragraphs have all lengths, and articles with words of all lengths outside.
+LABELLED += tuple(_plain_page(*sizes) for sizes in (
+    ((30, 45, 80, 60), (4, 30), (2, 3)), ((25, 12, 38, 90), (40, 12), (3, 2)), ((50, 14, 55, 33), (25, 60), (1, 4)), ((120, 70, 28, 41), (9, 35), (4, 1)),
+    ((40, 26, 75), (10, 0), (2, 0)), ((65, 31), (0, 0), (0, 0)), ((48,), (28, 0), (3, 0)), ((36, 58), (0, 45), (0, 2)), ((85,), (0, 0), (0, 0))))
+LABELLED += tuple(f"<div data-main=0>{_words(a)}</div><article data-main=1><p>{_words(b)}</p><p>{_words(c)}</p></article><div data-main=0>{_words(d)}</div>"
+                  for a, b, c, d in ((35, 3, 40, 60), (80, 25, 1, 28), (45, 70, 12, 33), (55, 8, 30, 90)))
+
+
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
@@ -133,14 +163,26 @@ class Holder:
     label: str | None
 
 
+def _named(name: str, main: bool, inside: bool, classes: str, ids: str) -> bool:
+    """Whether class or id name boilerplate. Inside an article a word that can be a topic does so only if the whole name does."""
+    names = [{p.lower() for p in NAME_PARTS.findall(n)} for n in f"{classes} {ids}".split()]
+    if main or name in ("body", "html"):
+        return any(parts & {"comment", "comments", "reply", "replies"} for parts in names)
+    if not inside:
+        return any(parts & NAMES for parts in names)
+    if name in HEADINGS:
+        names = names[:len(classes.split())]  # the id of a heading is the target of a link
+    topic = [{p.lower() for p in NAME_PARTS.findall(n)} for n in ids.split()]
+    return any(parts & (NAMES - TOPICS) or (parts & TOPICS and parts <= NAMES | PLAIN and parts not in topic) for parts in names)
+
+
 def _entered(name: str, attributes: str, outer: Holder) -> Holder:
     found = {n.lower(): (v or "").strip("\"'") for n, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-    parts = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     role = found.get("role", "").lower()
     # A comment is often an article of its own; other names on the main element itself tell of its surroundings.
     main = name in ("article", "main") or role in ("main", "article")
-    named = parts & ({"comment", "comments", "reply", "replies"} if main or name in ("body", "html") else NAMES)
-    boilerplate = name in BOILERPLATE or (name == "header" and not outer.in_main) or bool(named) or role in ROLES
+    named = _named(name, main, outer.in_main, found.get("class", ""), found.get("id", ""))
+    boilerplate = name in BOILERPLATE or (name == "header" and not outer.in_main) or named or role in ROLES
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
     return Holder(name, outer.in_main or main, outer.in_boilerplate or boilerplate, outer.opaque or hidden or name in OPAQUE, found.get("data-main", outer.label))
 
@@ -149,7 +191,8 @@ def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order. Elements that are left open end with what holds them; stray ends are ignored."""
     out: list[Block] = []
     stack = [Holder("", False, False, False, None)]
-    block, links, at = Block(), 0, 0
+    opened: Counter = Counter()  # the names on the stack
+    block, links, at, last = Block(), 0, 0, html.rfind(">")
 
     def add(text: str) -> None:
         if text and not stack[-1].opaque:
@@ -166,7 +209,17 @@ def blocks_of(html: str) -> list[Block]:
                 out.append(block)
             block = Block()
 
+    def leave() -> str:
+        opened[stack[-1].name] -= 1
+        return stack.pop().name
+
     while at < len(html):
+        if at > last:  # no tag ends from here on: what looks like one is text, and what a comment hides goes to the end
+            cut = UNCLOSED.search(html, at)
+            add(html[at:cut.start()] if cut else html[at:])
+            if cut and cut[0] != "<!--":
+                add(html[cut.end():].replace("&", "&amp;"))
+            break
         tag = MARKUP.search(html, at)
         if tag is None:
             add(html[at:])
@@ -184,16 +237,17 @@ def blocks_of(html: str) -> list[Block]:
             links = 0
             if not tag["close"]:
                 while stack[-1].name in LEAVES or stack[-1].name in SIBLINGS.get(name, ()):
-                    stack.pop()
+                    leave()
         elif name == "br":
             add(" ")
         elif name == "a":
             links = 0 if tag["close"] else 1
+            block.linked.append(" ")  # the words of two links are two
         if name in VOID or tag["attributes"].endswith("/") and name in ("svg", "path"):
             continue
         if tag["close"]:
-            if name in HOLDERS and any(h.name == name for h in stack):
-                while stack.pop().name != name:
+            if opened[name] > 0:
+                while leave() != name:
                     pass
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(html, at)
@@ -201,8 +255,9 @@ def blocks_of(html: str) -> list[Block]:
         elif name in HOLDERS:
             if name in ("body", "article", "main"):  # whatever was left open before the page's content
                 while stack[-1].name == "head":
-                    stack.pop()
+                    leave()
             stack.append(_entered(name, tag["attributes"], stack[-1]))
+            opened[name] += 1
     end_block()
     return out
 
@@ -215,7 +270,7 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 
 def grow(rows: np.ndarray, labels: np.ndarray) -> tuple | float:
-    """A binary tree by Gini impurity: (feature, threshold, at most, above), or the share of main text in a leaf.
+    """A binary tree by Gini impurity: (feature, threshold, at most, above), or the share of main text in a leaf of LEAST_IN_LEAF blocks or more.
 
     Of equal splits the one on the feature that stands last in FEATURES wins, as what a block stands in tells more than its size.
     """
@@ -226,6 +281,8 @@ def grow(rows: np.ndarray, labels: np.ndarray) -> tuple | float:
         values = np.unique(rows[:, f])
         for threshold in (values[:-1] + values[1:]) / 2:
             left = rows[:, f] <= threshold
+            if min(left.sum(), (~left).sum()) < LEAST_IN_LEAF:
+                continue
             now = impurity(labels[left]) + impurity(labels[~left])
             if now < best[0] - 1e-9:
                 best = (now, f, float(threshold))
@@ -247,7 +304,7 @@ def is_main(row: list[float]) -> bool:
     while isinstance(node, tuple):
         feature, threshold, low, high = node
         node = low if row[feature] <= threshold else high
-    return node >= 0.5
+    return node > 0.5
 
 
 def main_text(html: str) -> str:

@@ -1,3 +1,4 @@
+import time
 import glob
 import os
 import random
@@ -144,3 +145,43 @@ def test_deeper_levels_and_quoted_paragraphs_link(spark):
             (1, 3, "user", "> edited\n>> other\nno"), (1, 4, "user", "> second\n> part goes on\n>\n> third part\nhm"), (1, 5, "user", "> other\n>> first words\nok")]
     got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.turn: r.reply_to for r in got} == {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+@pytest.mark.parametrize("advert", ["Buy now", "Buy this wonderful thing today and tell all of your friends about it at once"])
+@pytest.mark.parametrize("words", [1, 2, 5, 10, 20, 23, 24, 25, 26, 27, 28, 29, 30, 31, 40, 60, 100])
+def test_adverts_beside_paragraphs_of_any_length(advert, words):
+    paragraph = " ".join(["word"] * words)
+    page = f"<div class=ad>{advert}</div><article><p>{paragraph}</p></article><div>{advert}</div><footer>{advert}</footer>"
+    assert html_blocks.main_text(page) == paragraph
+
+
+def test_pages_without_an_article_need_words_and_densities():
+    """A block of links is as long as a paragraph: with blanked densities it would be main text, and with blanked words nothing."""
+    paragraph, links = " ".join(["word"] * 40), " ".join(["<a href=#>word</a>"] * 40)
+    page = f"<div>{links}</div><div><p>{paragraph}</p><p>{paragraph}</p></div><div>{links}</div>"
+    blocks = html_blocks.blocks_of(page)
+    rows = html_blocks.features(blocks)
+    assert [b.density for b in blocks] == [1.0, 0.0, 0.0, 1.0]
+    assert [html_blocks.is_main(r) for r in rows.tolist()] == [False, True, True, False]
+    for kind, expected in (("density", [True] * 4), ("words", [False] * 4)):
+        blank = rows.copy()
+        blank[:, [i for i, f in enumerate(html_blocks.FEATURES) if f.startswith(kind)]] = 0
+        assert [html_blocks.is_main(r) for r in blank.tolist()] == expected
+
+
+def test_links_alone_are_no_text():
+    assert html_blocks.main_text("<ul>" + "<li><a href=#>A link to elsewhere</a>" * 12 + "</ul>") == ""
+
+
+def test_names_inside_an_article():
+    page = ("<article><p>where <math><mi>x</mi>=1</math> holds</p><div class='social-history'>Past</div><section id='legal'>Law</section>"
+            "<h2 id='search'>Search</h2><div class='cookie-notice'>no</div><section id=comments>no</section><div class='related-links'>no</div></article>")
+    assert html_blocks.main_text(page) == "where x=1 holds\nPast\nLaw\nSearch"
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<a b="' * 200_000, "<div>" * 20_000 + "</p>" * 20_000, "<!--" * 200_000, "<div " * 100_000 + ">x",
+                                  "<p>a</p>" + "<" * 500_000, "<article>" * 20_000 + "x" + "</div>" * 20_000])
+def test_malformed_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    html_blocks.main_text(page)
+    assert time.perf_counter() - begin < 5
