@@ -191,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_per_class: int = FIT_PER_CLASS,
     """A machine learnt from at most ``fit_per_class`` labelled documents of each class outside the held-out fold.
 
     Labels that are null, not 0 or 1, or contradict another label of their doc_id are left out. Terms are counted
-    by many tasks; the sample is fitted in one, in which a document has at most ``n_terms`` numbers. The driver
-    gets the model. Without any usable label all scores are one half.
+    by many tasks, which then leave of every document the chosen ones only; so the one task that fits the sample
+    reads at most ``n_terms`` numbers a document. The driver gets the model. Without any usable label all scores are one half.
     """
     known = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder(F.col("doc_id")) != HELD_OUT)
              .groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").cast("int").alias("other"))
@@ -206,17 +206,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_per_class: int = FIT_PER_CLASS,
     sizes = {r.label: r["count"] for r in bags.groupBy("label").count().collect()}
     hashed = np.array(sorted(r.term for r in choose(bags, sizes, n_terms).collect()), np.int32)
 
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, found = Machine(hashed, 0.0, np.zeros(0), np.zeros((0, factors))), []
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(hashed, 0.0, np.zeros(0), np.zeros((0, factors)))
         for batch in batches:
-            for label, order, mine in zip(*(batch.column(i) for i in range(3)), strict=True):
-                places = machine.places(mine.values.to_numpy()).astype(np.int32)
-                found.append((order.as_py(), label.as_py(), places))
+            mine = [machine.places(terms.values.to_numpy()).astype(np.int32) for terms in batch.column(2)]
+            yield record_batch(BAG, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), mine])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(order.as_py(), label.as_py(), places.values.to_numpy()) for batch in batches
+                 for label, order, places in zip(*(batch.column(i) for i in range(3)), strict=True)]
         found.sort(key=lambda f: (f[0], f[2].tobytes()))
         bias, weights, vectors = train([(label, places) for _, label, places in found], len(hashed), prior, factors)
         yield record_batch(MODEL, [[bias], [weights.astype("<f4").tobytes()], [vectors.astype("<f4").tobytes()]])
 
-    row = bags.repartition(1).mapInArrow(fitted, MODEL).collect()
+    row = bags.mapInArrow(placed, BAG).repartition(1).mapInArrow(fitted, MODEL).collect()
     if not row:
         return Machine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, factors)))
     return Machine(hashed, row[0].bias, np.frombuffer(row[0].weights, "<f4"), np.frombuffer(row[0].vectors, "<f4").reshape(len(hashed), factors))
