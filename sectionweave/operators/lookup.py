@@ -2,7 +2,9 @@
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +18,8 @@ from ..session import stored
 # A table may be broadcast up to this many entries and bytes.
 MAX_ENTRIES = 2_000_000
 MAX_BYTES = 64 << 20
-
-# Indexes of this worker by broadcast; the last few are kept.
-_indexes: dict[int, tuple[pd.Index, pa.Array]] = {}
+# Keys that are objects at a time, while they are hashed.
+HASHED_ROWS = 1 << 16
 
 
 def _unique(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -32,40 +33,53 @@ def _is_small(table: DataFrame, max_entries: int) -> bool:
     return entries <= max_entries and text <= MAX_BYTES
 
 
-def _index(shared) -> tuple[pd.Index, pa.Array]:
-    """Built once per worker and table."""
-    if shared.id not in _indexes:
-        while len(_indexes) >= 4:
-            del _indexes[next(iter(_indexes))]
-        keys, values = shared.value
-        _indexes[shared.id] = pd.Index(keys.to_pandas()), values
-    return _indexes[shared.id]
+class Index(NamedTuple):
+    """Keys in the order of their hashes, and the value of each: flat arrays, so a worker holds no object per entry."""
+
+    hashes: np.ndarray
+    keys: pa.Array
+    values: pa.Array
+    #: How many keys share a hash at most.
+    longest_run: int
+
+
+def _hashes(items: pa.Array) -> np.ndarray:
+    filled = items.fill_null("" if pa.types.is_string(items.type) or pa.types.is_large_string(items.type) else 0)
+    return pd.util.hash_array(filled.to_numpy(zero_copy_only=False), categorize=False)
 
 
-class _Shared:
-    """A broadcast with the number that names it on every worker."""
+def build_index(keys: pa.Array, values: pa.Array) -> Index:
+    parts = [_hashes(keys.slice(at, HASHED_ROWS)) for at in range(0, len(keys), HASHED_ROWS)]
+    hashes = np.concatenate(parts) if parts else np.array([], "u8")
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else hashes
+    runs = np.diff(np.append(starts, len(hashes)))
+    return Index(hashes, keys.take(pa.array(order)), values.take(pa.array(order)), int(runs.max(initial=0)))
 
-    def __init__(self, broadcast, number: int):
-        self.broadcast, self.id = broadcast, number
 
-    @property
-    def value(self):
-        return self.broadcast.value
+def look_up(index: Index, items: pa.Array) -> pa.Array:
+    """The value of each item, null for those without one; equal items are looked up once, equal hashes told apart by their keys."""
+    coded = items.dictionary_encode()
+    distinct = coded.dictionary.cast(index.keys.type)
+    wanted = _hashes(distinct)
+    first, places = np.searchsorted(index.hashes, wanted), np.full(len(distinct), -1)
+    for step in range(index.longest_run):
+        at = np.minimum(first + step, len(index.hashes) - 1)
+        same = pc.equal(index.keys.take(pa.array(at)), distinct).fill_null(False).to_numpy(zero_copy_only=False)
+        places = np.where(same, at, places)
+    return index.values.take(pa.array(places, mask=places < 0)).take(coded.indices)
 
 
 def _by_broadcast(df: DataFrame, columns: Sequence[str], table: DataFrame, default) -> DataFrame:
     """Rows stay where they are; the table travels once to each executor."""
-    entries = table.toArrow().combine_chunks()
-    broadcast = df.sparkSession.sparkContext.broadcast(
-        (pa.concat_arrays(entries["item"].chunks), pa.concat_arrays(entries["found"].chunks)))
-    shared, key_type = _Shared(broadcast, broadcast._jbroadcast.id()), entries["item"].type
+    entries = table.toArrow()
+    keys, values = (pa.concat_arrays(entries[c].chunks) if entries[c].num_chunks else pa.array([], entries[c].type) for c in ("item", "found"))
+    shared = df.sparkSession.sparkContext.broadcast(build_index(keys, values))
 
     @F.arrow_udf(T.ArrayType(table.schema["found"].dataType))
     def translate(arrays: pa.Array) -> pa.Array:
-        index, values = _index(shared)
-        items = arrays.flatten().cast(key_type)
-        places = pa.array(index.get_indexer(items.to_pandas()), pa.int64())
-        found = values.take(pc.if_else(pc.or_(pc.less(places, 0), items.is_null()), None, places))
+        found = look_up(shared.value, arrays.flatten())
         lengths = pc.fill_null(pc.list_value_length(arrays), 0)
         ends = pc.cumulative_sum(lengths).cast(pa.int32())
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])

@@ -1,7 +1,11 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sectionweave.operators import columns, encode, generate
+from sectionweave.operators import columns, encode, generate, lookup
 from sectionweave.operators.lookup import translate_arrays
 from sectionweave.plans import evaluate
 from sectionweave.sources.documents import vocabulary
@@ -65,6 +69,28 @@ def test_lookup_has_one_meaning_both_ways(spark, limit):
     assert rows(translate_arrays(ids, ("words",), back, "id", "token", "?", limit)) == {"x": (["also", "?", "?"],)}
 
 
+def test_the_index_of_a_worker_takes_few_bytes_an_entry():
+    n = 200_000
+    index = lookup.build_index(pa.array([f"word{i}" for i in range(n)]), pa.array(range(n), pa.int32()))
+    tracemalloc.start()
+    try:
+        found = lookup.look_up(index, pa.array(["word7", None, "", "none", f"word{n - 1}", "word7"]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.to_pylist() == [7, None, None, None, n - 1, 7]
+    assert most < n and index.hashes.nbytes + index.keys.nbytes + index.values.nbytes < 32 * n
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(lookup, "_hashes", lambda items: np.array([len(s.as_py() or "") for s in items], "u8"))
+    index = lookup.build_index(pa.array(["ab", "c", "cd", "ef", "g"]), pa.array([1, 2, 3, 4, 5]))
+    assert index.longest_run == 3
+    assert lookup.look_up(index, pa.array(["ef", "g", "xy", "cd", None, "c", "ab", "abc"])).to_pylist() == [4, 5, None, 3, None, 2, 1, None]
+    empty = lookup.build_index(pa.array([], pa.string()), pa.array([], pa.int32()))
+    assert lookup.look_up(empty, pa.array(["a", None])).to_pylist() == [None, None]
+
+
 def test_caller_tokenizer_gets_the_length_and_is_loaded_once_per_worker(spark, pairs, tmp_path):
     folder = str(tmp_path)
 
