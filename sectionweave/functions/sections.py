@@ -27,32 +27,30 @@ def _lines(sentences: Column) -> Column:
                     lambda s: F.concat(F.coalesce(normalize(s), F.lit("")), F.lit(LINE))), "")
 
 
-def _texts(abstract: Column, zipped: Column, strip_markers_first: bool) -> tuple[Column, Column]:
-    """Lines of the abstract and pages of the sections, as the Python step reads them."""
-    if strip_markers_first:
-        abstract = F.transform(abstract, strip_markers)
-    pages = F.array_join(F.transform(zipped, lambda s: F.concat(_lines(s["section_text"]), F.lit(PAGE))), "")
-    # A null abstract has no sentences; a null section list has no sections.
-    return F.when(abstract.isNotNull(), _lines(abstract)), pages
+def abstract_lines(abstract: Column, strip_markers_first: bool = False) -> Column:
+    """Lines of the abstract as the Python step reads them; null for a null abstract, which has no sentences."""
+    lines = _lines(F.transform(abstract, strip_markers) if strip_markers_first else abstract)
+    return F.when(abstract.isNotNull(), lines)
 
 
-def section_hits(abstract: Column, zipped: Column, use_stemmer: bool = True,
-                 strip_markers_first: bool = False) -> Column:
-    """Section by abstract-sentence LCS table of one article row."""
-    return (section_lcs_stemmed if use_stemmer else section_lcs)(*_texts(abstract, zipped, strip_markers_first))
+def _pages(zipped: Column) -> Column:
+    """Pages of the sections; null for a null section list, which has no sections."""
+    return F.array_join(F.transform(zipped, lambda s: F.concat(_lines(s["section_text"]), F.lit(PAGE))), "")
 
 
-def section_best(abstract: Column, zipped: Column, use_stemmer: bool = True, strip_markers_first: bool = False) -> Column:
-    """Per abstract sentence the first section with the longest LCS: ``best``, and the ``pairs`` of sentences and how many were ``compared``."""
-    return (section_matches_stemmed if use_stemmer else section_matches)(*_texts(abstract, zipped, strip_markers_first))
+def section_hits(lines: Column, zipped: Column, use_stemmer: bool = True) -> Column:
+    """Section by abstract-sentence LCS table of one article row; ``lines`` are its :func:`abstract_lines`."""
+    return (section_lcs_stemmed if use_stemmer else section_lcs)(lines, _pages(zipped))
+
 
+def section_best(lines: Column, zipped: Column, use_stemmer: bool = True) -> Column:
+    """Per abstract sentence the first section with the longest LCS: ``best``, and the ``pairs`` of sentences and how many were ``compared``."""
+    return (section_matches_stemmed if use_stemmer else section_matches)(lines, _pages(zipped))
 
-def sentence_sizes(abstract: Column, strip_markers_first: bool = False) -> Column:
-    """Scoring tokens of each abstract sentence."""
-    def size(s: Column) -> Column:
-        return F.coalesce(token_count(normalize(strip_markers(s) if strip_markers_first else s)), F.lit(0))
 
-    return F.transform(abstract, size)
+def sentence_sizes(lines: Column) -> Column:
+    """Scoring tokens of each line of the abstract; behind the last line break stands none."""
+    return let(F.split(lines, LINE), lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), token_count))
 
 
 def recall_table(hits: Column, sizes: Column) -> Column:

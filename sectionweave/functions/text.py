@@ -81,7 +81,7 @@ def strip_markers(text: Column) -> Column:
 
 def piece_count(text: Column) -> Column:
     """Number of pieces between single spaces, empty pieces included."""
-    return F.size(F.split(text, " "))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "))) + 1
 
 
 def strip(text: Column) -> Column:

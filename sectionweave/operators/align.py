@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sections import (
-    identify_section, recall_table, scored_matches, section_best, section_hits, sentence_sizes, zip_sections,
+    abstract_lines, identify_section, recall_table, scored_matches, section_best, section_hits, sentence_sizes, zip_sections,
 )
 from ..functions.text import spelt_list
 
@@ -39,12 +39,13 @@ def section_types(articles: DataFrame) -> DataFrame:
 
 def with_scores(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False) -> DataFrame:
     """Add ``zipped`` sections and ``summary_scores``: recall per section and abstract sentence."""
-    abstract = F.col("abstract_text")
+    lines = F.col("abstract_lines")
     return (
         articles.withColumn("zipped", zip_sections(F.col("section_names"), F.col("sections")))
-        .withColumn("hits", section_hits(abstract, F.col("zipped"), use_stemmer, strip_markers_first))
-        .withColumn("summary_scores", recall_table(F.col("hits"), sentence_sizes(abstract, strip_markers_first)))
-        .drop("hits")
+        .withColumn("abstract_lines", abstract_lines(F.col("abstract_text"), strip_markers_first))
+        .withColumn("hits", section_hits(lines, F.col("zipped"), use_stemmer))
+        .withColumn("summary_scores", recall_table(F.col("hits"), sentence_sizes(lines)))
+        .drop("hits", "abstract_lines")
     )
 
 
@@ -56,8 +57,13 @@ def sentence_section_scores(articles: DataFrame, use_stemmer: bool = True,
     ).where(F.col("section_idx").isNotNull())
 
 
+def _with_lines(articles: DataFrame, strip_markers_first: bool) -> DataFrame:
+    """Abstracts are normalized once, for the comparison and for the sizes of their sentences."""
+    return articles.withColumn("abstract_lines", abstract_lines(F.col("abstract_text"), strip_markers_first))
+
+
 def _matched_here(articles: DataFrame, use_stemmer: bool, strip_markers_first: bool) -> DataFrame:
-    return articles.withColumn("best", section_best(F.col("abstract_text"), F.col("zipped"), use_stemmer, strip_markers_first)["best"])
+    return _with_lines(articles, strip_markers_first).withColumn("best", section_best(F.col("abstract_lines"), F.col("zipped"), use_stemmer)["best"])
 
 
 def _slices(items: Column, size: int) -> Column:
@@ -81,7 +87,7 @@ def _matched_apart(articles: DataFrame, use_stemmer: bool, strip_markers_first:
     dealt = runs.repartition(n_parts, "article_key", "section_idx", "part.at", "own.at")
     one = F.array(F.struct(F.col("part.run").alias("section_text")))
     found = dealt.select("article_key", "section_idx", F.col("own.at").alias("from"),
-                         section_best(F.col("own.run"), one, use_stemmer, strip_markers_first)["best"].alias("best"))
+                         section_best(abstract_lines(F.col("own.run"), strip_markers_first), one, use_stemmer)["best"].alias("best"))
     each = found.select("article_key", "section_idx", "from", F.posexplode("best").alias("place", "b"))
     longest = F.max(F.struct("b.hits", (-F.col("section_idx")).alias("back")))
     merged = each.groupBy("article_key", (F.col("from") + F.col("place")).alias("sent_idx")).agg(longest.alias("m"))
@@ -92,7 +98,8 @@ def _matched_apart(articles: DataFrame, use_stemmer: bool, strip_markers_first:
     none = F.transform(F.coalesce("abstract_text", F.array().cast("array<string>")), lambda _: F.struct(F.lit(0).alias("section_idx"), F.lit(0).alias("hits")))
     known = F.transform("found", lambda b: F.struct(b["section_idx"].alias("section_idx"), b["hits"].alias("hits")))
     whole = F.when(F.size("zipped") > 0, F.coalesce(known, none)).otherwise(F.array().cast("array<struct<section_idx:int,hits:int>>"))
-    return keyed.join(best, "article_key", "left").withColumn("best", whole).drop("article_key", "found")
+    done = keyed.join(best, "article_key", "left").withColumn("best", whole).drop("article_key", "found")
+    return _with_lines(done, strip_markers_first)
 
 
 def _total(items: Column | str, size: Callable[[Column], Column]) -> Column:
@@ -113,13 +120,14 @@ def with_matches(articles: DataFrame, use_stemmer: bool = True, strip_markers_fi
         size = F.coalesce(_total("sections", lambda section: _total(section, F.octet_length)), F.lit(0))
         found = _matched_here(zipped.where(size <= large_bytes), use_stemmer, strip_markers_first).unionByName(
             _matched_apart(zipped.where(size > large_bytes), use_stemmer, strip_markers_first))
-    return found.withColumn("matched", scored_matches(F.col("best"), sentence_sizes(F.col("abstract_text"), strip_markers_first))).drop("best")
+    return found.withColumn("matched", scored_matches(F.col("best"), sentence_sizes(F.col("abstract_lines")))).drop("best", "abstract_lines")
 
 
 def alignment_work(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False) -> DataFrame:
     """article_id, ``n_pairs`` of abstract and section sentences, ``n_compared`` of them, of which bounds could not show that they lose."""
     zipped = zip_sections(F.col("section_names"), F.col("sections"))
-    return articles.select("article_id", section_best(F.col("abstract_text"), zipped, use_stemmer, strip_markers_first).alias("w")).select(
+    lines = abstract_lines(F.col("abstract_text"), strip_markers_first)
+    return articles.select("article_id", section_best(lines, zipped, use_stemmer).alias("w")).select(
         "article_id", F.coalesce("w.pairs", F.lit(0)).alias("n_pairs"), F.coalesce("w.compared", F.lit(0)).alias("n_compared"))
 
 

@@ -237,3 +237,20 @@ def test_repeated_ids_with_unlike_abstracts_need_no_pooling(spark, corpus):
     twins = [dict(a, article_id="same" if i % 2 else None) for i, a in enumerate(corpus[:8])]
     found = prepare.aligned_sections(frame(spark, twins), use_stemmer=False)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, align.matched_sections(frame(spark, twins), use_stemmer=False).collect()))
+
+
+def test_one_sequence_has_the_length_of_the_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        left, right = (rng.choices("abcde", k=rng.randrange(0, 90)) for _ in range(2))
+        masks, valid = lcs._masks(left)
+        assert lcs._longest(masks, valid, right) == lcs.lcs_size(left, right)
+
+
+def test_an_abstract_is_normalized_once(spark):
+    article = spark.createDataFrame([("1", ["Cold rain <S>fell</S>.", None, ""], ["Introduction", "Results"], [["cold rain"], ["fell"]])],
+                                    "article_id string, abstract_text array<string>, section_names array<string>, sections array<array<string>>")
+    matched = align.with_matches(article, use_stemmer=False)
+    assert [m.score for m in matched.first().matched] == [0.4000000059604645, 0.0, 0.0]
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2  # one for the abstract, one for the sections
