@@ -1,6 +1,6 @@
 """Batch inference over a text column with a caller's model."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,23 +21,22 @@ def generate(rows: DataFrame, summarizer: Callable[[], Summarizer], text_col: st
     at most ``batch_size`` texts at a time. Null texts give null.
     """
     name = named(summarizer)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StringType())
+    def run(column: pa.Array) -> pa.Array:
         summarize = loaded(name, summarizer)
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            present = [t for t in texts if t is not None]
-            made: list[str] = []
-            for start in range(0, len(present), batch_size):
-                made += summarize(present[start:start + batch_size])
-            if len(made) != len(present):
-                raise ValueError(f"summarizer returned {len(made)} texts for {len(present)}")
-            results = iter(made)
-            column = pa.array([None if t is None else next(results) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
-
-    return rows.mapInArrow(run, schema)
+        texts = column.to_pylist()
+        present = [t for t in texts if t is not None]
+        made: list[str] = []
+        for start in range(0, len(present), batch_size):
+            made += summarize(present[start:start + batch_size])
+        if len(made) != len(present):
+            raise ValueError(f"summarizer returned {len(made)} texts for {len(present)}")
+        results = iter(made)
+        return pa.array([None if t is None else next(results) for t in texts], pa.string())
+
+    # Only the text goes to Python. Not deterministic: a filter behind must not call the model twice.
+    return rows.withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
 
 KEPT = T.StructType([T.StructField("text_key", T.StringType()), T.StructField("made", T.StringType()), T.StructField("batch", T.IntegerType())])

@@ -168,6 +168,15 @@ def test_generation_batches_and_keeps_the_row(spark):
         generate.generate(df, short).collect()
 
 
+def test_only_the_text_goes_to_the_model(spark):
+    rows = spark.createDataFrame([(1, "a b", "unused"), (2, None, "unused")], "k int, document string, target string")
+    made = generate.generate(rows, lambda: lambda texts: [t.upper() for t in texts])
+    assert [tuple(r) for r in made.orderBy("k").collect()] == [(1, "a b", "unused", "A B"), (2, None, "unused", None)]
+    plan = made.select("k", "gen_sum")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "[run(document#" in plan
+    assert "Project [k#" in plan and "target" not in plan.rsplit("LogicalRDD", 1)[0]
+
+
 def test_compute_metrics(spark, vocab):
     df = spark.createDataFrame([("1", [2, 3, 4, 0], [2, 3, 4, -100]), ("2", [2, 2, 2, 2], [3, 3, -100, -100])],
                                "article_id string, pred_ids array<int>, labels array<int>")
