@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sectionweave import oracle
-from sectionweave.functions import register_functions, text
+from sectionweave.functions import register_functions, stem, text
 from sectionweave.functions.overlap import multiset_overlap, ngrams
 from sectionweave.functions.sections import identify_section
 from sectionweave.functions.stem import porter, stem_text, stem_token
@@ -99,3 +99,28 @@ def test_stems_in_sql_are_those_of_the_library():
     given = pa.table({"w": sorted(words)})
     got = dict(duckdb.connect().execute(f"WITH {oracle._stems('given')} SELECT w, x FROM stems").fetchall())
     assert given.num_rows > 10_000 and {w: got.get(w, w) for w in words} == {w: stem_token(w) for w in words}
+
+
+def test_shapes_and_cached_stems():
+    def shape(word):
+        found = ""
+        for letter in word:
+            found += "v" if letter in "aeiou" or (letter == "y" and found.endswith("c")) else "c"
+        return found
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("aeyybcd9é", k=rng.randint(1, 9))) for _ in range(2000)]
+    assert [stem._shape(w) for w in words] == [shape(w) for w in words]
+    assert stem.stemmed_words("national  flies agreed the national") == "nation fli agre the nation".split()
+
+
+def test_rules_are_tried_by_last_letter_only(monkeypatch):
+    tried = []
+
+    class Word(str):
+        def endswith(self, suffix):
+            tried.append(suffix)
+            return str.endswith(self, suffix)
+
+    stem._replace(Word("stemmed"), stem._BARE, lambda root, s: True)
+    assert not tried
