@@ -43,9 +43,20 @@ def section_hits(lines: Column, zipped: Column, use_stemmer: bool = True) -> Col
     return (section_lcs_stemmed if use_stemmer else section_lcs)(lines, _pages(zipped))
 
 
-def section_best(lines: Column, zipped: Column, use_stemmer: bool = True) -> Column:
-    """Per abstract sentence the first section with the longest LCS: ``best``, and the ``pairs`` of sentences and how many were ``compared``."""
-    return (section_matches_stemmed if use_stemmer else section_matches)(lines, _pages(zipped))
+def _sentences(sentences: Column) -> Column:
+    """Sentences as the comparison reads them: ASCII letters and digits count. The letters outside whose small form is ASCII are two;
+    only sentences that hold one are normalized here."""
+    rare = lambda s: s.contains("\u0130") | s.contains("\u212a")
+    return F.transform(sentences, lambda s: F.when(rare(s), normalize(s)).otherwise(s))
+
+
+def section_best(abstract: Column, sections: Column, use_stemmer: bool = True, strip_markers_first: bool = False) -> Column:
+    """Per abstract sentence the first section with the longest LCS: ``best``, and the ``pairs`` of sentences and how many were ``compared``.
+
+    Both are arrays of sentences as they stand, for the sections one array each; null sentences and sections are empty.
+    """
+    own = F.transform(abstract, strip_markers) if strip_markers_first else abstract
+    return (section_matches_stemmed if use_stemmer else section_matches)(_sentences(own), F.transform(sections, _sentences))
 
 
 def sentence_sizes(lines: Column) -> Column:
@@ -59,11 +70,9 @@ def recall_table(hits: Column, sizes: Column) -> Column:
         row, n, lambda h, k: F.when(k > 0, h / k).otherwise(F.lit(0.0)).cast("float"))))
 
 
-def scored_matches(best: Column, sizes: Column) -> Column:
+def scored_matches(best: Column) -> Column:
     """``struct(section_idx, score)`` per abstract sentence, the score being the recall as float; empty where nothing can match."""
-    def scored(n: Column) -> Column:
-        return F.transform(best, lambda b, m: F.struct(
-            b["section_idx"].alias("section_idx"),
-            F.when(F.get(n, m) > 0, b["hits"] / F.get(n, m)).otherwise(F.lit(0.0)).cast("float").alias("score")))
-
-    return F.coalesce(let(sizes, scored), F.array().cast("array<struct<section_idx:int,score:float>>"))
+    scored = F.transform(best, lambda b: F.struct(
+        b["section_idx"].alias("section_idx"),
+        F.when(b["n_tokens"] > 0, b["hits"] / b["n_tokens"]).otherwise(F.lit(0.0)).cast("float").alias("score")))
+    return F.coalesce(scored, F.array().cast("array<struct<section_idx:int,score:float>>"))

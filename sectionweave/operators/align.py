@@ -9,11 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.lcs import MATCH
 from ..functions.sections import (
     abstract_lines, identify_section, recall_table, scored_matches, section_best, section_hits, sentence_sizes, zip_sections,
 )
-from ..functions.text import spelt_list
+from ..functions.text import let, no_strings, spelt_list
 
 # An article is its id and its abstract; the digest stands for the abstract wherever rows are grouped.
 ABSTRACT_KEY = "abstract_key"
@@ -57,13 +59,8 @@ def sentence_section_scores(articles: DataFrame, use_stemmer: bool = True,
     ).where(F.col("section_idx").isNotNull())
 
 
-def _with_lines(articles: DataFrame, strip_markers_first: bool) -> DataFrame:
-    """Abstracts are normalized once, for the comparison and for the sizes of their sentences."""
-    return articles.withColumn("abstract_lines", abstract_lines(F.col("abstract_text"), strip_markers_first))
-
-
 def _matched_here(articles: DataFrame, use_stemmer: bool, strip_markers_first: bool) -> DataFrame:
-    return _with_lines(articles, strip_markers_first).withColumn("best", section_best(F.col("abstract_lines"), F.col("zipped"), use_stemmer)["best"])
+    return articles.withColumn("best", section_best(F.col("abstract_text"), F.col("zipped.section_text"), use_stemmer, strip_markers_first)["best"])
 
 
 def _slices(items: Column, size: int) -> Column:
@@ -72,34 +69,45 @@ def _slices(items: Column, size: int) -> Column:
     return F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice(items, at + 1, size).alias("run")))
 
 
+def _cells(keyed: DataFrame) -> DataFrame:
+    """One row per part of the sections and part of the abstract, dealt out by a number of partitions; equal articles have theirs once."""
+    told = F.flatten(F.transform("zipped", lambda z: F.transform(
+        F.coalesce(z["section_text"], no_strings()), lambda s: F.struct(z["section_idx"].alias("section_idx"), s.alias("sentence")))))
+    parts = keyed.select("article_key", "abstract_text", F.explode_outer(let(told, lambda t: _slices(t, RANGE))).alias("part")).where("part IS NOT NULL")
+    cells = (parts.select("article_key", "part", F.explode_outer(_slices(F.col("abstract_text"), SHARE)).alias("own")).where("own IS NOT NULL")
+             .select("article_key", F.col("part.at").alias("at"), F.col("own.at").alias("from"), F.col("part.run").alias("run"), F.col("own.run").alias("own")))
+    n_parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = ["article_key", "at", "from"]
+    return cells.repartition(n_parts, *cell).dropDuplicates(cell)
+
+
 def _matched_apart(articles: DataFrame, use_stemmer: bool, strip_markers_first: bool) -> DataFrame:
-    """The same for articles that are too large for a task: parts of sections meet parts of the abstract in many tasks.
+    """The same for articles that are too large for a task: runs of the sentences of all sections meet runs of the abstract in many tasks.
 
-    A digest stands for sections and abstract together; equal ones have equal matches. Each part gives the longest LCS
+    A digest stands for sections and abstract together; equal ones have equal matches, and are compared once. Each part gives the longest LCS
     for its sentences, and the maximum over the parts decides, the first section where they are equal.
     """
-    key = F.md5(F.concat(spelt_list(F.col("abstract_text")), spelt_list(F.col("zipped.section_text"), lambda s: spelt_list(s))))
-    keyed = articles.withColumn("article_key", key)
-    runs = (keyed.select("article_key", "abstract_text", F.explode("zipped").alias("s"))
-            .select("article_key", "abstract_text", "s.section_idx", F.explode(_slices(F.col("s.section_text"), RANGE)).alias("part"))
-            .select("article_key", "section_idx", "part", F.explode(_slices(F.col("abstract_text"), SHARE)).alias("own")))
-    n_parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(n_parts, "article_key", "section_idx", "part.at", "own.at")
-    one = F.array(F.struct(F.col("part.run").alias("section_text")))
-    found = dealt.select("article_key", "section_idx", F.col("own.at").alias("from"),
-                         section_best(abstract_lines(F.col("own.run"), strip_markers_first), one, use_stemmer)["best"].alias("best"))
-    each = found.select("article_key", "section_idx", "from", F.posexplode("best").alias("place", "b"))
-    longest = F.max(F.struct("b.hits", (-F.col("section_idx")).alias("back")))
+    digest = F.md5(F.concat(spelt_list(F.col("abstract_text")), spelt_list(F.col("zipped.section_text"), lambda s: spelt_list(s))))
+    # It is never null; said so, the join needs no filter on it, which would compute the articles once more.
+    key = F.coalesce(digest, F.lit(""))
+    keyed = articles.withColumns({"article_key": key, "n_sections": F.size("zipped")})
+    # Each sentence stands for a section of its own: the first that wins tells which section it is from.
+    alone = F.transform("run.sentence", lambda s: F.array(s))
+    found = _cells(keyed).select("article_key", "from", F.col("run.section_idx").alias("sections"),
+                                 section_best(F.col("own"), alone, use_stemmer, strip_markers_first)["best"].alias("best"))
+    claims = F.transform("best", lambda b: F.struct(b["hits"], (-F.get("sections", b["section_idx"])).alias("back"), b["n_tokens"]))
+    each = found.select("article_key", "from", F.posexplode(claims).alias("place", "claim"))
+    longest = F.max("claim")
     merged = each.groupBy("article_key", (F.col("from") + F.col("place")).alias("sent_idx")).agg(longest.alias("m"))
     # Without a common token the first section of all counts, also if it has no sentence.
     section = F.when(F.col("m.hits") > 0, -F.col("m.back")).otherwise(0).alias("section_idx")
-    rows = merged.select("article_key", F.struct("sent_idx", section, F.col("m.hits").alias("hits")).alias("b"))
+    rows = merged.select("article_key", F.struct("sent_idx", section, F.col("m.hits").alias("hits"), F.col("m.n_tokens").alias("n_tokens")).alias("b"))
     best = rows.groupBy("article_key").agg(F.array_sort(F.collect_list("b")).alias("found"))
-    none = F.transform(F.coalesce("abstract_text", F.array().cast("array<string>")), lambda _: F.struct(F.lit(0).alias("section_idx"), F.lit(0).alias("hits")))
-    known = F.transform("found", lambda b: F.struct(b["section_idx"].alias("section_idx"), b["hits"].alias("hits")))
-    whole = F.when(F.size("zipped") > 0, F.coalesce(known, none)).otherwise(F.array().cast("array<struct<section_idx:int,hits:int>>"))
-    done = keyed.join(best, "article_key", "left").withColumn("best", whole).drop("article_key", "found")
-    return _with_lines(done, strip_markers_first)
+    nothing = F.struct(*(F.lit(0).alias(name) for name in MATCH.names))
+    none = F.transform(F.coalesce("abstract_text", no_strings()), lambda _: nothing)
+    known = F.transform("found", lambda b: F.struct(*(b[name].alias(name) for name in MATCH.names)))
+    whole = F.when(F.col("n_sections") > 0, F.coalesce(known, none)).otherwise(F.array().cast(T.ArrayType(MATCH)))
+    return keyed.join(best, "article_key", "left").withColumn("best", whole).drop("article_key", "n_sections", "found")
 
 
 def _total(items: Column | str, size: Callable[[Column], Column]) -> Column:
@@ -120,14 +128,14 @@ def with_matches(articles: DataFrame, use_stemmer: bool = True, strip_markers_fi
         size = F.coalesce(_total("sections", lambda section: _total(section, F.octet_length)), F.lit(0))
         found = _matched_here(zipped.where(size <= large_bytes), use_stemmer, strip_markers_first).unionByName(
             _matched_apart(zipped.where(size > large_bytes), use_stemmer, strip_markers_first))
-    return found.withColumn("matched", scored_matches(F.col("best"), sentence_sizes(F.col("abstract_lines")))).drop("best", "abstract_lines")
+    return found.withColumn("matched", scored_matches(F.col("best"))).drop("best")
 
 
 def alignment_work(articles: DataFrame, use_stemmer: bool = True, strip_markers_first: bool = False) -> DataFrame:
     """article_id, ``n_pairs`` of abstract and section sentences, ``n_compared`` of them, of which bounds could not show that they lose."""
     zipped = zip_sections(F.col("section_names"), F.col("sections"))
-    lines = abstract_lines(F.col("abstract_text"), strip_markers_first)
-    return articles.select("article_id", section_best(lines, zipped, use_stemmer).alias("w")).select(
+    work = section_best(F.col("abstract_text"), zipped["section_text"], use_stemmer, strip_markers_first)
+    return articles.select("article_id", work.alias("w")).select(
         "article_id", F.coalesce("w.pairs", F.lit(0)).alias("n_pairs"), F.coalesce("w.compared", F.lit(0)).alias("n_compared"))
 
 

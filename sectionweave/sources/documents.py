@@ -19,10 +19,13 @@ def _lines(text: Column) -> Column:
 
 
 def _sections(lines: Column) -> Column:
-    """Six runs of lines, each flattened to its sentences."""
+    """Six runs of lines, each flattened to its sentences: line i belongs to run floor(6 i / n)."""
     count = len(SECTION_HEADERS) + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.flatten(
-        F.filter(lines, lambda _, i: F.floor(i * count / F.size(lines)) == k)))
+
+    def start(k: Column) -> Column:
+        return F.floor((k * F.size(lines) + (count - 1)) / count).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.flatten(F.slice(lines, start(k) + 1, start(k + 1) - start(k))))
 
 
 def _abstract_sentence(line: Column) -> Column:

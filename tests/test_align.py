@@ -1,12 +1,14 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from sectionweave.functions import lcs
+from sectionweave.functions import lcs, sections
+from sectionweave.functions.text import normalize
 from sectionweave.operators import align
 from sectionweave.plans import prepare
 from sectionweave.schemas import ARTICLE
@@ -254,3 +256,42 @@ def test_an_abstract_is_normalized_once(spark):
     assert [m.score for m in matched.first().matched] == [0.4000000059604645, 0.0, 0.0]
     plan = matched._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2  # one for the abstract, one for the sections
+
+
+def test_sentences_are_read_as_they_are_normalized(spark):
+    """Every code point between letters: the table of bytes parts tokens as the expression does."""
+    texts = [f"Ab{chr(c)}Cd" for c in range(0x110000) if not 0xd800 <= c < 0xe000]
+    df = spark.createDataFrame([(texts[i:i + 5000],) for i in range(0, len(texts), 5000)], "texts array<string>")
+    read = df.select(F.flatten(F.transform(sections._sentences(F.col("texts")), lambda s: F.array(s))).alias("read"),
+                     F.transform("texts", normalize).alias("meant"))
+    for row in read.toLocalIterator():
+        assert [" ".join(s.split()) for s in lcs.scored_texts(pa.array(row.read))] == row.meant
+
+
+def test_arrays_with_nulls_are_read_row_by_row():
+    abstract = pa.array([["A, b"], None, [], ["q", None], ["x"]], pa.list_(pa.string()))
+    sections_ = pa.array([[["b"], None, ["a B!", None]], [["b"]], [["b"]], [], None], pa.list_(pa.list_(pa.string())))
+    whole = [([{"section_idx": 2, "hits": 2, "n_tokens": 2}], 3, 2), (None, None, None), ([], 0, 0), ([], 0, 0), (None, None, None)]
+    for cut in (0, 2):  # a slice keeps the buffers of the whole
+        found = lcs._matches(abstract.slice(cut), sections_.slice(cut), str.split).to_pylist()
+        assert [(f["best"], f["pairs"], f["compared"]) for f in found][-2:] == whole[-2:]
+        assert [f["best"] for f in found] == [w[0] for w in whole[cut:]]
+
+
+def test_contained_and_short_sentences_need_no_table(monkeypatch):
+    monkeypatch.setattr(lcs, "_longest", None)
+    assert lcs.best_sections("a b c a a a\n", "b c\na\na b\n\fa a a\nx\n\f")[:2] == ([1], [3])
+
+
+def test_equal_articles_are_dealt_once_in_parts_of_all_sections(spark):
+    article = dict(article_id="1", abstract_text=["x y"] * 3, section_names=list("abcdef"), sections=[["x"], ["y", "x y"], [], ["z"], ["q"], ["x"]])
+    df = frame(spark, [dict(article, article_id=str(i)) for i in range(4)])
+    keyed = df.select(F.lit("k").alias("article_key"), "abstract_text", align.zip_sections(df.section_names, df.sections).alias("zipped"))
+    assert align._cells(keyed).count() == 1
+    found = align.best_section(df, large_bytes=0).collect()
+    assert len(found) == 12 and {(r.section_idx, r.score) for r in found} == {(1, 1.0)}
+
+
+def test_the_digest_of_dealt_articles_is_no_filter(spark, corpus):
+    plan = align.best_section(frame(spark, corpus), large_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
