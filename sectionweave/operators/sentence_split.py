@@ -23,6 +23,8 @@ OPENING, CLOSING, BEHIND = "\"'([{", "\"')]}", ".!?,;:"
 SPACES = "".join(c for c in map(chr, [*range(0x3001)]) if re.match(SPACE, c))
 ENDS = r"""[.!?]["')\]}]*"""
 NUMBER = "#"
+#: What the word lists decide about a doubtful period: its word, the next one, and whether that has a capital.
+ASKED = "struct<word:string,next_word:string,capital:boolean>"
 #: Words of each list that become constants of an expression.
 MAX_WORDS = 20_000
 
@@ -147,7 +149,9 @@ def _tail(run: Column) -> Column:
 
 
 def _first(run: Column) -> Column:
-    return _core(F.regexp_extract(run, f"^{SPACE}*([^{SPACE[1:-1]}]*)", 1))
+    """The first token, without marks around it, of a run behind another one: it begins with a token."""
+    short = F.substring_index(F.substring_index(run, " ", 1), "\n", 1)
+    return _core(let(short, lambda t: F.when(t.rlike(SPACE), F.regexp_extract(t, f"^[^{SPACE[1:-1]}]*", 0)).otherwise(t)))
 
 
 def _broken(run: Column) -> Column:
@@ -175,28 +179,55 @@ def _lines_by_lists(text: Column, abbreviations: list[str], openers: list[str])
     return F.when(text.isNotNull(), let(_runs(text), line))
 
 
+def _asked(df: DataFrame, column: str) -> DataFrame:
+    """Texts in ``segments`` that end at doubtful periods, already broken where the tokens alone decide, and what is ``asked`` about each such period."""
+    def judged(runs: Column) -> Column:
+        def told(run: Column, i: Column) -> Column:
+            last, following = _core(_tail(run)), F.when(i < F.size(runs) - 1, _first(F.get(runs, i + 1)))
+            return let(F.struct(last.alias("last"), following.alias("following")), lambda t: F.when(t["following"].isNull(), F.struct(
+                run.alias("line"), F.lit(None).cast(ASKED).alias("ask"))).otherwise(F.when(~t["last"].endswith("."), F.struct(
+                    _broken(run).alias("line"), F.lit(None).cast(ASKED).alias("ask"))).otherwise(let(_word(t["last"]), lambda word: let(
+                        _decided(t["last"], word, t["following"]), lambda ends: F.struct(
+                            F.when(ends, _broken(run)).otherwise(run).alias("line"),
+                            F.when(ends.isNull(), F.struct(word.alias("word"), _word(t["following"]).alias("next_word"), _capital(t["following"]).alias("capital"))).alias("ask")))))))
+
+        return F.transform(runs, told)
+
+    def cut(lines: Column) -> Column:
+        """Runs up to and with each doubtful one are one segment."""
+        places = F.filter(F.transform(lines, lambda line, i: F.when(line["ask"].isNotNull(), i)), lambda i: i.isNotNull())
+        return let(places, lambda at: F.struct(
+            F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: let(F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), lambda begin: F.array_join(
+                F.transform(F.slice(lines, begin + 1, F.coalesce(F.get(at, k) + 1, F.size(lines)) - begin), lambda line: line["line"]), ""))).alias("segments"),
+            F.transform(at, lambda i: F.get(lines, i)["ask"]).alias("asked")))
+
+    return df.withColumn("split_parts", F.when(F.col(column).isNotNull(), let(_runs(F.col(column)), lambda runs: let(judged(runs), cut))))
+
+
 def _lines_by_join(df: DataFrame, column: str, words: DataFrame, out: str) -> DataFrame:
-    """The doubtful periods of distinct texts are joined with the words; texts are then broken where a sentence ends."""
+    """Only what is asked about doubtful periods is joined with the words, and only the places of those that end no sentence come back.
+
+    Each text is taken apart once; its segments wait in a stored table, under a digest. Equal texts have equal places, which partial sets fold.
+    """
     key = "text_digest"
-    tagged = df.withColumn(key, F.sha2(F.col(column), 256))
-    texts = tagged.where(F.col(column).isNotNull()).groupBy(key).agg(F.first(column).alias("whole"))
-    runs = texts.select(key, let(_runs(F.col("whole")), lambda r: F.transform(r, lambda run, i: F.struct(
-        i.alias("place"), run.alias("run"), _core(_tail(run)).alias("last"), F.when(i < F.size(r) - 1, _first(F.get(r, i + 1))).alias("following")))).alias("runs"))
-    each = runs.select(key, F.explode("runs").alias("r")).select(key, "r.*").withColumns(
-        {"word": _word(F.col("last")), "next_word": _word(F.col("following"))}).withColumn(
-        "decided", F.when(F.col("following").isNull(), False).otherwise(_decided(F.col("last"), F.col("word"), F.col("following"))))
-    sure = each.where("decided IS NOT NULL").select(key, "place", "run", F.col("decided").alias("ends"))
+    parts = _asked(df.withColumn(key, F.sha2(F.col(column), 256)), column)
+    parts = stored(parts.drop(column) if out == column else parts, "split_parts")
+    each = parts.select(key, F.posexplode_outer("split_parts.asked").alias("place", "ask")).where("ask IS NOT NULL").select(key, "place", "ask.*")
     short = words.where("abbreviation").select("word", F.lit(True).alias("short"))
     opens = words.where("opens").select(F.col("word").alias("next_word"), F.lit(True).alias("opens"))
-    doubt = (each.where("decided IS NULL").join(short, "word", "left").join(opens, "next_word", "left").select(
-        key, "place", "run", (~(_single_letter(F.col("word")) | F.coalesce("short", F.lit(False)))
-                              | (_capital(F.col("following")) & F.coalesce("opens", F.lit(False)))).alias("ends")))
-    piece = F.struct("place", F.when(F.col("ends"), _broken(F.col("run"))).otherwise(F.col("run")).alias("line"))
-    lines = sure.unionByName(doubt).groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("lines"))
-    done = lines.select(key, F.array_join("lines.line", "").alias(out))
-    return tagged.drop(*(c for c in [out] if c in df.columns and c != column)).withColumnRenamed(column, "split_before").join(done, key, "left").select(
-        *(F.when(F.col("split_before").isNotNull(), F.coalesce(out, F.lit(""))).alias(out) if c == out else
-          F.col("split_before").alias(c) if c == column else F.col(c) for c in [*df.columns, *([] if out in df.columns else [out])]))
+    doubtful = each.join(short, "word", "left").where(F.col("short").isNotNull() | _single_letter(F.col("word")))
+    within = doubtful.join(opens, "next_word", "left").where(~(F.col("capital") & F.coalesce("opens", F.lit(False))))
+    places = within.groupBy(key).agg(F.array_sort(F.collect_set("place")).alias("split_within"))
+    segments, at = F.col("split_parts.segments"), F.coalesce("split_within", F.array().cast("array<int>"))
+
+    def line(begin: Column, end: Column) -> Column:
+        """Segments up to one behind which the line goes on."""
+        return F.concat(F.array_join(F.transform(F.slice(segments, begin + 1, end - begin), _broken), ""), F.get(segments, end))
+
+    whole = let(at, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.size(p)), lambda k: line(
+        F.coalesce(F.get(p, k - 1) + 1, F.lit(0)), F.coalesce(F.get(p, k), F.size(segments) - 1))), ""))
+    return parts.join(places, key, "left").withColumn("split_lines", F.when(F.col("split_parts").isNotNull(), whole)).select(
+        *(F.col("split_lines").alias(c) if c == out else F.col(c) for c in [*df.columns, *([] if out in df.columns else [out])]))
 
 
 def split_lines(df: DataFrame, words: DataFrame, column: str = "text", out: str | None = None, own: bool = False,

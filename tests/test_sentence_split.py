@@ -155,3 +155,14 @@ def test_metrics_with_the_trained_splitter(spark, learnt):
     rows = spark.createDataFrame([("1", [2, 3, 4, 5], [5, 3, 4, 2])], "article_id string, pred_ids array<int>, labels array<int>")
     plain, trained = ({r.metric: r.value for r in evaluate.compute_metrics(rows, vocab, 0, splitter=s).collect()} for s in (None, learnt))
     assert plain["rougeLsum"] > trained["rougeLsum"] and plain["rouge1"] == trained["rouge1"]
+
+
+def test_only_doubtful_periods_are_joined(spark, learnt):
+    """Each text is taken apart in one stage, and no text is an input of a grouping; copies, empty texts and many doubts in one text come out alike."""
+    texts = [*(c[0] for c in CASES), "", None, "3. x 4. Y! " * 400 + "J. Smith met J. " * 300, "no end", *(c[0] for c in CASES)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    joined = sentence_split.split_lines(df, learnt, max_words=0)
+    listed = sentence_split.split_lines(df, learnt)
+    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, listed.collect()), key=repr)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "first(" not in plan
